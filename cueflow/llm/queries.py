@@ -8,6 +8,20 @@ from pyspark.sql import functions as F
 from cueflow.llm.runtime import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    from cueflow.llm.language_id import identify_documents
+
+    return identify_documents(table(spark, sf_dir, "documents"), vocabulary or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cueflow.llm.quality import score_quality
+
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cueflow.llm.line_dedup import remove_boilerplate
 
@@ -27,7 +41,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op7_line_dedup, op9_simhash_near_dedup, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op5_quality_classifier, op7_line_dedup, op9_simhash_near_dedup, op10_sharding)}
 
 ORACLE = {
     "op7_line_dedup": """
