@@ -16,6 +16,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str, vocabulary: str | None = N
     return identify_documents(table(spark, sf_dir, "documents"), vocabulary or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cueflow.llm.decontaminate import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cueflow.llm.quality import score_quality
 
@@ -29,6 +35,13 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str, key: bytes = b"rotate this key for each release of a corpus") -> DataFrame:
+    from cueflow.llm.pii import KINDS, pseudonymise
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonymise(docs, key).select("doc_id", "text", *[f"n_{k}" for k in KINDS])
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cueflow.llm.simhash import near_duplicates
 
@@ -41,7 +54,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op5_quality_classifier, op7_line_dedup, op9_simhash_near_dedup, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op5_quality_classifier, op7_line_dedup, op8_pii, op9_simhash_near_dedup, op10_sharding)}
 
 ORACLE = {
     "op7_line_dedup": """
