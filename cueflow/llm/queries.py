@@ -28,6 +28,14 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    from cueflow.llm.bpe import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cueflow.llm.line_dedup import remove_boilerplate
 
@@ -54,7 +62,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op5_quality_classifier, op7_line_dedup, op8_pii, op9_simhash_near_dedup, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op5_quality_classifier, op6_byte_bpe, op7_line_dedup, op8_pii, op9_simhash_near_dedup, op10_sharding)}
 
 ORACLE = {
     "op7_line_dedup": """
