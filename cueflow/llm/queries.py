@@ -22,6 +22,13 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cueflow.llm.substring_dedup import remove_repeats
+
+    out = remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cueflow.llm.quality import score_quality
 
@@ -62,7 +69,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op5_quality_classifier, op6_byte_bpe, op7_line_dedup, op8_pii, op9_simhash_near_dedup, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op4_substring_dedup, op5_quality_classifier, op6_byte_bpe, op7_line_dedup, op8_pii, op9_simhash_near_dedup, op10_sharding)}
 
 ORACLE = {
     "op7_line_dedup": """
