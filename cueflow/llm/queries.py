@@ -22,6 +22,12 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cueflow.llm.order_minhash import edited_likeness
+
+    return edited_likeness(table(spark, sf_dir, "documents"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cueflow.llm.substring_dedup import remove_repeats
 
@@ -69,7 +75,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op4_substring_dedup, op5_quality_classifier, op6_byte_bpe, op7_line_dedup, op8_pii, op9_simhash_near_dedup, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_order_minhash, op4_substring_dedup, op5_quality_classifier, op6_byte_bpe, op7_line_dedup, op8_pii, op9_simhash_near_dedup, op10_sharding)}
 
 ORACLE = {
     "op7_line_dedup": """
