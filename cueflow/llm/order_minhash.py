@@ -28,62 +28,58 @@ _LANES = TUPLES * PER_TUPLE
 _LANE_BITS = (_LANES - 1).bit_length()
 
 
-def _place(x: Column) -> Column:
-    return x.bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+_PLACE = (1 << PLACE_BITS) - 1
+#: The bits of a packed long above its place; the sign is left out.
+_HASH = ((1 << 63) - 1) & ~_PLACE
 
 
 def _top(x: Column) -> Column:
     """A packed long without its place."""
-    return F.shiftright(x, PLACE_BITS)
+    return x.bitwiseAND(F.lit(_HASH))
 
 
-def _lifted(steps: int, start: Column, moves) -> Column:
-    """Binary lifting: from ``start``, adds 2^p for p = steps - 1 .. 0 wherever ``moves(at, 2^p)`` says so."""
-    powers = F.array(*[F.lit(1 << p) for p in reversed(range(steps))])
-    return F.aggregate(powers, start, lambda at, p: F.when(moves(at, p), at + p).otherwise(at))
+def _earlier_equals(s: Column, x: Column, i: Column) -> Column:
+    """How many elements just before place i of the sorted array have the hash of x, by binary lifting."""
+    powers = F.array(*[F.lit(1 << p) for p in reversed(range(PLACE_BITS))])
+    return F.aggregate(powers, F.lit(0), lambda at, p: F.when(_top(F.get(s, i - at - p)) == _top(x), at + p).otherwise(at))
 
 
 def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
-    """``df`` with column ``name``: TUPLES ints, or none for a text without words.
+    """``df`` with column ``name``: TUPLES longs, or none for a text without words.
 
     Words are runs of characters other than white space (U+0009 to U+000D and the space); a text of
-    fewer than K words has one k-mer of them all. A null text has no words.
+    fewer than K words has one k-mer of them all. A null text has no words. Places are counted modulo
+    2 ** PLACE_BITS.
     """
-    hashes, runs, lanes, least = (f"__{name}_{x}" for x in ("h", "s", "v", "m"))
-    words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"[\t-\r ]+"), lambda w: w != "")
+    hashes, runs, lanes, dense = (f"__{name}_{x}" for x in ("h", "s", "v", "d"))
+    words = F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), r"[\t-\r ]+"), "")
+    # Each step is a column of its own, so that Spark computes it once however often it is used.
     df = df.withColumn(hashes, F.transform(words, lambda w: F.xxhash64(w)))
     h = F.col(hashes)
-    many = F.size(h) >= K
-    kmer = lambda x, i: F.xxhash64(x, *[F.get(h, i + j) for j in range(1, K)])
-    starts = F.when(many, F.slice(h, 1, F.greatest(F.size(h) - (K - 1), F.lit(0)))).otherwise(F.slice(h, 1, 1))
-    packed = F.transform(starts, lambda x, i: F.shiftleft(F.shiftrightunsigned(kmer(x, i), 64 - (63 - PLACE_BITS)), PLACE_BITS).bitwiseOR(F.least(i, F.lit((1 << PLACE_BITS) - 1)).cast("bigint")))
-    df = df.withColumn(runs, F.sort_array(packed))
+    starts = F.slice(h, 1, F.when(F.size(h) >= K, F.size(h) - (K - 1)).otherwise(F.lit(1)))
+    pack = lambda value, place: value.bitwiseAND(F.lit(_HASH)).bitwiseOR(place)
+    kmers = F.transform(starts, lambda x, i: pack(F.xxhash64(F.slice(h, i + 1, K)), i.bitwiseAND(F.lit(_PLACE))))
+    df = df.withColumn(runs, F.sort_array(kmers))
     s = F.col(runs)
-
-    def occurrence(x, i):
-        same = lambda at: _top(F.get(s, at)) == _top(x)
-        back = _lifted(PLACE_BITS, F.lit(0), lambda at, p: (at + p <= i) & F.coalesce(same(i - at - p), F.lit(False)))
-        return F.when((i > 0) & F.coalesce(same(i - 1), F.lit(False)), back).otherwise(F.lit(0))
-
-    numbered = F.transform(s, lambda x, i: F.shiftleft(F.shiftrightunsigned(F.xxhash64(_top(x), occurrence(x, i)), 64 - (63 - PLACE_BITS)), PLACE_BITS).bitwiseOR(_place(x)))
+    occurrence = lambda x, i: F.when(_top(F.get(s, i - 1)) == _top(x), _earlier_equals(s, x, i)).otherwise(F.lit(0))
+    numbered = F.transform(s, lambda x, i: pack(F.xxhash64(_top(x), occurrence(x, i)), x.bitwiseAND(F.lit(_PLACE))))
     df = df.withColumn(lanes, F.sort_array(numbered))
     v = F.col(lanes)
-    lane = lambda x: F.shiftright(x, 63 - _LANE_BITS)
-    df = df.withColumn(least, F.filter(v, lambda x, i: (i == 0) | (lane(x) != lane(F.get(v, i - 1)))))
-    m = F.col(least)
-
-    def pick(number):
-        """The k-mer of a lane, or of the next lane that has one."""
-        first = _lifted(_LANE_BITS + 1, F.lit(0), lambda at, p: (at + p <= F.size(m)) & (lane(F.get(m, at + p - 1)) < number))
-        return F.get(m, F.when(F.size(m) > 0, first % F.size(m)).otherwise(F.lit(0)))
+    lane = lambda x: F.shiftright(x, 63 - _LANE_BITS).cast("int")
+    # Each lane's least k-mer, repeated for the empty lanes before it; the first also for those after the last.
+    before = lambda i: F.coalesce(lane(F.get(v, i - 1)), F.lit(-1))
+    filled = F.flatten(F.transform(v, lambda x, i: F.array_repeat(x, lane(x) - before(i))))
+    df = df.withColumn(dense, F.concat(filled, F.array_repeat(F.get(v, F.lit(0)), F.lit(_LANES - 1) - lane(F.element_at(v, -1)))))
+    d = F.col(dense)
+    by_place = lambda x: F.shiftleft(x, 63 - PLACE_BITS).bitwiseOR(F.shiftright(x, PLACE_BITS))
 
     def component(t):
-        ordered = F.array_sort(F.array(*[F.struct(_place(pick(t * PER_TUPLE + j)).alias("at"), _top(pick(t * PER_TUPLE + j)).alias("h")) for j in range(PER_TUPLE)]))
-        return F.xxhash64(*[F.get(ordered, j)["h"] for j in range(PER_TUPLE)]).bitwiseAND(F.lit(0xFFFFFFFF))
+        ordered = F.sort_array(F.array(*[by_place(F.get(d, t * PER_TUPLE + j)) for j in range(PER_TUPLE)]))
+        return F.xxhash64(F.transform(ordered, lambda y: y.bitwiseAND(F.lit((1 << (63 - PLACE_BITS)) - 1)))).bitwiseAND(F.lit(0x7FFFFFFF))
 
     numbers = F.array(*[F.lit(t) for t in range(TUPLES)])
-    df = df.withColumn(name, F.when(F.size(m) > 0, F.transform(numbers, component)).otherwise(F.expr("cast(array() as array<bigint>)")))
-    return df.drop(hashes, runs, lanes, least)
+    df = df.withColumn(name, F.when(F.size(v) > 0, F.transform(numbers, component)).otherwise(F.expr("cast(array() as array<bigint>)")))
+    return df.drop(hashes, runs, lanes, dense)
 
 
 def likeness(a: str, b: str) -> Column:
@@ -94,11 +90,11 @@ def likeness(a: str, b: str) -> Column:
 
 
 def in_hex(fingerprint: str) -> Column:
-    return F.array_join(F.transform(fingerprint, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
+    return F.array_join(F.transform(fingerprint, lambda x: F.lower(F.lpad(F.hex(x.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))), "")
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
-    """Per distinct doc_id: the hash of its first text, the id it is the next document of, and half that one's length.
+    """Per distinct doc_id (text not null): the hash of its first text, the id it is the next document of, and half that one's length.
 
     The order is by descending doc_id, and the first follows the last. Ids are range-partitioned, so
     each task orders its own; only the least id of each partition is looked at across partitions.
@@ -124,16 +120,17 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     has the smallest hash stands for the next document; rows without doc_id stand outside the order
     and have an empty next document. Null texts are empty, repeated rows come out repeated.
     """
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    placed = texts.join(neighbours(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))), F.col("doc_id") == F.col("id"), "left")
-    given = placed.filter(F.xxhash64("text") == F.col("chosen"))
-    given = with_fingerprint(given.select("taker", "taker_half", "text"), "text", "next_print")
-    given = given.select("taker", F.expr("left(text, taker_half)").alias("head"), "next_print").groupBy("taker").agg(F.first("head").alias("head"), F.first("next_print").alias("next_print"))
+    plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    # Both uses below read this one exchange, so each text's own fingerprint is made once.
+    texts = with_fingerprint(plain, "text", "own").select("doc_id", "text", F.transform("own", lambda x: x.cast("int")).alias("own")).repartition("doc_id")
+    placed = texts.join(neighbours(plain), (F.col("doc_id") == F.col("id")) & (F.xxhash64("text") == F.col("chosen")))
+    given = placed.select("taker", F.expr("left(text, taker_half)").alias("head"), F.col("own").alias("next_print"))
+    given = given.groupBy("taker").agg(F.first("head").alias("head"), F.first("next_print").alias("next_print"))
     joined = texts.join(given, F.col("doc_id") == F.col("taker"), "left")
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.left("text", F.length("text") - half), F.left(F.coalesce("head", F.lit("")), half))
-    out = joined.select("doc_id", "text", edited.alias("edited"), F.coalesce("next_print", F.expr("cast(array() as array<bigint>)")).alias("next_print"))
-    out = with_fingerprint(with_fingerprint(out, "text", "own"), "edited", "other")
+    out = joined.select("doc_id", "text", "own", edited.alias("edited"), F.coalesce("next_print", F.expr("cast(array() as array<int>)")).alias("next_print"))
+    out = with_fingerprint(out, "edited", "other").withColumn("other", F.transform("other", lambda x: x.cast("int")))
     return out.select(
         "doc_id",
         F.length("text").cast("bigint").alias("n_chars"),
