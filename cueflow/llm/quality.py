@@ -166,6 +166,17 @@ def one_label(labels: DataFrame, label: str = "quality") -> DataFrame:
     return agreed.select(F.col("doc_id").alias("labelled"), "label")
 
 
+def learn(docs: DataFrame, labels: DataFrame) -> tuple[Discriminant | None, DataFrame]:
+    """The model learned from the labelled rows that are not held out, and the statistics of all rows by doc_id."""
+    known = cut(with_statistics(docs), "statistics")
+    return fit(known.filter(~held_out()).join(one_label(labels), F.col("doc_id") == F.col("labelled"))), known
+
+
+def _score(model: Discriminant | None) -> Column:
+    odds = model.log_odds() if model else F.lit(0.0)
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(F.greatest(F.lit(-500.0), F.least(F.lit(500.0), -odds))))
+
+
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of ``docs``.
 
@@ -173,10 +184,13 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     0.5. Null and empty texts are scored as texts without words, repeated rows each get their row, and
     columns besides doc_id and text are not read.
     """
-    known = cut(with_statistics(docs), "statistics")
-    train = known.filter(~held_out()).join(one_label(labels), F.col("doc_id") == F.col("labelled"))
-    model = fit(train)
-    odds = model.log_odds() if model else F.lit(0.0)
-    score = F.lit(1.0) / (F.lit(1.0) + F.exp(F.greatest(F.lit(-500.0), F.least(F.lit(500.0), -odds))))
-    scored = known.select("doc_id", held_out().alias("held_out"), score.alias("score"))
+    model, known = learn(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), labels)
+    scored = known.select("doc_id", held_out().alias("held_out"), _score(model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that score at least 0.5, each judged by its own text; repeated rows stay repeated."""
+    model, _ = learn(docs.select("doc_id", "text"), labels)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    return with_statistics(rows, "row").filter(_score(model) >= 0.5).select("row.*")
