@@ -27,9 +27,11 @@ RUN = 8
 #: Windows of a span at most, so that a mask of them fits in a long.
 SPAN = 28
 #: Different spans of a minimizer that one automaton takes.
-SHARD_SPANS = 128
+SHARD_SPANS = 512
 #: Texts handled together in a task.
 TEXTS = 256
+#: Windows that a task sums up before it sends them on.
+HELD_WINDOWS = 2_000_000
 
 _SPACE = space_table()
 _MULTIPLIER = np.uint64(0xD6E8FEB86659FD93)
@@ -244,11 +246,25 @@ def _match_shards(rows: DataFrame, window: int) -> DataFrame:
 
 
 def _single_windows(rows: DataFrame, window: int) -> DataFrame:
-    """(key, start, weight, hash) of every window of the rows' spans."""
+    """(hash, copies, places): the windows of the rows' spans, equal ones of a task summed up.
+
+    ``places`` lists (key, start) of those from spans with one copy, the only ones still to be judged.
+    """
 
     def run(batches):
         import pyarrow as pa
 
+        def send(parts):
+            key, start, copies, hashes = (np.concatenate(x) for x in zip(*parts, strict=True))
+            value, of = np.unique(hashes, return_inverse=True)
+            total = np.bincount(of, copies, len(value)).astype(np.int64)
+            judged = np.flatnonzero(copies == 1)
+            judged = judged[np.argsort(of[judged], kind="stable")]
+            ends = np.concatenate([[0], np.cumsum(np.bincount(of[judged], minlength=len(value)))])
+            places = pa.StructArray.from_arrays([pa.array(key[judged]), pa.array(start[judged].astype(np.int32))], ["key", "start"])
+            return pa.RecordBatch.from_arrays([pa.array(value), pa.array(total), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), places)], ["hash", "copies", "places"])
+
+        parts, held = [], 0
         for b in batches:
             count = b.column(3).to_numpy().astype(np.int64)
             flat = b.column(4).flatten().to_numpy().view(np.uint64)
@@ -256,12 +272,15 @@ def _single_windows(rows: DataFrame, window: int) -> DataFrame:
             within = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
             first = np.repeat(begin, count) + within
             hashes = _range_hashes(flat, first, first + window).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(b.column(0).to_numpy(), count)), pa.array((np.repeat(b.column(1).to_numpy(), count) + within).astype(np.int32)), pa.array(np.repeat(b.column(2).to_numpy(), count)), pa.array(hashes)],
-                ["key", "start", "copies", "hash"],
-            )
+            parts.append((np.repeat(b.column(0).to_numpy(), count), np.repeat(b.column(1).to_numpy(), count) + within, np.repeat(b.column(2).to_numpy(), count), hashes))
+            held += len(hashes)
+            if held > HELD_WINDOWS:
+                yield send(parts)
+                parts, held = [], 0
+        if parts:
+            yield send(parts)
 
-    return rows.select("key", "start", "copies", "windows", "words").mapInArrow(run, "key bigint, start int, copies bigint, hash bigint")
+    return rows.select("key", "start", "copies", "windows", "words").mapInArrow(run, "hash bigint, copies bigint, places array<struct<key:bigint,start:int>>")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, shard_spans: int = SHARD_SPANS) -> DataFrame:
@@ -287,7 +306,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, shard_spans: int = SHA
     matched = _match_shards(by_shard, window)
     crowd = cut(_single_windows(words.filter("crowded"), window), "windows")
     again = crowd.groupBy("hash").agg(F.sum("copies").alias("n")).filter("n > 1").select("hash")
-    counted = crowd.filter("copies = 1").join(again, "hash").select("key", "start", F.lit(1).cast("bigint").alias("mask"))
+    counted = crowd.filter(F.size("places") > 0).join(again, "hash").select(F.inline("places")).withColumn("mask", F.lit(1).cast("bigint"))
     whole = live.join(distinct.filter("copies > 1").select("least", "span"), ["least", "span"])
     whole = whole.select("key", "start", (F.expr("shiftleft(1L, windows)") - 1).alias("mask"))
     removed = whole.unionAll(matched).unionAll(counted).groupBy("key").agg(F.collect_list(F.struct("start", "mask")).alias("gone"))
