@@ -121,12 +121,17 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     and have an empty next document. Null texts are empty, repeated rows come out repeated.
     """
     plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    # Both uses below read this one exchange, so each text's own fingerprint is made once.
-    texts = with_fingerprint(plain, "text", "own").select("doc_id", "text", F.transform("own", lambda x: x.cast("int")).alias("own")).repartition("doc_id")
-    placed = texts.join(neighbours(plain), (F.col("doc_id") == F.col("id")) & (F.xxhash64("text") == F.col("chosen")))
-    given = placed.select("taker", F.expr("left(text, taker_half)").alias("head"), F.col("own").alias("next_print"))
+    # Both uses below read this one exchange, so each text's own fingerprint is made once. Its columns
+    # are never null and all used by both, or the two would be filtered and pruned differently.
+    known = plain.select(F.coalesce("doc_id", F.lit(0)).cast("bigint").alias("key"), F.col("doc_id").isNull().alias("outside"), "text")
+    texts = with_fingerprint(known, "text", "own").select("key", "outside", "text", F.transform("own", lambda x: x.cast("int")).alias("own")).repartition("key")
+    # The hash is compared after the join, whose only key is the one that the texts are dealt by.
+    chosen = F.when(F.col("outside"), F.lit(False)).otherwise(F.xxhash64("text").bitwiseXOR(F.col("chosen")) == 0)
+    given = texts.join(neighbours(plain), (F.col("key") == F.col("id")) & chosen)
+    given = given.select("taker", F.expr("left(text, taker_half)").alias("head"), F.col("own").alias("next_print"))
     given = given.groupBy("taker").agg(F.first("head").alias("head"), F.first("next_print").alias("next_print"))
-    joined = texts.join(given, F.col("doc_id") == F.col("taker"), "left")
+    joined = texts.join(given, (F.col("key") == F.col("taker")) & ~F.col("outside"), "left")
+    joined = joined.withColumn("doc_id", F.when(~F.col("outside"), F.col("key")))
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.left("text", F.length("text") - half), F.left(F.coalesce("head", F.lit("")), half))
     out = joined.select("doc_id", "text", "own", edited.alias("edited"), F.coalesce("next_print", F.expr("cast(array() as array<int>)")).alias("next_print"))

@@ -33,6 +33,9 @@ FEATURES = (
     "short_words",
 )
 
+#: Texts whose statistics are made at once.
+ROWS = 256
+
 _SPACE = space_table()
 _CLASSES = np.full(256, 6, np.int64)  # 6: symbols
 _CLASSES[list(b" \t\x0b\x0c\r")] = 0
@@ -100,8 +103,8 @@ def with_statistics(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            for at in range(0, b.num_rows, 4096):
-                part = b.slice(at, 4096)
+            for at in range(0, b.num_rows, ROWS):
+                part = b.slice(at, ROWS)
                 m = statistics(*text_bytes(part.column(1)))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(m[:, i]) for i in range(len(FEATURES)))], [key, *FEATURES])
 
