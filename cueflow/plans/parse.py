@@ -242,20 +242,15 @@ def parse_ass(df: DataFrame) -> DataFrame:
         df = df.withColumn(name + "s", body(*heads))
         df = df.withColumn(name + "_at", _places(name + "s", lambda x: key(x) == "format"))
         df = df.withColumn(name + "_chunks", _chunks(name + "s", name + "_at"))
+    # Names are read once for each chunk; a row's values are split once, the last one taking what is left.
     names = lambda head: F.filter(F.transform(F.split(value(head), ","), trim_ws), lambda x: x != "")
-
-    def rows(chunks: str, wanted: str) -> Column:
-        each = lambda p: F.transform(F.filter(p["lines"], lambda x: key(x) == wanted), lambda x: F.struct(names(p["head"]).alias("names"), value(x).alias("value")))
-        return F.filter(F.flatten(F.transform(chunks, each)), lambda r: F.size(r["names"]) > 0)
-
-    def values(r: Column) -> Column:
-        """At most as many parts as names, the last one whole; missing ones are empty."""
-        n = F.size(r["names"])
-        parts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.coalesce(F.get(_split(r["value"], n), i), F.lit("")))
-        return F.transform(parts, trim_ws)
-
-    df = df.withColumn("__style_rows", F.transform(rows("__style_chunks", "style"), lambda r: F.struct(r["names"].alias("names"), values(r).alias("values"))))
-    df = df.withColumn("__event_rows", F.transform(rows("__event_chunks", "dialogue"), lambda r: F.struct(r["names"].alias("names"), F.transform(r["names"], F.lower).alias("lower"), values(r).alias("values"))))
+    for name, wanted in (("__style", "style"), ("__event", "dialogue")):
+        kept = lambda p, w=wanted: F.transform(F.filter(p["lines"], lambda x: key(x) == w), value)
+        df = df.withColumn(name + "_named", F.transform(name + "_chunks", lambda p: F.struct(names(p["head"]).alias("names"), kept(p).alias("rows"))))
+        split = lambda p: F.transform(p["rows"], lambda v: F.struct(p["names"].alias("names"), F.split(v, ",", F.size(p["names"])).alias("parts")))
+        df = df.withColumn(name + "_split", F.flatten(F.transform(F.filter(name + "_named", lambda p: F.size(p["names"]) > 0), split)))
+        padded = lambda r: F.transform(F.concat(r["parts"], F.array_repeat(F.lit(""), F.size(r["names"]) - F.size(r["parts"]))), trim_ws)
+        df = df.withColumn(name + "_rows", F.transform(name + "_split", lambda r: F.struct(r["names"].alias("names"), F.transform(r["names"], F.lower).alias("lower"), padded(r).alias("values"))))
     entries = lambda r: F.zip_with(r["names"], r["values"], pair)
     last = lambda r, name: F.element_at(F.concat(F.array(F.lit("")), F.transform(F.filter(entries(r), lambda e: F.lower(e["k"]) == name), lambda e: e["v"])), -1)
     styles = F.transform("__style_rows", lambda r: F.struct(last(r, "name").alias("name"), last_wins(entries(r)).alias("fields")).cast(STYLE))
@@ -274,10 +269,6 @@ def parse_ass(df: DataFrame) -> DataFrame:
     return out.drop(*[c for c in out.columns if c.startswith("__")])
 
 
-def _split(text: Column, n: Column) -> Column:
-    return F.split(text, ",", n)
-
-
 def _places(lines: str, test) -> Column:
     """Places, from 0, of the lines that pass the test."""
     marked = F.transform(lines, lambda x, i: F.struct(test(x).alias("hit"), i.alias("i")))
