@@ -234,7 +234,7 @@ def scanner(kind: str):
     def scan(texts: pd.Series) -> pd.Series:
         return texts.map(lambda a: None if a is None else [one(t) for t in a])
 
-    return scan
+    return scan.asNondeterministic()  # else the optimizer copies the call into every expression that reads it
 
 
 def renderer(kind: str):
@@ -251,4 +251,4 @@ def renderer(kind: str):
     def render(cues: pd.Series) -> pd.Series:
         return cues.map(lambda a: None if a is None else [one(c) for c in a])
 
-    return render
+    return render.asNondeterministic()

@@ -29,6 +29,11 @@ TAG = r"<(/?)([a-zA-Z][a-zA-Z0-9]*)(?:\s[^<>]*)?/?\s*>"
 ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "lrm": "\u200e", "rlm": "\u200f", "amp": "&"}
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` reads it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def trim_ws(c: Column) -> Column:
     """Without Unicode white space and byte order marks at both ends."""
     return F.regexp_replace(c, rf"\A{WS}+|{WS}+\z", "")

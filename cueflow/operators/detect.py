@@ -64,9 +64,10 @@ def detection(text: Column, name: Column, signatures: list[Signature] = SIGNATUR
     for order, fmt in enumerate(FORMATS):
         own = [s for s in signatures if s.fmt == fmt]
         evidence = F.array_compact(F.array(*[F.when(matches(s, text), F.lit(s.id)) for s in own], F.lit(None).cast("string")))
-        weights = F.create_map(*[F.lit(x) for s in own for x in (s.id, s.weight)])
         by_ext = F.coalesce(ext == fmt, F.lit(False))
-        score = F.aggregate(evidence, F.lit(0), lambda a, e, w=weights: a + F.element_at(w, e)) + F.when(by_ext, F.lit(EXTENSION_BONUS)).otherwise(0)
+        score = F.when(by_ext, F.lit(EXTENSION_BONUS)).otherwise(0)
+        for s in own:
+            score = score + F.when(F.array_contains(evidence, s.id), F.lit(s.weight)).otherwise(0)
         ranked.append(F.struct((-score).alias("rank"), (~by_ext).alias("no_ext"), (-F.size(evidence)).alias("few"), F.lit(order).alias("order"), F.lit(fmt).alias("format"), evidence.alias("evidence")))
     return F.sort_array(F.array(*ranked))
 

@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -537,15 +539,20 @@ def batch_summary(spark, sf_dir):
 
 @query(f"WITH {_conv()}, n AS (SELECT doc_id, count(*) AS k FROM c {_SHOWN} GROUP BY doc_id) SELECT s.target AS source, t.target AS target, CAST(count(*) AS BIGINT) AS files, CAST(sum(k) AS BIGINT) AS cues, CAST(0 AS BIGINT) AS failed FROM n, (VALUES {_TARGETS}) AS s(target), (VALUES {_TARGETS}) AS t(target) GROUP BY 1, 2")
 def convert_matrix_counts(spark, sf_dir):
-    """Every format into every format, and the output parsed again."""
-    out = None
-    for source in _FORMATS:
-        texts = _written(spark, sf_dir, source, cues_conv(spark, sf_dir).withColumn("start_ms", F.col("start_ms") % 3_000_000).withColumn("end_ms", F.col("start_ms") + 900)).withColumnRenamed("content", "text")
-        for target in _FORMATS:
-            done = cv.convert_texts(texts, source, target).select("doc_id", F.col("content").alias("text"), F.col("error").alias("first_error"))
-            again = parse(done, target).select(F.lit(source).alias("source"), F.lit(target).alias("target"), F.size("cues").alias("n"), (F.col("error").isNotNull() | F.col("first_error").isNotNull()).alias("bad"))
-            out = again if out is None else out.unionAll(again)
-    return out.groupBy("source", "target").agg(F.count(F.lit(1)).alias("files"), F.sum("n").alias("cues"), F.count_if("bad").alias("failed"))
+    """Every format into every format, and the output parsed again.
+
+    Each step is one table with a branch for each format, kept for the next, so that 24 small plans do the work of 36 long ones.
+    """
+    cues = cues_conv(spark, sf_dir).withColumn("start_ms", F.col("start_ms") % 3_000_000).withColumn("end_ms", F.col("start_ms") + 900)
+
+    def each(step):
+        return reduce(DataFrame.unionAll, [step(fmt) for fmt in _FORMATS]).persist()
+
+    texts = each(lambda f: _written(spark, sf_dir, f, cues).select("doc_id", F.lit(f).alias("source"), F.col("content").alias("text")))
+    docs = each(lambda f: parse(texts.filter(F.col("source") == f), f))
+    done = each(lambda f: cv.converted_documents(docs, F.col("source"), f).select("source", F.lit(f).alias("target"), F.col("content").alias("text"), F.col("error").alias("first_error")))
+    again = each(lambda f: parse(done.filter(F.col("target") == f), f).select("source", "target", F.size("cues").alias("n"), (F.col("error").isNotNull() | F.col("first_error").isNotNull()).alias("bad")))
+    return again.groupBy("source", "target").agg(F.count(F.lit(1)).alias("files"), F.sum("n").alias("cues"), F.count_if("bad").alias("failed"))
 
 
 @query(f"WITH {_conv()}, n AS (SELECT doc_id, count(*) AS k FROM c {_SHOWN} GROUP BY doc_id) SELECT doc_id AS pos, '/in/' || doc_id || '.srt' AS source_path, 'succeeded' AS status, 'srt' AS source_format, '/in/' || doc_id || '.ass' AS output_path, CAST(k AS INTEGER) AS cue_count, '' AS kinds FROM n UNION ALL SELECT -1, '/in/bad.srt', 'failed', NULL, NULL, 0, ''")

@@ -12,7 +12,7 @@ from cueflow.functions.text import is_blank
 from cueflow.operators import paths
 from cueflow.operators.loss import WARNING, loss_of
 from cueflow.operators.model import shift_array
-from cueflow.plans.parse import CUE, ERROR, parse
+from cueflow.plans.parse import CUE, ERROR, PAIR, STYLE, empty, parse, parse_by
 from cueflow.plans.write import write
 from cueflow.sources.encoding import encode
 from cueflow.sources.files import documents
@@ -58,11 +58,15 @@ def convert_texts(df: DataFrame, source: str, target: str, offset_ms: int = 0) -
 
     Cues that the writer leaves out for want of text are counted too.
     """
-    docs = parse(df, source)
+    return converted_documents(parse(df, source), F.lit(source), target, offset_ms)
+
+
+def converted_documents(docs: DataFrame, source: Column, target: str, offset_ms: int = 0) -> DataFrame:
+    """The same from parsed documents, whose formats the column ``source`` names."""
     none = F.size("cues") == 0
     docs = docs.withColumn("error", F.coalesce("error", F.when(none, _error("emptyDocument", "The file contains no subtitle entries."))))
     docs = docs.withColumn("cues", shift_array(F.col("cues"), offset_ms))
-    docs = docs.withColumn("warnings", loss_of(F.lit(source), F.lit(target))).withColumn("cue_count", F.size("cues"))
+    docs = docs.withColumn("warnings", loss_of(source, F.lit(target))).withColumn("cue_count", F.size("cues"))
     out = write(docs, target)
     blank = F.when(is_blank(F.col("content")), _error("emptyDocument", "The file contains no subtitle entries to write."))
     out = out.withColumn("error", F.coalesce("error", blank))
@@ -72,22 +76,17 @@ def convert_texts(df: DataFrame, source: str, target: str, offset_ms: int = 0) -
 
 
 def convert_documents(docs: DataFrame, options: Options) -> DataFrame:
-    """Detected documents (text, format, error) with ``content``, ``warnings``, ``cue_count``; narrow.
-
-    Each source format has its own branch, so a file is read by its own parser only.
-    """
-    keep = [c for c in docs.columns if c not in ("text", "error", "format")]
-    row = docs.select(F.struct(*keep, F.col("error").alias("before")).alias("row"), F.col("format").alias("source"), "text")
-    empty = F.expr(f"cast(array() as array<{WARNING}>)")
-    out = None
-    for fmt in FORMATS:
-        some = convert_texts(row.filter((F.col("source") == fmt) & F.col("row.before").isNull()), fmt, options.target, options.offset_ms)
-        some = some.select("row", "source", "content", "warnings", "cue_count", "error")
-        out = some if out is None else out.unionByName(some)
-    rest = row.filter(F.col("source").isNull() | F.col("row.before").isNotNull())
+    """Detected documents (text, format, error) with ``content``, ``warnings``, ``cue_count``; one narrow pass."""
+    outputs = ("content", "warnings", "cue_count", "source_format")
+    keep = [c for c in docs.columns if c not in ("text", "error", "format", *outputs)]
+    known = F.when(F.col("error").isNull(), F.col("format"))
+    row = docs.select(F.struct(*keep, F.col("error").alias("before")).alias("row"), F.col("format").alias("source"), known.alias("known"), F.coalesce("text", F.lit("")).alias("text"))
     unknown = _error("unsupportedFormat", "The format of this file could not be identified.")
-    rest = rest.select("row", "source", F.lit(None).cast("string").alias("content"), empty.alias("warnings"), F.lit(0).alias("cue_count"), F.coalesce(F.col("row.before").cast(ERROR), unknown).alias("error"))
-    return out.unionByName(rest).select(*[F.col(f"row.{c}") for c in keep], F.col("source").alias("source_format"), "content", "warnings", "cue_count", "error")
+    early = F.coalesce(F.col("row.before").cast(ERROR), F.when(F.col("source").isNull(), unknown))
+    parsed = parse_by(row, "known").withColumn("error", F.coalesce(early, F.col("error")))
+    parsed = parsed.withColumns({"cues": F.coalesce("cues", empty(CUE)), "fields": F.coalesce("fields", empty(PAIR)), "styles": F.coalesce("styles", empty(STYLE))})
+    done = converted_documents(parsed, F.coalesce("source", F.lit("")), options.target, options.offset_ms)
+    return done.select(*[F.col(f"row.{c}") for c in keep], F.col("source").alias("source_format"), "content", "warnings", "cue_count", "error")
 
 
 def convert(files: DataFrame, options: Options, existing: DataFrame, folders: DataFrame | None = None) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cueflow.functions import markup
-from cueflow.functions.text import HS, WS, ass_plain, field_ci, has_visible_text, last_wins, normalize, strip_overrides, strip_tags, trim_ws
+from cueflow.functions.asslines import sections
+from cueflow.functions.text import HS, WS, ass_plain, field_ci, has_visible_text, last_wins, let, normalize, strip_overrides, strip_tags, trim_ws
 from cueflow.functions.timecode import parse_ms
 
 FALLBACK_MS = 5000
@@ -109,13 +110,13 @@ def _after(line: Column, mark: str) -> Column:
 
 def parse_srt(df: DataFrame) -> DataFrame:
     def cue(b: Column) -> Column:
-        line = F.regexp_extract(b, _SRT_BLOCK, 2)
-        index = F.regexp_extract(b, _SRT_BLOCK, 1)
-        start = F.when(F.instr(line, "-->") > 0, parse_ms(trim_ws(_before(line, "-->"))))
-        end = parse_ms(F.regexp_extract(_after(line, "-->"), _TOKEN_TIME, 0))
-        number = F.regexp_replace(index, r"\A0+(?=\d)", "")
-        meta = F.when(index != "", F.array(pair(F.lit("srt.index"), number))).otherwise(empty(PAIR))
-        return raw_cue(start, end, F.regexp_extract(b, _SRT_BLOCK, 3), metadata=meta)
+        number = F.regexp_replace(F.regexp_extract(b, _SRT_BLOCK, 1), r"\A0+(?=\d)", "")
+        meta = let(number, lambda n: F.when(n != "", F.array(pair(F.lit("srt.index"), n))).otherwise(empty(PAIR)))
+        return let(F.regexp_extract(b, _SRT_BLOCK, 2), lambda line: raw_cue(
+            F.when(F.instr(line, "-->") > 0, parse_ms(trim_ws(_before(line, "-->")))),
+            parse_ms(F.regexp_extract(_after(line, "-->"), _TOKEN_TIME, 0)),
+            F.regexp_extract(b, _SRT_BLOCK, 3), metadata=meta,
+        ))
 
     df = df.withColumn("__blocks", blocks(normalize(F.col("text"))))
     df = df.withColumn("__cues", F.transform("__blocks", cue))
@@ -125,10 +126,9 @@ def parse_srt(df: DataFrame) -> DataFrame:
 
 def parse_sbv(df: DataFrame) -> DataFrame:
     def cue(b: Column) -> Column:
-        line = F.substring_index(b, "\n", 1)
         raw = F.when(F.instr(b, "\n") > 0, F.substr(b, F.instr(b, "\n") + 1)).otherwise("")
-        start = F.when(F.instr(line, ",") > 0, parse_ms(trim_ws(_before(line, ","))))
-        return raw_cue(start, parse_ms(trim_ws(_after(line, ","))), strip_tags(strip_overrides(raw)))
+        text = strip_tags(strip_overrides(raw))
+        return let(F.substring_index(b, "\n", 1), lambda line: raw_cue(F.when(F.instr(line, ",") > 0, parse_ms(trim_ws(_before(line, ",")))), parse_ms(trim_ws(_after(line, ","))), text))
 
     df = df.withColumn("__blocks", blocks(normalize(F.col("text"))))
     df = df.withColumn("__cues", F.transform("__blocks", cue))
@@ -166,16 +166,15 @@ def parse_vtt(df: DataFrame) -> DataFrame:
         return ~(line.rlike(r"\ANOTE(?:\z|[ \t])") | line.isin("STYLE", "REGION"))
 
     def cue(b: Column) -> Column:
-        line = F.regexp_extract(b, _VTT_CUE, 2)
-        after = _after(line, "-->")
-        name = F.regexp_extract(b, _VTT_CUE, 1)
-        settings = trim_ws(F.regexp_replace(after, rf"\A{WS}*{_NOT_WS}+", ""))
-        meta = F.concat(
-            F.when(name != "", F.array(pair(F.lit("vtt.identifier"), name))).otherwise(empty(PAIR)),
-            F.when(F.coalesce(settings, F.lit("")) != "", F.array(pair(F.lit("vtt.settings"), settings))).otherwise(empty(PAIR)),
-        )
-        start = F.when(line != "", parse_ms(trim_ws(_before(line, "-->")), 2))
-        return raw_cue(start, parse_ms(F.regexp_extract(after, rf"{_NOT_WS}+", 0), 2), F.regexp_extract(b, _VTT_CUE, 3), metadata=meta)
+        settings = lambda after: trim_ws(F.regexp_replace(after, rf"\A{WS}*{_NOT_WS}+", ""))
+        known = lambda k, value: let(value, lambda v: F.when(F.coalesce(v, F.lit("")) != "", F.array(pair(F.lit(k), v))).otherwise(empty(PAIR)))
+
+        def of(line: Column, after: Column) -> Column:
+            meta = F.concat(known("vtt.identifier", F.regexp_extract(b, _VTT_CUE, 1)), known("vtt.settings", settings(after)))
+            start = F.when(line != "", parse_ms(trim_ws(_before(line, "-->")), 2))
+            return raw_cue(start, parse_ms(F.regexp_extract(after, rf"{_NOT_WS}+", 0), 2), F.regexp_extract(b, _VTT_CUE, 3), metadata=meta)
+
+        return let(F.regexp_extract(b, _VTT_CUE, 2), lambda line: let(_after(line, "-->"), lambda after: of(line, after)))
 
     df = df.withColumn("__cues", F.transform(F.filter("__blocks", kept), cue))
     error = F.when(~is_vtt, syntax_error(F.lit("Not a WebVTT file: the first line must start with WEBVTT."))).otherwise(_whole_file(F.col("__cues"), "WebVTT", "timing line", None))
@@ -207,78 +206,25 @@ def parse_lrc(df: DataFrame, fallback_ms: int = FALLBACK_MS) -> DataFrame:
     df = df.withColumn("__metas", F.transform(metas, lambda t: pair(F.regexp_extract(t["tag"], _LRC_META, 1), F.regexp_extract(t["tag"], _LRC_META, 2))))
     title = F.element_at(F.concat(F.array(none("string")), F.transform(F.filter("__metas", lambda e: F.lower(e["k"]) == "ti"), lambda e: e["v"])), -1)
 
-    def cue(c: Column, i: Column) -> Column:
-        following = F.get(s, i + 1)["s"]
+    def cue(c: Column, after: Column) -> Column:
+        following = after["s"]
         return raw_cue(c["s"], F.when(following > c["s"], following).otherwise(c["s"] + fallback_ms), c["rest"])
 
     nothing = (F.size(s) == 0) & (F.size("__metas") == 0)
     error = F.when(nothing, syntax_error(F.lit("Not an LRC file: no timestamp tags or metadata tags found.")))
-    out = _document(df, F.transform(s, cue), error, title, fields=last_wins(F.col("__metas")))
+    out = _document(df, F.zip_with(s, F.slice(s, 2, F.size(s)), cue), error, title, fields=last_wins(F.col("__metas")))
     return _unmarked(out).drop("__tags", "__starts", "__metas")
 
 
 def parse_ass(df: DataFrame) -> DataFrame:
-    """ASS and SSA: either dialect's style section is read.
-
-    Lines are cut at section headers, and a section's lines at its ``Format:`` lines, by the places of
-    those lines in the array, so the state that the format carries from line to line needs no scan.
-    """
-    lines = F.filter(F.transform(F.split(normalize(F.col("text")), "\n"), trim_ws), lambda x: (x != "") & ~x.startswith(";"))
-    df = df.withColumn("__lines", lines)
-    df = df.withColumn("__at", _places("__lines", lambda x: x.startswith("[") & x.endswith("]")))
-    section = lambda head: F.lower(trim_ws(F.substr(head, F.lit(2), F.length(head) - 2)))
-    df = df.withColumn("__parts", _chunks("__lines", "__at"))
-
-    def body(*names: str) -> Column:
-        return F.flatten(F.transform(F.filter("__parts", lambda p: section(p["head"]).isin(*names)), lambda p: p["lines"]))
-
-    key = lambda x: F.when(F.instr(x, ":") > 1, F.lower(trim_ws(F.substring_index(x, ":", 1)))).otherwise("")
-    value = lambda x: F.substr(x, F.instr(x, ":") + 1)
-    df = df.withColumn("__info", F.filter(body("script info"), lambda x: F.instr(x, ":") > 1))
-    info = F.filter(F.transform("__info", lambda x: pair(trim_ws(F.substring_index(x, ":", 1)), trim_ws(value(x)))), lambda e: e["k"] != "")
-    df = df.withColumn("__entries", info)
-    title = F.element_at(F.concat(F.array(none("string")), F.transform(F.filter("__entries", lambda e: F.lower(e["k"]) == "title"), lambda e: e["v"])), -1)
-    for name, heads in (("__style", ("v4+ styles", "v4 styles")), ("__event", ("events",))):
-        df = df.withColumn(name + "s", body(*heads))
-        df = df.withColumn(name + "_at", _places(name + "s", lambda x: key(x) == "format"))
-        df = df.withColumn(name + "_chunks", _chunks(name + "s", name + "_at"))
-    # Names are read once for each chunk; a row's values are split once, the last one taking what is left.
-    names = lambda head: F.filter(F.transform(F.split(value(head), ","), trim_ws), lambda x: x != "")
-    for name, wanted in (("__style", "style"), ("__event", "dialogue")):
-        kept = lambda p, w=wanted: F.transform(F.filter(p["lines"], lambda x: key(x) == w), value)
-        df = df.withColumn(name + "_named", F.transform(name + "_chunks", lambda p: F.struct(names(p["head"]).alias("names"), kept(p).alias("rows"))))
-        split = lambda p: F.transform(p["rows"], lambda v: F.struct(p["names"].alias("names"), F.split(v, ",", F.size(p["names"])).alias("parts")))
-        df = df.withColumn(name + "_split", F.flatten(F.transform(F.filter(name + "_named", lambda p: F.size(p["names"]) > 0), split)))
-        padded = lambda r: F.transform(F.concat(r["parts"], F.array_repeat(F.lit(""), F.size(r["names"]) - F.size(r["parts"]))), trim_ws)
-        df = df.withColumn(name + "_rows", F.transform(name + "_split", lambda r: F.struct(r["names"].alias("names"), F.transform(r["names"], F.lower).alias("lower"), padded(r).alias("values"))))
-    entries = lambda r: F.zip_with(r["names"], r["values"], pair)
-    last = lambda r, name: F.element_at(F.concat(F.array(F.lit("")), F.transform(F.filter(entries(r), lambda e: F.lower(e["k"]) == name), lambda e: e["v"])), -1)
-    styles = F.transform("__style_rows", lambda r: F.struct(last(r, "name").alias("name"), last_wins(entries(r)).alias("fields")).cast(STYLE))
-    special = ("start", "end", "text", "style")
-
-    def cue(r: Column) -> Column:
-        of = lambda name: F.element_at(r["values"], F.array_position(r["lower"], name).cast("int"))
-        style = F.when(F.array_contains(r["lower"], "style"), F.nullif(of("style"), F.lit("")))
-        return raw_cue(parse_ms(of("start")), parse_ms(of("end")), of("text"), style, F.filter(entries(r), lambda e: ~F.lower(e["k"]).isin(*special)))
-
-    complete = F.filter("__event_rows", lambda r: F.array_contains(r["lower"], "start") & F.array_contains(r["lower"], "end") & F.array_contains(r["lower"], "text"))
-    df = df.withColumn("__cues", F.transform(complete, cue))
+    """ASS and SSA: either dialect's style section is read."""
+    df = df.withColumn("__ass", sections(normalize(F.col("text"))))
+    cue = lambda e: raw_cue(parse_ms(e["start"]), parse_ms(e["end"]), e["text"], e["style"], e["rest"])
+    df = df.withColumn("__cues", F.transform("__ass.events", cue))
     bad = F.exists("__cues", lambda c: c["start_ms"].isNull() | c["end_ms"].isNull())
-    out = _document(df, F.col("__cues"), F.when(bad, syntax_error(F.lit("Invalid start or end time of a dialogue line."))), title, fields=last_wins(F.col("__entries")), styles=styles)
-    out = _finish(out, "ass")
-    return out.drop(*[c for c in out.columns if c.startswith("__")])
-
-
-def _places(lines: str, test) -> Column:
-    """Places, from 0, of the lines that pass the test."""
-    marked = F.transform(lines, lambda x, i: F.struct(test(x).alias("hit"), i.alias("i")))
-    return F.transform(F.filter(marked, lambda m: m["hit"]), lambda m: m["i"])
-
-
-def _chunks(lines: str, places: str) -> Column:
-    """The lines from each place to the next one: head and the lines below it."""
-    end = lambda j: F.coalesce(F.get(places, j + 1), F.size(lines))
-    return F.transform(places, lambda at, j: F.struct(F.get(lines, at).alias("head"), F.slice(lines, at + 2, end(j) - at - 1).alias("lines")))
+    error = F.when(bad, syntax_error(F.lit("Invalid start or end time of a dialogue line.")))
+    out = _document(df, F.col("__cues"), error, F.col("__ass.title"), fields=F.col("__ass.info"), styles=F.col("__ass.styles"))
+    return _finish(out, "ass").drop("__ass", "__cues")
 
 
 PARSERS = {"srt": parse_srt, "vtt": parse_vtt, "lrc": parse_lrc, "sbv": parse_sbv, "ass": parse_ass, "ssa": parse_ass}
@@ -289,6 +235,26 @@ def parse(df: DataFrame, fmt: str) -> DataFrame:
     return PARSERS[fmt](df.withColumn("text", F.coalesce("text", F.lit("")))).withColumn("format", F.lit(fmt)).drop("text")
 
 
+DOCUMENT = ("title", "language", "fields", "styles", "error", "cues")
+
+
+def parse_by(df: DataFrame, fmt: str) -> DataFrame:
+    """``df`` (with ``text`` and the format's name in column ``fmt``) with the columns of a document; one narrow pass.
+
+    Every parser takes the texts of its own formats and finds the others empty. Columns of ``df`` other
+    than ``fmt`` must not have names of the document's columns.
+    """
+    own = {"srt": ["srt"], "vtt": ["vtt"], "lrc": ["lrc"], "sbv": ["sbv"], "ass": ["ass", "ssa"]}
+    df = df.withColumnRenamed("text", "__raw")
+    for name, formats in own.items():
+        mine = F.col(fmt).isin(*formats)
+        df = PARSERS[name](df.withColumn("text", F.when(mine, F.col("__raw")).otherwise("")))
+        df = df.withColumn(f"__{name}", F.when(mine, F.struct(*DOCUMENT))).drop("text", *DOCUMENT)
+    document = F.coalesce(*[F.col(f"__{name}") for name in own])
+    df = df.withColumn("__document", document).drop("__raw", *[f"__{name}" for name in own])
+    return df.select(*[c for c in df.columns if c != "__document"], "__document.*")
+
+
 def cues_of(documents: DataFrame, *keys: str) -> DataFrame:
     """One row per cue: the keys, cue_seq (from 0) and the cue's columns."""
     return documents.select(*keys, F.posexplode("cues").alias("cue_seq", "cue")).select(*keys, "cue_seq", "cue.*")

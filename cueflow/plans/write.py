@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cueflow.functions import markup
-from cueflow.functions.text import ass_escape, escape_entities, field_ci, fold_newlines, has_visible_text, trim_ws
+from cueflow.functions.text import ass_escape, escape_entities, field_ci, fold_newlines, has_visible_text, let, trim_ws
 from cueflow.functions.timecode import ass_time, lrc_time, sbv_time, srt_time, vtt_time
 from cueflow.plans.parse import CUE, FALLBACK_MS, PAIR, STYLE, empty
 
@@ -33,15 +33,12 @@ LRC_FIRST = ("ti", "ar", "al", "by", "offset", "length")
 
 def with_ends(cues: Column, fallback_ms: int = FALLBACK_MS) -> Column:
     """Cues in their order, each missing end filled by the next later start, else by the fallback."""
-    order = F.array_sort(F.transform(cues, lambda c, i: F.struct(c["start_ms"].alias("s"), i.alias("i"))))
+    def filled(c: Column) -> Column:
+        order = F.array_sort(F.transform(c, lambda x, i: F.struct(x["start_ms"].alias("s"), i.alias("i"))))
+        after = let(order, lambda o: F.zip_with(o, F.slice(o, 2, F.size(o)), lambda x, y: F.struct(x["i"].alias("i"), F.when(y["s"] > x["s"], y["s"]).otherwise(x["s"] + fallback_ms).alias("end"))))
+        return F.zip_with(c, F.array_sort(after), lambda x, e: x.withField("end_ms", F.coalesce(x["end_ms"], e["end"])))
 
-    def filled(o: Column, k: Column) -> Column:
-        c, after = F.get(cues, o["i"]), F.get(order, k + 1)["s"]
-        end = F.coalesce(c["end_ms"], F.when(after > c["start_ms"], after), c["start_ms"] + fallback_ms)
-        return F.struct(o["i"].alias("i"), c.withField("end_ms", end).alias("c"))
-
-    done = F.transform(F.array_sort(F.transform(order, filled), lambda a, b: a["i"] - b["i"]), lambda x: x["c"])
-    return F.when(F.exists(cues, lambda c: c["end_ms"].isNull()), done).otherwise(cues)
+    return let(cues, lambda c: F.when(F.exists(c, lambda x: x["end_ms"].isNull()), filled(c)).otherwise(c))
 
 
 def _visible(df: DataFrame, cues: Column) -> DataFrame:
@@ -59,7 +56,7 @@ def _rendered(df: DataFrame, kind: str, plain) -> DataFrame:
 
 def _blocks(df: DataFrame, block) -> Column:
     """Blocks of (cue, its text, number from 0) joined by blank lines, ended by a line feed."""
-    both = F.transform("__cues", lambda c, i: block(c, F.get("__lines", i), i))
+    both = F.transform(F.arrays_zip("__cues", "__lines"), lambda z, i: block(z["__cues"], z["__lines"], i))
     return F.when(F.size("__cues") == 0, F.lit("")).otherwise(F.concat(F.array_join(both, "\n\n"), F.lit("\n")))
 
 
@@ -97,8 +94,8 @@ def write_sbv(df: DataFrame) -> DataFrame:
 def write_lrc(df: DataFrame) -> DataFrame:
     ordered = F.transform(F.array_sort(F.transform("cues", lambda c, i: F.struct(c["start_ms"].alias("s"), i.alias("i"), c["text"].alias("text")))), lambda x: x)
     lines = F.transform(F.filter(ordered, lambda x: has_visible_text(x["text"])), lambda x: F.concat(F.lit("["), lrc_time(x["s"]), F.lit("]"), F.array_join(F.transform(F.split(x["text"], "\n"), trim_ws), " ")))
-    firsts = [F.slice(F.filter("fields", lambda e, k=k: F.lower(e["k"]) == k), 1, 1) for k in LRC_FIRST]
-    df = df.withColumn("__first", F.concat(*firsts))
+    named = lambda key: F.slice(F.filter("fields", lambda e: F.lower(e["k"]) == key), 1, 1)
+    df = df.withColumn("__first", F.concat(*[named(k) for k in LRC_FIRST]))
     rest = F.filter("fields", lambda e: ~F.array_contains(F.transform("__first", lambda x: x["k"]), e["k"]))
     df = df.withColumn("__tags", F.transform(F.concat("__first", rest), lambda e: F.concat(F.lit("["), e["k"], F.lit(":"), e["v"], F.lit("]")))).withColumn("__cue_lines", lines)
     blank = F.when((F.size("__tags") > 0) & (F.size("__cue_lines") > 0), F.array(F.lit(""))).otherwise(empty("string"))
@@ -138,11 +135,11 @@ def write_ass(df: DataFrame, dialect: str = "ass") -> DataFrame:
             return F.when(raw == "", F.lit("0")).otherwise(raw)
         return F.when(raw == "", F.lit("Marked=0")).when(trim_ws(raw).rlike(r"\A[+-]?\d+\z"), F.concat(F.lit("Marked="), raw)).otherwise(raw)
 
-    def event_line(c: Column, i: Column) -> Column:
+    def event_line(c: Column, text: Column) -> Column:
         number = lambda k: F.coalesce(F.nullif(_meta_ci(c, k), F.lit("")), F.lit("0"))
         word = lambda k: F.coalesce(_meta_ci(c, k), F.lit(""))
         style = F.coalesce(F.nullif(trim_ws(c["style_ref"]), F.lit("")), F.lit("Default"))
-        values = [layer(c), ass_time(c["start_ms"]), ass_time(c["end_ms"]), style, word("Name"), number("MarginL"), number("MarginR"), number("MarginV"), word("Effect"), F.get("__lines", i)]
+        values = [layer(c), ass_time(c["start_ms"]), ass_time(c["end_ms"]), style, word("Name"), number("MarginL"), number("MarginR"), number("MarginV"), word("Effect"), text]
         return F.concat(F.lit("Dialogue: "), F.concat_ws(",", *values), F.lit("\n"))
 
     content = F.concat(
@@ -150,7 +147,7 @@ def write_ass(df: DataFrame, dialect: str = "ass") -> DataFrame:
         F.lit(f"\n{STYLE_SECTION[dialect]}\nFormat: {', '.join(names)}\n"),
         F.array_join(F.transform(styles, style_line), ""),
         F.lit(f"\n[Events]\nFormat: {', '.join(EVENT_FIELDS[dialect])}\n"),
-        F.array_join(F.transform("__cues", event_line), ""),
+        F.array_join(F.zip_with("__cues", "__lines", event_line), ""),
     )
     return df.withColumn("content", content)
 

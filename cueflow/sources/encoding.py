@@ -134,8 +134,8 @@ def decode(files: DataFrame, content: str = "content") -> DataFrame:
     df = df.withColumn("__guess", _guessed(F.when(m.isNull() & ~F.col("__plain"), raw)))
     marked = (
         F.when(m == "UTF-8 BOM", F.when(F.is_valid_utf8(body(3).cast("string")), body(3).cast("string")))
-        .when(m == "UTF-32 LE", wide(4, "UTF-32LE"))
-        .when(m == "UTF-32 BE", wide(4, "UTF-32BE"))
+        .when(m == "UTF-32 LE", F.when(_well_formed(body(4), "UTF-32LE"), F.decode(raw, "UTF-32")))  # the mark tells the order
+        .when(m == "UTF-32 BE", F.when(_well_formed(body(4), "UTF-32BE"), F.decode(raw, "UTF-32")))
         .when(m == "UTF-16 LE", wide(2, "UTF-16LE"))
         .when(m == "UTF-16 BE", wide(2, "UTF-16BE"))
     )
