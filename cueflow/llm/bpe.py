@@ -18,6 +18,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cueflow.llm.runtime import in_batches
+
 #: Characters of text after which a block ends.
 BLOCK_CHARS = 16_000_000
 #: A text of more characters than this is still one row, but starts a block of its own.
@@ -174,9 +176,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
                 out[1].append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat[pick], pa.int32())))
         return pa.table({key: pa.chunked_array(out[0]), "ids": pa.chunked_array(out[1])})
 
-    words = slim.mapInArrow(lists, "class int, block bigint, words binary")
-    encoded = words.repartition(F.col("class")).mapInArrow(encode_words, "block bigint, class int, sizes binary, ids binary")
-    texts = slim.mapInArrow(positions, "block bigint, keys array<bigint>, lengths array<int>, at binary")
+    words = in_batches(slim, lists, "class int, block bigint, words binary")
+    encoded = in_batches(words.repartition(F.col("class")), encode_words, "block bigint, class int, sizes binary, ids binary")
+    texts = in_batches(slim, positions, "block bigint, keys array<bigint>, lengths array<int>, at binary")
     return texts.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(join, f"`{key}` bigint, ids array<int>")
 
 
@@ -206,7 +208,7 @@ def decode(encoded: DataFrame, ranks_path: str, key: str = "doc_id") -> DataFram
                 data = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(flat[pick].tobytes())])
                 yield pa.RecordBatch.from_arrays([part.column(0), data], [key, "decoded"])
 
-    return encoded.select(key, "ids").mapInArrow(run, f"`{key}` {kind}, decoded binary")
+    return in_batches(encoded.select(key, "ids"), run, f"`{key}` {kind}, decoded binary")
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:

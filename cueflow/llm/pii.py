@@ -263,5 +263,5 @@ def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", inverse: bool
             numbers = [pa.array([n[i] for _, n in done], pa.int32()) for i in range(len(KINDS))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t for t, _ in done], pa.string()), *numbers], ["row", "text", *counts])
 
-    out = packed.mapInArrow(run, f"row {kind}, text string, " + ", ".join(f"{c} int" for c in counts))
+    out = in_batches(packed, run, f"row {kind}, text string, " + ", ".join(f"{c} int" for c in counts))
     return out.select(*[F.col("text").alias(text) if c == text else F.col(f"row.`{c}`") for c in rest], *counts)

@@ -51,6 +51,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch. Texts may be long, and the JVM and Python hold a batch at once.
+BATCH_ROWS = 256
+
+
+def in_batches(df: DataFrame, run, schema: str) -> DataFrame:
+    """``df.mapInArrow``, with batches of at most BATCH_ROWS rows from here on in the session."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(name))
+    if now <= 0 or now > BATCH_ROWS:
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def held_out(doc_id: str = "doc_id"):
     """True for the third of ids that no model may learn from: crc32 of the id as text, modulo 3, is 1."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))

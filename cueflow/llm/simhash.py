@@ -15,11 +15,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cueflow.llm.runtime import Cut, cut
+from cueflow.llm.runtime import Cut, cut, in_batches
 
 RADIUS = 2
 #: Texts are taken in pieces of about so many bytes, cut at white space.
-PIECE = 1 << 22
+PIECE = 1 << 18
 SEED = 42
 
 
@@ -64,10 +64,10 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            fp = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], np.uint64).astype(np.int64)
+            fp = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], np.uint64).astype(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, fp bigint")
+    return in_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), run, "doc_id bigint, fp bigint")
 
 
 def links(values: DataFrame, radius: int = RADIUS) -> DataFrame:

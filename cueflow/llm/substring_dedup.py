@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cueflow.llm.runtime import cut, mix, space_table, span_hashes, text_bytes, word_spans
+from cueflow.llm.runtime import cut, in_batches, mix, space_table, span_hashes, text_bytes, word_spans
 
 WINDOW = 35
 #: Words of the runs that minimizers are chosen from.
@@ -190,7 +190,7 @@ def _occurrences(keyed: DataFrame, window: int) -> DataFrame:
                     ["key", "start", "windows", "least", "span", "loop"],
                 )
 
-    return keyed.select("key", "text").mapInArrow(run, "key bigint, start int, windows int, least bigint, span bigint, loop int")
+    return in_batches(keyed.select("key", "text"), run, "key bigint, start int, windows int, least bigint, span bigint, loop int")
 
 
 def _span_words(wanted: DataFrame, window: int) -> DataFrame:
@@ -214,7 +214,7 @@ def _span_words(wanted: DataFrame, window: int) -> DataFrame:
                     ["key", "start", "windows", "least", "copies", "crowded", "words"],
                 )
 
-    return wanted.mapInArrow(run, "key bigint, start int, windows int, least bigint, copies bigint, crowded boolean, words array<bigint>")
+    return in_batches(wanted, run, "key bigint, start int, windows int, least bigint, copies bigint, crowded boolean, words array<bigint>")
 
 
 def _match_shards(rows: DataFrame, window: int) -> DataFrame:
@@ -242,7 +242,7 @@ def _match_shards(rows: DataFrame, window: int) -> DataFrame:
             out = []
         yield emit(settle(group) if group else [])
 
-    return rows.select("least", "key", "start", "copies", "words").mapInArrow(run, "key bigint, start int, mask bigint")
+    return in_batches(rows.select("least", "key", "start", "copies", "words"), run, "key bigint, start int, mask bigint")
 
 
 def _single_windows(rows: DataFrame, window: int) -> DataFrame:
@@ -280,7 +280,7 @@ def _single_windows(rows: DataFrame, window: int) -> DataFrame:
         if parts:
             yield send(parts)
 
-    return rows.select("key", "start", "copies", "windows", "words").mapInArrow(run, "hash bigint, copies bigint, places array<struct<key:bigint,start:int>>")
+    return in_batches(rows.select("key", "start", "copies", "windows", "words"), run, "hash bigint, copies bigint, places array<struct<key:bigint,start:int>>")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, shard_spans: int = SHARD_SPANS) -> DataFrame:
@@ -337,4 +337,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, shard_spans: int = SHA
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     joined = texts.join(removed, "key", "left").select("doc_id", "text", "gone")
-    return joined.mapInArrow(run, f"doc_id {kind}, n_words bigint, n_removed bigint, kept string")
+    return in_batches(joined, run, f"doc_id {kind}, n_words bigint, n_removed bigint, kept string")
