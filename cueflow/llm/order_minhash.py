@@ -69,7 +69,7 @@ def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     # Each lane's least k-mer, repeated for the empty lanes before it; the first also for those after the last.
     before = lambda i: F.coalesce(lane(F.get(v, i - 1)), F.lit(-1))
     filled = F.flatten(F.transform(v, lambda x, i: F.array_repeat(x, lane(x) - before(i))))
-    df = df.withColumn(dense, F.concat(filled, F.array_repeat(F.get(v, F.lit(0)), F.lit(_LANES - 1) - lane(F.element_at(v, -1)))))
+    df = df.withColumn(dense, F.concat(filled, F.array_repeat(F.get(v, F.lit(0)), F.lit(_LANES - 1) - lane(F.get(v, F.size(v) - 1)))))
     d = F.col(dense)
     by_place = lambda x: F.shiftleft(x, 63 - PLACE_BITS).bitwiseOR(F.shiftright(x, PLACE_BITS))
 
