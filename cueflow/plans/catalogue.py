@@ -546,7 +546,7 @@ def convert_srt_to_vtt(spark, sf_dir):
     return done.select("doc_id", "cue_count", F.coalesce("error.failure", F.lit("")).alias("failure"))
 
 
-# Not registered: planning the two queries below takes minutes (see the README).
+# Not registered: the two queries below gave no result within minutes (see the README).
 _MATRIX_SQL = (f"WITH {_conv()}, n AS (SELECT doc_id, count(*) AS k FROM c {_SHOWN} GROUP BY doc_id) SELECT s.target AS source, t.target AS target, CAST(count(*) AS BIGINT) AS files, CAST(sum(k) AS BIGINT) AS cues, CAST(0 AS BIGINT) AS failed FROM n, (VALUES {_TARGETS}) AS s(target), (VALUES {_TARGETS}) AS t(target) GROUP BY 1, 2")
 def convert_matrix_counts(spark, sf_dir):
     """Every format into every format, and the output parsed again.
