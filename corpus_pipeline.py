@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueflow.llm import bpe, decontaminate, line_dedup, quality, simhash
+from cueflow.llm import bpe, decontaminate, line_dedup, quality, shingle_dedup
 from cueflow.llm.runtime import cut, table
 
 
@@ -25,8 +25,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest doc_id of each group of near-duplicates."""
-    return simhash.one_of_each(docs)
+    """Keeps the document of smallest doc_id of each group linked by 5-word-shingle Jaccard of 0.8 or more."""
+    return shingle_dedup.one_of_each(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -133,12 +133,3 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     rooted = distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select(F.col("fp").alias("of"), "component_id")
     return prints.join(named, F.col("fp") == F.col("of")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """The rows of ``docs`` without those that have a near-duplicate of smaller doc_id.
-
-    Of rows that share the kept doc_id all stay, as does a component without ids.
-    """
-    kept = near_duplicates(docs, shingle).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
