@@ -17,6 +17,8 @@ from hashlib import blake2b
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cueflow.llm.runtime import in_batches
+
 KINDS = ("card", "ssn", "phone", "ipv4", "iban", "date", "email")
 ROUNDS = 8
 FIRST_DAY, LAST_DAY = date(1900, 1, 1), date(2099, 12, 31)
@@ -204,7 +206,7 @@ _SHAPES = re.compile(
 )
 _WRITE = {"card": _card, "ssn": _ssn, "phone": _phone, "ipv4": _ipv4, "iban": _iban, "date": _date, "email": _email}
 _ANY = re.compile(r"[0-9@]")
-#: A shape is shorter than this, so a place of interest is looked at with so many characters around it.
+#: A shape has fewer characters than this before its first digit or @.
 _REACH = 80
 
 
@@ -220,14 +222,11 @@ class Pseudonymiser:
             return text, list(found.values())
         out, at = [], 0
         while m := _ANY.search(text, at):
-            # Shapes are looked for only from the start of the run that holds a digit or an @.
-            start = max(at, m.start() - _REACH)
-            stop = min(len(text), m.end() + _REACH)
-            hit = _SHAPES.search(text, start, stop) if stop == len(text) else _SHAPES.search(text, start, stop + _REACH)
+            # A shape begins at most _REACH before its first digit or @, and is read as far as it goes: an end
+            # put to the search would cut values and pass for the end of the text.
+            hit = _SHAPES.search(text, max(at, m.start() - _REACH))
             if not hit:
-                out.append(text[at:stop])
-                at = stop if stop > m.end() else m.end()
-                continue
+                break
             new = self._one(hit.lastgroup, hit[0])
             if new is None:
                 # Not valid: another shape may still begin within it, after its first digit run.
