@@ -1,10 +1,12 @@
 """Order MinHash fingerprints, sensitive to edit distance, by DataFrame functions only.
 
 A text is its sequence of k-mers of words, each numbered by its occurrence, so repeats are told apart.
-Every numbered k-mer is hashed once and falls into one of TUPLES x PER_TUPLE lanes; the smallest hash
-of each lane is kept with its place in the text. A component of the fingerprint takes its PER_TUPLE
-lanes' k-mers, puts them into the order of the text and hashes the tuple: it survives an edit only if
-the k-mers and their order do. A lane that no k-mer fell into borrows from the next one that has any.
+Each of TUPLES components has an order of all numbered k-mers of its own: k-mers are dealt over TUPLES
+lanes by their hash, and component t's order has lane t's first, by that hash, and all others behind
+them by a hash seeded with t. A component takes the PER_TUPLE least distinct k-mers of its order (a text
+with fewer has them all), puts them into the order of the text and hashes the tuple: it survives an edit
+only if the k-mers and their order do. The order is the same for every text, however short; the seeded
+hashes are only computed where a lane holds too few.
 
 Everything happens in arrays of longs within a row: one sort brings equal k-mers together (their
 occurrence numbers are distances to the start of their run, found by binary lifting), a second one
@@ -24,8 +26,7 @@ K = 5
 TUPLES, PER_TUPLE = 64, 2
 #: Bits of a place; later places are equal. The rest of a long, without its sign, is hash.
 PLACE_BITS = 23
-_LANES = TUPLES * PER_TUPLE
-_LANE_BITS = (_LANES - 1).bit_length()
+_LANE_BITS = (TUPLES - 1).bit_length()
 
 
 _PLACE = (1 << PLACE_BITS) - 1
@@ -66,15 +67,21 @@ def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     df = df.withColumn(lanes, F.sort_array(numbered))
     v = F.col(lanes)
     lane = lambda x: F.shiftright(x, 63 - _LANE_BITS).cast("int")
-    # Each lane's least k-mer, repeated for the empty lanes before it; the first also for those after the last.
+    # For each lane, the index of the first k-mer in it or behind it.
     before = lambda i: F.coalesce(lane(F.get(v, i - 1)), F.lit(-1))
-    filled = F.flatten(F.transform(v, lambda x, i: F.array_repeat(x, lane(x) - before(i))))
-    df = df.withColumn(dense, F.concat(filled, F.array_repeat(F.get(v, F.lit(0)), F.lit(_LANES - 1) - lane(F.get(v, F.size(v) - 1)))))
+    filled = F.flatten(F.transform(v, lambda x, i: F.array_repeat(i, lane(x) - before(i))))
+    df = df.withColumn(dense, F.concat(filled, F.array_repeat(F.size(v), F.lit(TUPLES - 1) - lane(F.get(v, F.size(v) - 1)))))
     d = F.col(dense)
-    by_place = lambda x: F.shiftleft(x, 63 - PLACE_BITS).bitwiseOR(F.shiftright(x, PLACE_BITS))
+    by_place = lambda x: F.shiftleft(x.bitwiseAND(F.lit(_PLACE)), 63 - PLACE_BITS).bitwiseOR(F.shiftright(x, PLACE_BITS))
 
     def component(t):
-        ordered = F.sort_array(F.array(*[by_place(F.get(d, t * PER_TUPLE + j)) for j in range(PER_TUPLE)]))
+        at = F.get(d, t)
+        seeded = lambda x, i: F.when(lane(x) == t, i.cast("bigint")).otherwise(pack(F.xxhash64(_top(x), t), i.cast("bigint")))
+        least = F.slice(F.sort_array(F.transform(v, seeded)), 1, PER_TUPLE)
+        anywhere = F.transform(least, lambda p: F.get(v, p.bitwiseAND(F.lit(_PLACE)).cast("int")))
+        enough = F.coalesce(lane(F.get(v, at + (PER_TUPLE - 1))) == t, F.lit(False))
+        chosen = F.when(enough, F.slice(v, at + 1, PER_TUPLE)).otherwise(anywhere)
+        ordered = F.sort_array(F.transform(chosen, by_place))
         return F.xxhash64(F.transform(ordered, lambda y: y.bitwiseAND(F.lit((1 << (63 - PLACE_BITS)) - 1)))).bitwiseAND(F.lit(0x7FFFFFFF))
 
     numbers = F.array(*[F.lit(t) for t in range(TUPLES)])
