@@ -5,6 +5,10 @@ is left as it is. A valid value is read as a number within its format, permuted
 network over just that range (cycle walking), and written back in the same shape with its check digits
 anew. A permutation has no collisions and needs no state, so equal values stay equal in every
 document and different ones stay different, in any partition and on any retry.
+
+What is equal is told by the value, not by how it is written: a date in any notation, a card with or
+without spaces, a phone number with or without separators. Ten-digit phone numbers without a country
+code count as North American and link with their +1 form; a trunk zero in brackets does not link.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from hashlib import blake2b
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cueflow.llm.runtime import in_batches
+from cueflow.llm.runtime import in_batches, row_and
 
 KINDS = ("card", "ssn", "phone", "ipv4", "iban", "date", "email")
 ROUNDS = 8
@@ -127,16 +131,20 @@ def _ssn(f, s, inverse):
     return f"{area + 1 + (area >= 665):03d}-{group + 1:02d}-{serial + 1:04d}"
 
 
+#: Country calling codes of two digits; 1 and 7 have one, all others three.
+_TWO_DIGITS = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+
 def _phone(f, s, inverse):
     digits = re.sub(r"\D", "", s)
     if not 10 <= len(digits) <= 15:
         return None
-    code = re.match(r"\+(\d{1,3})(?!\d)", s)
-    kept = code[1] if code else ("1" if len(digits) == 11 and digits[0] == "1" else "")
+    if s[0] == "+":
+        code = kept = digits[0] if digits[0] in "17" else digits[:2] if digits[:2] in _TWO_DIGITS else digits[:3]
+    else:
+        code, kept = "1", ""
     body = digits[len(kept) :]
-    if len(body) < 7:
-        return None
-    return _refill(s, kept + str(f.permute(f"phone|{kept}|{len(body)}", int(body), 10 ** len(body), inverse)).zfill(len(body)))
+    return _refill(s, kept + str(f.permute(f"phone|{code}|{len(body)}", int(body), 10 ** len(body), inverse)).zfill(len(body)))
 
 
 def _ipv4(f, s, inverse):
@@ -160,38 +168,46 @@ def _iban(f, s, inverse):
     return "".join(c if c == " " else next(new) for c in s)
 
 
+def _date_class(day: date) -> tuple[bool, int]:
+    """What a notation may tell of a date: whether its month, and whether its day, has one digit, and whether the day can't be a month."""
+    return day.month > 9, 0 if day.day < 10 else 1 if day.day <= 12 else 2
+
+
+@lru_cache(1)
+def _dates() -> tuple[dict, dict]:
+    """Dates by class, and each date's place within its class."""
+    classes: dict[tuple[bool, int], list[date]] = {}
+    for n in range(FIRST_DAY.toordinal(), LAST_DAY.toordinal() + 1):
+        classes.setdefault(_date_class(date.fromordinal(n)), []).append(date.fromordinal(n))
+    return classes, {d: i for all_of in classes.values() for i, d in enumerate(all_of)}
+
+
 def _date(f, s, inverse):
-    a, b, c = re.split(r"[-/.]", s)
-    sep = s[len(a)]
-    if len(a) == 4:
-        order = "ymd"
-    elif sep == "/" and int(a) <= 12:
-        order = "mdy"
-    else:
-        order = "dmy"
-    try:
-        at = dict(zip(order, map(int, (a, b, c)), strict=True))
-        day = date(at["y"], at["m"], at["d"])
-    except ValueError:
-        return None
-    if not FIRST_DAY <= day <= LAST_DAY:
-        return None
-    # All notations share one permutation, so a date stays linked with itself however it is written.
-    # A slashed date read day first walks on until its day still tells that reading.
-    told = sep == "/" and order == "dmy"
-    while True:
-        x = f.permute("date", (day - FIRST_DAY).days, (LAST_DAY - FIRST_DAY).days + 1, inverse)
-        day = FIRST_DAY + timedelta(x)
-        if not told or day.day > 12:
-            break
-    if order == "mdy" or order == "ymd":
-        return sep.join(f"{getattr(day, {'y': 'year', 'm': 'month', 'd': 'day'}[k]):0{4 if k == 'y' else 2}d}" for k in order)
-    return f"{day.day:02d}{sep}{day.month:02d}{sep}{day.year:04d}"
+    fields = re.split(r"[-/.]", s)
+    sep = s[len(fields[0])]
+    # A day that can't be a month tells the order; without one a slash means month first, other signs day first.
+    for order in ("ymd",) if len(fields[0]) == 4 else ("mdy", "dmy") if sep == "/" else ("dmy", "mdy"):
+        at = dict(zip(order, map(int, fields), strict=True))
+        try:
+            day = date(at["y"], at["m"], at["d"])
+        except ValueError:
+            continue
+        if not FIRST_DAY <= day <= LAST_DAY:
+            return None
+        # All notations share one permutation, so a date stays linked with itself however it is written. It keeps
+        # the date's class, so that the notation, and the width of each field, fit the new date too.
+        classes, place = _dates()
+        kind = _date_class(day)
+        new = classes[kind][f.permute(f"date|{kind}", place[day], len(classes[kind]), inverse)]
+        value = {"y": new.year, "m": new.month, "d": new.day}
+        return sep.join(str(value[k]).zfill(len(old)) for k, old in zip(order, fields, strict=True))
+    return None
 
 
 def _email(f, s, inverse):
     local, _, domain = s.rpartition("@")
-    return f"{_shaped(f, 'email', local, inverse)}@{domain}"
+    host, _, top = domain.rpartition(".")
+    return f"{_shaped(f, 'email', local, inverse)}@{_shaped(f, 'email host', host, inverse)}.{top}"
 
 
 #: Shapes in the order in which they are tried at a place in the text.
@@ -245,13 +261,13 @@ def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", inverse: bool
     """``docs`` with pseudonyms in its text column, plus ``n_<kind>`` (int) for each of KINDS.
 
     Null and empty texts stay as they are. Rows are independent of each other, so repeated rows come
-    out equal. Columns of the input named like the counts are replaced; others pass through.
-    ``inverse=True`` with the same key restores the values.
+    out equal. Columns of the input named like the counts are replaced; others pass through. Texts of
+    any length are read whole, an empty table gives none. ``inverse=True`` with the same key restores
+    the values. Dates from FIRST_DAY to LAST_DAY are personal, others are left as they are.
     """
     counts = [f"n_{k}" for k in KINDS]
     rest = [c for c in docs.columns if c not in counts]
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest if c != text]).alias("row"), F.col(f"`{text}`").alias("text"))
-    kind = packed.schema["row"].dataType.simpleString()
 
     def run(batches):
         import pyarrow as pa
@@ -262,5 +278,5 @@ def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", inverse: bool
             numbers = [pa.array([n[i] for _, n in done], pa.int32()) for i in range(len(KINDS))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t for t, _ in done], pa.string()), *numbers], ["row", "text", *counts])
 
-    out = in_batches(packed, run, f"row {kind}, text string, " + ", ".join(f"{c} int" for c in counts))
+    out = in_batches(packed, run, row_and(packed, "row", "text string, " + ", ".join(f"{c} int" for c in counts)))
     return out.select(*[F.col("text").alias(text) if c == text else F.col(f"row.`{c}`") for c in rest], *counts)

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cueflow.llm.runtime import cut, held_out, in_batches, space_table, span_hashes, text_bytes, word_spans
+from cueflow.llm.runtime import cut, held_out, in_batches, row_and, space_table, span_hashes, text_bytes, word_spans
 
 FEATURES = (
     "log_words",
@@ -97,8 +97,6 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def with_statistics(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """The key column and FEATURES (double) of every row; a null text counts as empty."""
-    kind = docs.schema[key].dataType.simpleString()
-
     def run(batches):
         import pyarrow as pa
 
@@ -108,7 +106,7 @@ def with_statistics(docs: DataFrame, key: str = "doc_id") -> DataFrame:
                 m = statistics(*text_bytes(part.column(1)))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(m[:, i]) for i in range(len(FEATURES)))], [key, *FEATURES])
 
-    return in_batches(docs.select(key, "text"), run, f"`{key}` {kind}, " + ", ".join(f"{f} double" for f in FEATURES))
+    return in_batches(docs.select(key, "text"), run, row_and(docs, key, ", ".join(f"{f} double" for f in FEATURES)))
 
 
 @dataclass(frozen=True)

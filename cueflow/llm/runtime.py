@@ -6,12 +6,14 @@ the application's id, so executors and the driver both see them and a lost execu
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: White space that separates words: the space and U+0009 to U+000D.
 SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -51,19 +53,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows of an Arrow batch. Texts may be long, and the JVM and Python hold a batch at once.
-BATCH_ROWS = 256
+#: Rows and bytes of an Arrow batch. Texts may be long, and the JVM and Python hold a batch at once.
+BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
 
 
-def in_batches(df: DataFrame, run, schema: str) -> DataFrame:
-    """``df.mapInArrow``, with batches of at most BATCH_ROWS rows from here on in the session."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(df.sparkSession.conf.get(name))
-    if now <= 0 or now > BATCH_ROWS:
-        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+def in_batches(df: DataFrame, run, schema: str | StructType) -> DataFrame:
+    """``df.mapInArrow``, with batches of at most BATCH_ROWS rows and about BATCH_BYTES bytes.
+
+    Spark reads the bounds when the plan runs, not when it is made, so they hold from here on in the session.
+    """
+    conf = df.sparkSession.conf
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = int(re.sub(r"\D", "", conf.get(name)) or 0) if not conf.get(name).startswith("-") else 0
+        if now <= 0 or now > most:
+            conf.set(name, str(most))
     return df.mapInArrow(run, schema)
 
 
+def row_and(packed: DataFrame, name: str, more: str) -> StructType:
+    """The schema of column ``name`` of ``packed``, whatever its fields are called, and of the columns of the DDL ``more``."""
+    return StructType([packed.schema[name], *StructType.fromDDL(more).fields])
+
+
 def held_out(doc_id: str = "doc_id"):
     """True for the third of ids that no model may learn from: crc32 of the id as text, modulo 3, is 1."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
@@ -91,6 +102,8 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BLOCK = 1 << 16
+#: Bytes of the longest span that is hashed by a polynomial.
+SHORT_SPAN = 64
 _up = _down = None
 
 
@@ -128,7 +141,10 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, is_space: np.ndarray) -> t
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, the same wherever the span stands."""
+    """A 64-bit hash of each span of bytes, the same wherever the span stands.
+
+    Short spans have a polynomial, mixed. Long ones, for which texts can be made up whose polynomials are equal, have XXH64.
+    """
     out = np.empty(len(starts), np.uint64)
     at, n = 0, len(starts)
     while at < n:
@@ -142,6 +158,11 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         s, e = starts[at:stop] - lo, ends[at:stop] - lo
         out[at:stop] = mix((run[e] - run[s]) * down[s] + (e - s).astype(np.uint64))
         at = stop
+    far = np.flatnonzero(ends - starts > SHORT_SPAN)
+    if len(far):
+        from xxhash import xxh64_intdigest
+
+        out[far] = [xxh64_intdigest(data[a:b].tobytes(), 1) for a, b in zip(starts[far].tolist(), ends[far].tolist(), strict=True)]
     return out
 
 
