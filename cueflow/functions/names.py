@@ -83,6 +83,17 @@ def admitted(path: Column) -> Column:
     return (F.instr(base_name(path), ".") == 0) | extension_of(path).isin(*extensions())
 
 
+def matches_extension(path: Column, code: str) -> Column:
+    """Whether a path, a name or a bare extension is of the format, by its extension or an alias."""
+    return F.coalesce(format_of(path) == code, F.lit(False))
+
+
+def format_by_extension(text: Column) -> Column:
+    """Format code by its own extension, with or without a dot; aliases don't count."""
+    ext = F.lower(F.ltrim(F.trim(text), F.lit(".")))
+    return F.when(ext.isin(*[f.extension for f in FORMATS.values()]), ext)
+
+
 def stem(path: Column) -> Column:
     """The name without its last extension; a leading dot does not begin one."""
     return F.regexp_replace(base_name(path), r"(?<=[\s\S])\.[^.]*\z", "")

@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 from cueflow.functions.names import directory, join_path, normalized_path, target_name
 
 ATTEMPTS = 500
-TAKEN, WOULD_OVERWRITE = "Output file already exists.", "Output would overwrite the source file."
-NO_NAME, NO_OTHER_NAME = "No free output name was found.", "No free output name was found; the source file must not be overwritten."
+TAKEN, WOULD_OVERWRITE = "a file of this name is there already", "the output would replace its own source"
+NO_NAME, NO_OTHER_NAME = f"all names up to number {ATTEMPTS} are taken", f"the source keeps its name, and all names up to number {ATTEMPTS} are taken"
+#: Numbers that renaming may give.
+_NUMBER = r" \((?:[1-9][0-9]?|[1-4][0-9][0-9]|500)\)"
+#: Parts that the rows of one name are dealt over before they are ranked.
+_PARTS = 64
 
 
 def dedupe(files: DataFrame, path: str = "path", order: str = "pos", fold_case: bool = False) -> DataFrame:
@@ -30,41 +34,76 @@ def requested(df: DataFrame, target: Column, path: str = "path", folder: Column
 
 def _family(path: Column) -> Column:
     """What a path has in common with all names that renaming may give it: itself without numbers at its stem's end."""
-    return F.regexp_replace(path, r"(?: \(\d+\))+(?=(?:\.[^./\\]*)?\z)", "")
+    return F.regexp_replace(path, rf"(?:{_NUMBER})+(?=(?:\.[^./\\]*)?\z)", "")
+
+
+def _first_of_each(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """The first n rows (by ``o``) of each group; a hot group is cut down in parts before it meets."""
+    part = F.pmod(F.xxhash64("o", "source"), F.lit(_PARTS))
+    for by in (Window.partitionBy(*keys, part), Window.partitionBy(*keys)):
+        rows = rows.withColumn("rank", F.row_number().over(by.orderBy("o"))).filter(F.col("rank") <= n).drop("rank")
+    return rows
 
 
 def assign(df: DataFrame, existing: DataFrame, policy: str, path: str = "path", order: str = "pos") -> DataFrame:
     """``df`` (with ``requested``) with ``action`` (write or skip), ``output_path``, ``renamed`` and ``reason``.
 
     Rows take names in their order, and a name that a row has taken exists for the rows after it.
-    ``existing`` has one column ``path``. Only paths that could meet after renaming are put in one
-    group (same folder, same stem without numbers, same extension); texts are not moved.
+    ``existing`` has one column ``path``; ``order`` tells rows apart. A row's own source is never
+    replaced: paths compare without doubled separators and ``.`` steps. Only paths that could meet after
+    renaming are put in one group (same folder, same stem without numbers, same extension), and of rows
+    that ask for one name only so many as could still get one; texts are not moved.
     """
     if policy not in ("autoRename", "overwrite", "skip"):
         raise ValueError(policy)
-    asked = df.select(F.col(order).alias("o"), F.col(path).alias("source"), "requested", _family(F.col("requested")).alias("family"))
-    there = existing.select(F.lit(None).cast("bigint").alias("o"), F.lit(None).cast("string").alias("source"), F.col("path").alias("requested"))
-    there = there.withColumn("family", _family(F.col("requested")))
+    asked = df.select(F.col(order).cast("bigint").alias("o"), normalized_path(F.col(path)).alias("source"), "requested")
+    asked = asked.withColumn("own", normalized_path(F.col("requested")) == F.col("source"))
+    taken = existing.select(F.col("path").alias("requested")).distinct()
+    if policy == "skip":
+        # The first row that asks for a free name writes; nothing is renamed, so names don't meet.
+        first = asked.filter("NOT own").groupBy("requested").agg(F.min("o").alias("o")).join(taken, "requested", "left_anti")
+        out = df.join(first.select(F.col("o").alias("__first"), F.lit(True).alias("__write")), F.col(order).cast("bigint") == F.col("__first"), "left")
+        write = F.col("__write").isNotNull()
+        own = normalized_path(F.col("requested")) == normalized_path(F.col(path))
+        reason = F.when(~write, F.when(own, F.lit(WOULD_OVERWRITE)).otherwise(F.lit(TAKEN)))
+        return out.select(*df.columns, F.when(write, F.lit("write")).otherwise("skip").alias("action"), F.when(write, F.col("requested")).alias("output_path"), F.lit(False).alias("renamed"), reason.alias("reason"))
+    asked = asked.withColumn("family", _family(F.col("requested")))
+    if policy == "overwrite":
+        # Rows that replace a file are not renamed; to those that are, the first one to take a name matters.
+        apart, most = ["requested", "own"], 1
+    else:
+        # A name has ATTEMPTS + 1 forms. Once so many rows have asked, all are taken; a row whose own source is
+        # one of the forms may leave that one, so such rows are counted by their source.
+        touches = F.regexp_replace("source", rf"{_NUMBER}(?=(?:\.[^./\\]*)?\z)", "") == normalized_path(F.col("requested"))
+        asked, apart, most = asked.withColumn("rival", F.when(F.col("own") | touches, F.col("source"))), ["requested", "rival"], ATTEMPTS + 1
+    some = _first_of_each(asked, apart, most).select("o", "source", "requested", "own", "family")
+    there = taken.select(F.lit(None).cast("bigint").alias("o"), F.lit(None).cast("string").alias("source"), "requested", F.lit(False).alias("own"))
+    there = there.withColumn("family", _family(F.col("requested"))).join(some.select("family").distinct(), "family", "left_semi")
 
     def settle(rows: pd.DataFrame) -> pd.DataFrame:
         taken = set(rows.loc[rows["o"].isna(), "requested"])
         out = []
         for r in rows.dropna(subset=["o"]).sort_values("o").itertuples():
-            own = r.requested == r.source
-            free = r.requested not in taken and not own
-            if free or (policy == "overwrite" and not own):
+            if not r.own and (policy == "overwrite" or r.requested not in taken):
                 out.append((r.o, "write", r.requested, False, None))
-            elif policy == "skip":
-                out.append((r.o, "skip", None, False, WOULD_OVERWRITE if own else TAKEN))
             else:
                 name = next((c for c in _numbered(r.requested) if c not in taken and c != r.source), None)
-                out.append((r.o, "write", name, True, None) if name else (r.o, "skip", None, False, NO_OTHER_NAME if own else NO_NAME))
+                out.append((r.o, "write", name, True, None) if name else (r.o, "skip", None, False, NO_OTHER_NAME if r.own else NO_NAME))
             if out[-1][2]:
                 taken.add(out[-1][2])
         return pd.DataFrame(out, columns=["o", "action", "output_path", "renamed", "reason"]).astype({"o": "int64"})
 
-    settled = asked.withColumn("o", F.col("o").cast("bigint")).unionByName(there).groupBy("family").applyInPandas(settle, "o bigint, action string, output_path string, renamed boolean, reason string")
-    return df.join(settled, F.col(order) == F.col("o")).drop("o")
+    settled = some.unionByName(there).groupBy("family").applyInPandas(settle, "o bigint, action string, output_path string, renamed boolean, reason string")
+    out = df.join(settled, F.col(order).cast("bigint") == F.col("o"), "left")
+    # Rows that were not settled could not get a name (autoRename), or replace a file without a look (overwrite).
+    late, found = F.col("o").isNull(), F.lit("write" if policy == "overwrite" else "skip")
+    return out.select(
+        *df.columns,
+        F.when(late, found).otherwise(F.col("action")).alias("action"),
+        F.when(late & (found == "write"), F.col("requested")).otherwise(F.col("output_path")).alias("output_path"),
+        F.coalesce("renamed", F.lit(False)).alias("renamed"),
+        F.when(late & (found == "skip"), F.lit(NO_NAME)).otherwise(F.col("reason")).alias("reason"),
+    )
 
 
 def _numbered(path: str) -> Iterator[str]:

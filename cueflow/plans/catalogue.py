@@ -14,9 +14,10 @@ from cueflow.functions import markup, names, timecode
 from cueflow.functions import text as tx
 from cueflow.operators import detect, loss, model, paths
 from cueflow.plans import convert as cv
-from cueflow.plans.parse import cues_of, documents_from_cues, parse
+from cueflow.plans.parse import by_format, cues_of, documents_from_cues, parse
 from cueflow.plans.write import write
 from cueflow.sources.encoding import decode
+from cueflow.sources.staging import spread, staged
 
 QUERIES, SQL = {}, {}
 
@@ -344,7 +345,7 @@ def lrc_write(spark, sf_dir):
 def lrc_parse_multi_tag(spark, sf_dir):
     s = F.col("start_ms")
     line = F.concat(F.lit("["), timecode.lrc_time(s), F.lit("]["), timecode.lrc_time((s + 1000) % 3_600_000), F.lit("]<00:01.00>"), F.col("text"))
-    lines = _near(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("cue_seq", line.alias("line")))).alias("l"))
+    lines = spread(_near(spark, sf_dir), "doc_id").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("cue_seq", line.alias("line")))).alias("l"))
     texts = lines.select("doc_id", F.concat(F.lit("[ti:x]\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("text"))
     return cues_of(parse(texts, "lrc"), "doc_id").select("doc_id", "cue_seq", "start_ms", "end_ms", "text")
 
@@ -383,10 +384,11 @@ _FORMATS = list(names.FORMATS)
 
 def _rendered(spark, sf_dir):
     """Conversations in all six formats under a name without extension or with a misleading one."""
-    out = None
-    for i, fmt in enumerate(_FORMATS):
-        one = _written(spark, sf_dir, fmt).select((F.col("doc_id") * 6 + i).alias("id"), F.lit(fmt).alias("truth"), F.col("content").alias("text"))
-        out = one if out is None else out.unionAll(one)
+    docs = documents_from_cues(cues_conv(spark, sf_dir), "doc_id")
+    for fmt in _FORMATS:
+        docs = write(docs, fmt).withColumnRenamed("content", f"as_{fmt}")
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(fmt).alias("truth"), F.col(f"as_{fmt}").alias("text")) for i, fmt in enumerate(_FORMATS)]))
+    out = docs.select("doc_id", each.alias("one")).select((F.col("doc_id") * 6 + F.col("one.i")).alias("id"), "one.truth", "one.text")
     name = F.when(F.col("id") % 4 == 0, F.lit("file")).when(F.col("id") % 4 == 1, F.concat(F.lit("file."), F.col("truth"))).when(F.col("id") % 4 == 2, F.lit("FILE.SRT")).otherwise("x.substation")
     return out.withColumn("path", name)
 
@@ -464,15 +466,15 @@ def target_name(spark, sf_dir):
     return _names(spark, sf_dir).select("id", names.target_name(n, ext).alias("plain"), names.target_name(n, ext, True).alias("stripped"))
 
 
-_RENAMED = "SELECT p_partkey AS pos, '/in/f' || (p_partkey % 50) || CASE p_partkey % 3 WHEN 0 THEN '.ass' WHEN 1 THEN '.sbv' ELSE '.lrc' END AS path FROM part WHERE p_partkey <= 2000"
+_RENAMED = "SELECT p_partkey AS pos, '/in/f' || CASE WHEN p_partkey % 3 = 0 THEN 'all' ELSE CAST(CAST(floor(p_partkey / 100) AS INTEGER) AS STRING) END || CASE p_partkey % 4 WHEN 0 THEN '.ass' WHEN 1 THEN '.sbv' ELSE '.lrc' END AS path FROM part"
 
 
 @query(
-    f"""WITH f AS ({_RENAMED}), k AS (SELECT *, row_number() OVER (PARTITION BY regexp_replace(path, '[.][^.]*$', '') ORDER BY pos) - 1 + CASE WHEN regexp_replace(path, '[.][^.]*$', '') = '/in/f7' THEN 2 ELSE 0 END AS n FROM f)
-    SELECT pos, path, 'write' AS action, regexp_replace(path, '[.][^.]*$', '') || CASE WHEN n = 0 THEN '' ELSE ' (' || n || ')' END || '.srt' AS output_path, n > 0 AS renamed FROM k"""
+    f"""WITH f AS ({_RENAMED.replace('STRING', 'VARCHAR')}), k AS (SELECT *, row_number() OVER (PARTITION BY regexp_replace(path, '[.][^.]*$', '') ORDER BY pos) - 1 + CASE WHEN regexp_replace(path, '[.][^.]*$', '') = '/in/f7' THEN 2 ELSE 0 END AS n FROM f)
+    SELECT pos, path, CASE WHEN n <= 500 THEN 'write' ELSE 'skip' END AS action, CASE WHEN n <= 500 THEN regexp_replace(path, '[.][^.]*$', '') || CASE WHEN n = 0 THEN '' ELSE ' (' || n || ')' END || '.srt' END AS output_path, n BETWEEN 1 AND 500 AS renamed FROM k"""
 )
 def auto_rename(spark, sf_dir):
-    """Many inputs ask for the same 50 names; one of them and its first number exist already."""
+    """Hundreds of inputs ask for one name and a third of all for another; some names exist, and numbers end at 500."""
     read(spark, sf_dir, "part").createOrReplaceTempView("cueflow_part")
     files = spark.sql(_RENAMED.replace("FROM part", "FROM cueflow_part"))
     there = spark.sql("SELECT path FROM VALUES ('/in/f7.srt'), ('/in/f7 (1).srt') AS v(path)")
@@ -480,6 +482,25 @@ def auto_rename(spark, sf_dir):
     return out.select("pos", "path", "action", "output_path", "renamed")
 
 
+_POLICY = "SELECT p_partkey AS pos, '/in/f' || (p_partkey % 900) || CASE WHEN p_partkey % 4 = 0 THEN '.srt' ELSE '.sbv' END AS path FROM part"
+_EXISTING = "SELECT '/in/f' || (p_partkey % 900) || '.srt' AS path FROM part WHERE p_partkey % 5 = 0"
+
+
+@query(
+    f"""WITH f AS (SELECT DISTINCT min(pos) AS pos, path FROM ({_POLICY}) GROUP BY path), a AS (SELECT *, replace(path, '.sbv', '.srt') AS requested, path LIKE '%.srt' AS own FROM f),
+    w AS (SELECT a.*, e.path IS NOT NULL AS there, min(CASE WHEN NOT own THEN pos END) OVER (PARTITION BY requested) AS first FROM a LEFT JOIN (SELECT DISTINCT path FROM ({_EXISTING})) e ON e.path = requested)
+    SELECT pos, path, 'skip' AS policy, CASE WHEN NOT own AND NOT there AND pos = first THEN 'write' ELSE 'skip' END AS action, CASE WHEN NOT own AND NOT there AND pos = first THEN requested END AS output_path, FALSE AS renamed FROM w
+    UNION ALL SELECT pos, path, 'overwrite', 'write', CASE WHEN own THEN replace(path, '.srt', ' (1).srt') ELSE requested END, own FROM w"""
+)
+def name_policies(spark, sf_dir):
+    """Skip and overwrite, with sources that are among the names asked for and names that exist."""
+    read(spark, sf_dir, "part").createOrReplaceTempView("cueflow_part")
+    files = spark.sql(_POLICY.replace("FROM part", "FROM cueflow_part")).groupBy("path").agg(F.min("pos").alias("pos"))
+    there = spark.sql(_EXISTING.replace("FROM part", "FROM cueflow_part"))
+    each = [paths.assign(paths.requested(files, F.lit("srt")), there, p).select("pos", "path", F.lit(p).alias("policy"), "action", "output_path", "renamed") for p in ("skip", "overwrite")]
+    return each[0].unionByName(each[1])
+
+
 @query("SELECT min(page_id) AS pos, split_part(url, '/', -1) AS name FROM pages GROUP BY 2")
 def dedupe_paths(spark, sf_dir):
     """Pages under one file name are one path, written in several ways."""
@@ -514,8 +535,7 @@ _TARGETS = ", ".join(f"('{f}')" for f in _FORMATS)
     FROM a, (VALUES {_TARGETS}) AS v(target)"""
 )
 def loss_report(spark, sf_dir):
-    targets = spark.sql(f"SELECT target FROM VALUES {_TARGETS} AS v(target)")
-    found = loss.loss_of_cues(cues_conv(spark, sf_dir, False), targets, "doc_id", source="ass")
+    found = loss.loss_of_cues(cues_conv(spark, sf_dir, False), _FORMATS, "doc_id", source="ass")
     one = lambda w: F.concat(w["kind"], F.lit(":"), w["count"].cast("string"))
     return found.select("doc_id", "target", F.array_join(F.transform("warnings", one), ",").alias("warnings"))
 
@@ -537,40 +557,144 @@ def batch_summary(spark, sf_dir):
     return cv.batch_counts(rows, "batch")
 
 
-@query(f"WITH {_conv()}, n AS (SELECT doc_id, count(*) AS k FROM c {_SHOWN} GROUP BY doc_id) SELECT doc_id, CAST(k AS INTEGER) AS cue_count, '' AS failure FROM n UNION ALL SELECT -1, 0, 'invalidSubtitleSyntax'")
+@query(
+    f"""WITH {_conv()} SELECT doc_id, CAST(count(*) AS INTEGER) AS cue_count, '' AS failure, md5('WEBVTT' || chr(10) || chr(10) || {_joined(_time('start_ms') + " || ' --> ' || " + _time('end_ms') + ' || chr(10) || ' + _ESC)} || chr(10)) AS content
+    FROM c {_SHOWN} GROUP BY doc_id UNION ALL SELECT -1, 0, 'invalidSubtitleSyntax', NULL"""
+)
 def convert_srt_to_vtt(spark, sf_dir):
     """Files of one format, one of them broken, into another; failures as values."""
     texts = _written(spark, sf_dir, "srt").withColumnRenamed("content", "text")
     bad = spark.sql("SELECT CAST(-1 AS BIGINT) AS doc_id, 'no cues here' AS text")
     done = cv.convert_texts(texts.unionAll(bad), "srt", "vtt")
-    return done.select("doc_id", "cue_count", F.coalesce("error.failure", F.lit("")).alias("failure"))
+    return done.select("doc_id", "cue_count", F.coalesce("error.failure", F.lit("")).alias("failure"), F.md5("content").alias("content"))
 
 
-# Not registered: the two queries below gave no result within minutes (see the README).
-_MATRIX_SQL = (f"WITH {_conv()}, n AS (SELECT doc_id, count(*) AS k FROM c {_SHOWN} GROUP BY doc_id) SELECT s.target AS source, t.target AS target, CAST(count(*) AS BIGINT) AS files, CAST(sum(k) AS BIGINT) AS cues, CAST(0 AS BIGINT) AS failed FROM n, (VALUES {_TARGETS}) AS s(target), (VALUES {_TARGETS}) AS t(target) GROUP BY 1, 2")
-def convert_matrix_counts(spark, sf_dir):
+def _within_hour(spark, sf_dir):
+    return cues_conv(spark, sf_dir).withColumn("start_ms", F.col("start_ms") % 3_000_000).withColumn("end_ms", F.col("start_ms") + 900)
+
+
+#: Cues as each format keeps them: (doc_id, cue_seq, text, fmt, s, e); one without ends fills them from the next start.
+_KEPT = f"""{_conv()}, near AS (SELECT doc_id, cue_seq, text, start_ms % 3000000 AS s, start_ms % 3000000 + 900 AS e FROM c {_SHOWN}), v AS (SELECT * FROM (VALUES {_TARGETS}) AS v(fmt)),
+    cut AS (SELECT doc_id, cue_seq, text, fmt, CASE WHEN fmt IN ('lrc', 'ass', 'ssa') THEN s // 10 * 10 ELSE s END AS s, CASE WHEN fmt IN ('lrc', 'ass', 'ssa') THEN e // 10 * 10 ELSE e END AS e FROM near, v),
+    nxt AS (SELECT *, lead(s) OVER (PARTITION BY doc_id, fmt ORDER BY s, cue_seq) AS nx FROM cut),
+    kept AS (SELECT doc_id, cue_seq, text, fmt, s, CASE WHEN fmt <> 'lrc' THEN e WHEN nx > s THEN nx ELSE s + 5000 END AS e FROM nxt)"""
+
+
+@query(
+    f"""WITH {_KEPT}, cut2 AS (SELECT doc_id, cue_seq, text, kept.fmt AS source, v.fmt AS target, CASE WHEN v.fmt IN ('lrc', 'ass', 'ssa') THEN s // 10 * 10 ELSE s END AS s, CASE WHEN v.fmt IN ('lrc', 'ass', 'ssa') THEN e // 10 * 10 ELSE e END AS e FROM kept, v),
+    nxt2 AS (SELECT *, lead(s) OVER (PARTITION BY doc_id, source, target ORDER BY s, cue_seq) AS nx FROM cut2)
+    SELECT source, target, CAST(count(DISTINCT doc_id) AS BIGINT) AS files, CAST(count(*) AS BIGINT) AS cues, CAST(sum(s) AS BIGINT) AS starts, CAST(sum(CASE WHEN target <> 'lrc' THEN e WHEN nx > s THEN nx ELSE s + 5000 END) AS BIGINT) AS ends,
+           CAST(sum(length(text)) AS BIGINT) AS chars, CAST(0 AS BIGINT) AS failed FROM nxt2 GROUP BY 1, 2"""
+)
+def convert_matrix(spark, sf_dir):
     """Every format into every format, and the output parsed again.
 
-    Each step is one table with a branch for each format, kept for the next, so that 24 small plans do the work of 36 long ones.
+    Each step is one table with a branch for each format, so that 24 small plans do the work of 36 long ones.
     """
-    cues = cues_conv(spark, sf_dir).withColumn("start_ms", F.col("start_ms") % 3_000_000).withColumn("end_ms", F.col("start_ms") + 900)
+    docs = documents_from_cues(_within_hour(spark, sf_dir), "doc_id")
+    for fmt in _FORMATS:
+        docs = write(docs, fmt).withColumnRenamed("content", f"as_{fmt}")
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("source"), F.col(f"as_{f}").alias("text")) for f in _FORMATS]))
+    texts = staged(docs.select("doc_id", each.alias("one")).select("doc_id", "one.*"), "texts")
+    parsed = staged(by_format(texts, "source", lambda f, mine: parse(mine, f)), "parsed")
+    target = lambda f: cv.converted_documents(parsed, F.col("source"), f).select("doc_id", "source", F.lit(f).alias("target"), F.col("content").alias("text"), F.col("error").alias("before"))
+    done = staged(reduce(DataFrame.unionByName, map(target, _FORMATS)), "converted")
+    again = by_format(done, "target", lambda f, mine: parse(mine, f))
+    total = lambda value: F.aggregate("cues", F.lit(0).cast("bigint"), lambda a, c: a + value(c))
+    one = again.select("source", "target", F.size("cues").alias("n"), total(lambda c: c["start_ms"]).alias("s"), total(lambda c: c["end_ms"]).alias("e"), total(lambda c: F.length(c["text"])).alias("t"), (F.col("error").isNotNull() | F.col("before").isNotNull()).alias("bad"))
+    return one.groupBy("source", "target").agg(F.count(F.lit(1)).alias("files"), F.sum("n").alias("cues"), F.sum("s").alias("starts"), F.sum("e").alias("ends"), F.sum("t").alias("chars"), F.count_if("bad").alias("failed"))
 
-    def each(step):
-        return reduce(DataFrame.unionAll, [step(fmt) for fmt in _FORMATS]).persist()
 
-    texts = each(lambda f: _written(spark, sf_dir, f, cues).select("doc_id", F.lit(f).alias("source"), F.col("content").alias("text")))
-    docs = each(lambda f: parse(texts.filter(F.col("source") == f), f))
-    done = each(lambda f: cv.converted_documents(docs, F.col("source"), f).select("source", F.lit(f).alias("target"), F.col("content").alias("text"), F.col("error").alias("first_error")))
-    again = each(lambda f: parse(done.filter(F.col("target") == f), f).select("source", "target", F.size("cues").alias("n"), (F.col("error").isNotNull() | F.col("first_error").isNotNull()).alias("bad")))
-    return again.groupBy("source", "target").agg(F.count(F.lit(1)).alias("files"), F.sum("n").alias("cues"), F.count_if("bad").alias("failed"))
+_OF = "['srt', 'vtt', 'lrc', 'ass', 'ssa', 'sbv'][doc_id % 6 + 1]"
+#: Files that fail: position, name, bytes in hex, and the failure.
+_BROKEN = [(-1, "bad.srt", "6E6F20637565732068657265", "invalidSubtitleSyntax"), (-2, "gone.srt", None, "readFailed"), (-3, "odd.srt", "FFFEFFFFFF", "encodingDetectionFailed"), (-4, "notes.txt", "68656C6C6F", "unsupportedFormat"), (-5, "none.vtt", "5745425654540A", "emptyDocument")]
 
 
-_BATCH_SQL = (f"WITH {_conv()}, n AS (SELECT doc_id, count(*) AS k FROM c {_SHOWN} GROUP BY doc_id) SELECT doc_id AS pos, '/in/' || doc_id || '.srt' AS source_path, 'succeeded' AS status, 'srt' AS source_format, '/in/' || doc_id || '.ass' AS output_path, CAST(k AS INTEGER) AS cue_count, '' AS kinds FROM n UNION ALL SELECT -1, '/in/bad.srt', 'failed', NULL, NULL, 0, ''")
+@query(
+    f"""WITH {_KEPT}, mine AS (SELECT * FROM kept WHERE fmt = {_OF}),
+    k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN fmt = 'lrc' THEN s ELSE 0 END, cue_seq) AS k FROM mine)
+    SELECT doc_id AS pos, '/in/' || doc_id || '.' || fmt AS source_path, 'succeeded' AS status, fmt AS source_format, '/in/' || doc_id || CASE WHEN fmt = 'srt' THEN ' (1)' ELSE '' END || '.srt' AS output_path, CAST(count(*) AS INTEGER) AS cue_count,
+           CASE WHEN fmt IN ('ass', 'ssa') THEN 'namedStylesDropped' ELSE '' END AS kinds, '' AS failure,
+           md5(string_agg(k || chr(10) || {_time('s', ',')} || ' --> ' || {_time('e', ',')} || chr(10) || text, chr(10) || chr(10) ORDER BY k) || chr(10)) AS output FROM k GROUP BY doc_id, fmt
+    UNION ALL SELECT pos, '/in/' || name, 'failed', NULL, NULL, 0, '', failure, NULL FROM (VALUES {', '.join(f"({n}, '{name}', '{failure}')" for n, name, _, failure in _BROKEN)}) AS b(pos, name, failure)"""
+)
 def convert_batch(spark, sf_dir):
-    """The whole way from bytes to results, with one file that can't be read as what it says."""
-    texts = _written(spark, sf_dir, "srt")
-    files = texts.select(F.col("doc_id").alias("pos"), F.concat(F.lit("/in/"), "doc_id", F.lit(".srt")).alias("path"), F.encode("content", "UTF-8").alias("content"))
-    bad = spark.sql("SELECT CAST(-1 AS BIGINT) AS pos, '/in/bad.srt' AS path, encode('no cues here', 'UTF-8') AS content")
-    none = spark.sql("SELECT '' AS path WHERE false")
-    out = cv.convert(files.unionAll(bad), cv.Options(target="ass"), none)
-    return out.select("pos", "source_path", "status", "source_format", "output_path", "cue_count", F.array_join(F.transform("warnings", lambda w: w["kind"]), ",").alias("kinds"))
+    """The whole way from bytes of mixed formats to results, with files that fail in every way."""
+    docs = documents_from_cues(_within_hour(spark, sf_dir), "doc_id")
+    for fmt in _FORMATS:
+        docs = write(docs, fmt).withColumnRenamed("content", f"as_{fmt}")
+    order = ["srt", "vtt", "lrc", "ass", "ssa", "sbv"]
+    own = F.get(F.array(*[F.struct(F.lit(f).alias("fmt"), F.col(f"as_{f}").alias("text")) for f in order]), (F.col("doc_id") % 6).cast("int"))
+    files = docs.select("doc_id", own.alias("own")).select(F.col("doc_id").alias("pos"), F.concat(F.lit("/in/"), "doc_id", F.lit("."), "own.fmt").alias("path"), F.encode("own.text", "UTF-8").alias("content"))
+    broken = ", ".join(f"({n}, '/in/{name}', {_NULL(h)})" for n, name, h, _ in _BROKEN)
+    bad = spark.sql(f"SELECT CAST(pos AS BIGINT) AS pos, path, unhex(hex) AS content FROM VALUES {broken} AS v(pos, path, hex)")
+    existing = files.select("path").unionByName(bad.select("path"))
+    out = cv.convert(files.unionByName(bad), cv.Options(target="srt"), existing)
+    kinds = F.array_join(F.transform("warnings", lambda w: w["kind"]), ",").alias("kinds")
+    return out.select("pos", "source_path", "status", "source_format", "output_path", "cue_count", kinds, F.coalesce("failure", F.lit("")).alias("failure"), F.md5("output").alias("output"))
+
+
+# --- headers, styles, emphasis --------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {_conv()} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY cue_seq) - 1 AS INTEGER) AS cue_seq, 'Talk ' || doc_id AS title, 'de' AS language, 'captions' AS kind, start_ms, end_ms, 'id-' || cue_seq AS identifier, 'align:start line:' || cue_seq AS settings, text FROM c {_SHOWN}"""
+)
+def vtt_header_and_blocks(spark, sf_dir):
+    """WebVTT with a title, fields, notes, styles, regions, identifiers and settings."""
+    c = cues_conv(spark, sf_dir).filter(tx.has_visible_text(F.col("text")))
+    block = F.concat(F.lit("NOTE about "), "cue_seq", F.lit("\n\nid-"), "cue_seq", F.lit("\n"), timecode.vtt_time(F.col("start_ms")), F.lit(" --> "), timecode.vtt_time(F.col("end_ms")), F.lit(" align:start line:"), "cue_seq", F.lit("\n"), tx.escape_entities(F.col("text")))
+    head = F.concat(F.lit("WEBVTT\nTalk "), "doc_id", F.lit("\nKind: captions\nLanguage: de\n\nSTYLE\n::cue { color: red }\n\nREGION\nid:r\n\n"))
+    rows = spread(c.select("doc_id", "cue_seq", block.alias("block")), "doc_id").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("cue_seq", "block"))).alias("b"))
+    docs = parse(rows.select("doc_id", F.concat(head, F.array_join(F.transform("b", lambda x: x["block"]), "\n\n")).alias("text")), "vtt")
+    cues = cues_of(docs.withColumn("kind", tx.field_ci(F.col("fields"), "kind")), "doc_id", "title", "language", "kind")
+    of = lambda k: F.get(F.filter("metadata", lambda e: e["k"] == k), F.lit(0))["v"]
+    return cues.select("doc_id", "cue_seq", "title", "language", "kind", "start_ms", "end_ms", of("vtt.identifier").alias("identifier"), of("vtt.settings").alias("settings"), "text")
+
+
+_DIALECTS = "(VALUES ('ass', 'v4.00+', '[V4+ Styles]', 'Layer', '3'), ('ssa', 'v4.00', '[V4 Styles]', 'Marked', 'Marked=0')) AS d(dialect, script, section, first, layer)"
+
+
+@query(
+    f"""WITH {_conv()} SELECT doc_id, dialect, CAST(row_number() OVER (PARTITION BY doc_id, dialect ORDER BY cue_seq) - 1 AS INTEGER) AS cue_seq, 'T ' || doc_id AS title, '640' AS width, 'Main,Side' AS styles, '#' || doc_id AS colour, start_ms // 10 * 10 AS start_ms, end_ms // 10 * 10 AS end_ms, layer, text FROM c, {_DIALECTS} {_SHOWN}"""
+)
+def ass_info_and_styles(spark, sf_dir):
+    """ASS and SSA with script information, two styles, comments, and columns in another order."""
+    c = cues_conv(spark, sf_dir).filter(tx.has_visible_text(F.col("text"))).join(F.broadcast(spark.sql(f"SELECT * FROM {_DIALECTS}")))
+    line = F.concat(F.lit("Dialogue: "), "layer", F.lit(","), timecode.ass_time(F.col("start_ms")), F.lit(","), timecode.ass_time(F.col("end_ms")), F.lit(",Main,"), tx.ass_escape(F.col("text")))
+    rows = spread(c.select("doc_id", "dialect", "script", "section", "first", "cue_seq", line.alias("line")), "doc_id").groupBy("doc_id", "dialect", "script", "section", "first").agg(F.array_sort(F.collect_list(F.struct("cue_seq", "line"))).alias("l"))
+    head = F.concat(F.lit("[Script Info]\n; a remark\nTitle: T "), "doc_id", F.lit("\nScriptType: "), "script", F.lit("\nPlayResX: 640\n\n"), "section", F.lit("\nFormat: Name, PrimaryColour\nStyle: Main,#"), "doc_id", F.lit("\nStyle: Side,0\n\n[Events]\nFormat: "), "first", F.lit(", Start, End, Style, Text\nComment: 0,0:00:00.00,0:00:01.00,Main,not shown\n"))
+    texts = rows.select("doc_id", "dialect", F.concat(head, F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("text"))
+    docs = by_format(texts, "dialect", lambda f, mine: parse(mine, f), ["ass", "ssa"])
+    docs = docs.withColumns({"width": tx.field_ci(F.col("fields"), "playresx"), "styles": F.array_join(F.transform("styles", lambda x: x["name"]), ","), "colour": tx.field_ci(F.get("styles", F.lit(0))["fields"], "primarycolour")})
+    cues = cues_of(docs, "doc_id", "dialect", "title", "width", "styles", "colour")
+    layer = F.coalesce(tx.field_ci(F.col("metadata"), "Layer"), tx.field_ci(F.col("metadata"), "Marked"))
+    return cues.select("doc_id", "dialect", "cue_seq", "title", "width", "styles", "colour", "start_ms", "end_ms", layer.alias("layer"), "text")
+
+
+_WORD = "regexp_replace(text, '[^A-Za-z ]', '', 'g')"
+
+
+@query(
+    f"""WITH {_conv()}, w AS (SELECT doc_id, 'w' || trim({_WORD}) AS t FROM c WHERE cue_seq = 0)
+    SELECT doc_id, md5('1' || chr(10) || '00:00:01,000 --> 00:00:02,000' || chr(10) || '<b>' || t || '</b> and <i>more</i>' || chr(10)) AS srt, 'WEBVTT' || chr(10) || 'ScriptType: v4.00+' || chr(10) || chr(10) || '00:00:01.000 --> 00:00:02.000' || chr(10) || '<b>' || t || '</b> and <i>more</i>' || chr(10) AS vtt,
+           'Dialogue: 0,0:00:01.00,0:00:02.00,Default,,0,0,0,,{{\\an8}}{{\\b1}}' || t || '{{\\b0}} and {{\\i1}}more{{\\i0}}' AS ass, '00:01.00' AS lrc_at, t || ' and more' AS lrc, 'positionsDropped,namedStylesDropped' AS to_srt, 'inlineStylesDropped,positionsDropped,namedStylesDropped' AS to_sbv FROM w"""
+)
+def emphasis_through_writers(spark, sf_dir):
+    """A line with a position and emphasis, from ASS into the other formats, with what each loses."""
+    first = cues_conv(spark, sf_dir).filter("cue_seq = 0")
+    t = F.concat(F.lit("w"), F.trim(F.regexp_replace("text", "[^A-Za-z ]", "")))
+    head = "[Script Info]\nScriptType: v4.00+\n\n[V4+ Styles]\nFormat: Name\nStyle: Default\n\n[Events]\nFormat: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text\nDialogue: 0,0:00:01.00,0:00:02.00,Default,,0,0,0,,{\\an8}{\\b1}"
+    texts = first.select("doc_id", F.concat(F.lit(head), t, F.lit("{\\b0} and {\\i1}more{\\i0}\n")).alias("text"))
+    docs = parse(texts, "ass")
+    docs = docs.withColumns({f"to_{f}": F.array_join(F.transform(loss.loss_of(F.lit("ass"), F.lit(f)), lambda w: w["kind"]), ",") for f in ("srt", "sbv")})
+    for f in ("srt", "vtt", "ass", "lrc"):
+        docs = write(docs, f).withColumnRenamed("content", f"as_{f}")
+    return docs.select("doc_id", F.md5("as_srt").alias("srt"), F.col("as_vtt").alias("vtt"), F.regexp_extract("as_ass", r"(Dialogue: .*)", 1).alias("ass"), F.regexp_extract("as_lrc", r"\[(\d[\d:.]+)\]", 1).alias("lrc_at"), F.regexp_extract("as_lrc", r"\[\d[\d:.]+\](.*)", 1).alias("lrc"), "to_srt", "to_sbv")
+
+
+@query(f"WITH {_conv()} SELECT doc_id, CAST(count(*) AS INTEGER) AS n_cues, FALSE AS is_empty, CAST(sum(end_ms - start_ms) AS BIGINT) AS shown_ms FROM c GROUP BY doc_id")
+def document_counts(spark, sf_dir):
+    docs = documents_from_cues(cues_conv(spark, sf_dir), "doc_id")
+    shown = F.aggregate("cues", F.lit(0).cast("bigint"), lambda a, c: a + timecode.duration_ms(c["start_ms"], c["end_ms"]))
+    return model.counts(docs.withColumn("shown_ms", shown), "doc_id", "shown_ms").select("doc_id", "n_cues", "is_empty", "shown_ms")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+import json
+from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,10 +13,11 @@ from cueflow.functions.text import is_blank
 from cueflow.operators import paths
 from cueflow.operators.loss import WARNING, loss_of
 from cueflow.operators.model import shift_array
-from cueflow.plans.parse import CUE, ERROR, PAIR, STYLE, empty, parse, parse_by
+from cueflow.plans.parse import CUE, ERROR, by_format, parse
 from cueflow.plans.write import write
 from cueflow.sources.encoding import encode
 from cueflow.sources.files import documents
+from cueflow.sources.staging import staged
 
 
 @dataclass(frozen=True)
@@ -48,6 +50,27 @@ class Options:
                     continue
         return found
 
+    def save(self, path: str) -> None:
+        """As JSON; options at their default are left out."""
+        plain = Options()
+        with open(path, "w", encoding="utf-8") as f:
+            json.dump({k: v for k, v in asdict(self).items() if v != getattr(plain, k)}, f)
+
+    @classmethod
+    def load(cls, path: str) -> Options:
+        """Stored options; a file that is missing or can't be read gives the defaults."""
+        try:
+            with open(path, encoding="utf-8") as f:
+                found = json.load(f)
+        except (OSError, ValueError):
+            return cls()
+        return cls.from_settings(found if isinstance(found, dict) else {})
+
+
+def without(files: DataFrame, removed: DataFrame, order: str = "pos") -> DataFrame:
+    """``files`` without the rows whose ``order`` is in ``removed``."""
+    return files.join(removed.select(order).distinct(), order, "left_anti")
+
 
 def _error(failure: str, detail: str) -> Column:
     return F.struct(F.lit(failure).alias("failure"), F.lit(detail).alias("detail")).cast(ERROR)
@@ -76,32 +99,40 @@ def converted_documents(docs: DataFrame, source: Column, target: str, offset_ms:
 
 
 def convert_documents(docs: DataFrame, options: Options) -> DataFrame:
-    """Detected documents (text, format, error) with ``content``, ``warnings``, ``cue_count``; one narrow pass."""
+    """Detected documents (text, format, error) with ``content``, ``warnings``, ``cue_count`` and ``source_format``.
+
+    Every format is a branch of its own, narrow within; files of no known format are one too. ``docs`` is
+    read once a branch, so hand in a table.
+    """
     outputs = ("content", "warnings", "cue_count", "source_format")
     keep = [c for c in docs.columns if c not in ("text", "error", "format", *outputs)]
-    known = F.when(F.col("error").isNull(), F.col("format"))
-    row = docs.select(F.struct(*keep, F.col("error").alias("before")).alias("row"), F.col("format").alias("source"), known.alias("known"), F.coalesce("text", F.lit("")).alias("text"))
-    unknown = _error("unsupportedFormat", "The format of this file could not be identified.")
-    early = F.coalesce(F.col("row.before").cast(ERROR), F.when(F.col("source").isNull(), unknown))
-    parsed = parse_by(row, "known").withColumn("error", F.coalesce(early, F.col("error")))
-    parsed = parsed.withColumns({"cues": F.coalesce("cues", empty(CUE)), "fields": F.coalesce("fields", empty(PAIR)), "styles": F.coalesce("styles", empty(STYLE))})
-    done = converted_documents(parsed, F.coalesce("source", F.lit("")), options.target, options.offset_ms)
-    return done.select(*[F.col(f"row.{c}") for c in keep], F.col("source").alias("source_format"), "content", "warnings", "cue_count", "error")
+    state = F.when(F.col("error").isNull() & F.col("format").isNotNull(), F.col("format")).otherwise("")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("error").cast(ERROR).alias("before"), F.col("format").alias("source_format"), F.coalesce("text", F.lit("")).alias("text"), state.alias("state"))
+    columns = [*[F.col(f"row.`{c}`") for c in keep], "source_format", "content", "warnings", "cue_count", "error"]
+
+    def branch(fmt: str, mine: DataFrame) -> DataFrame:
+        return converted_documents(parse(mine, fmt), F.lit(fmt), options.target, options.offset_ms).select(*columns)
+
+    unknown = _error("unsupportedFormat", "No registered format fits this file.")
+    failed = rows.filter("state = ''").withColumns({"content": F.lit(None).cast("string"), "warnings": F.expr(f"cast(array() as array<{WARNING}>)"), "cue_count": F.lit(0), "error": F.coalesce("before", unknown)})
+    return by_format(rows, "state", branch).unionByName(failed.select(*columns))
 
 
 def convert(files: DataFrame, options: Options, existing: DataFrame, folders: DataFrame | None = None) -> DataFrame:
     """Results of a batch: files have path, content, pos; ``existing`` lists the paths that exist.
 
-    ``folders`` (path), if given, lists the folders that exist; another output folder is a failure.
-    Names are settled on paths alone. ``output`` holds the bytes to write where the status is
-    succeeded, so the sink is one narrow pass over the results.
+    A file whose content is null could not be read. ``folders`` (path), if given, lists the folders that
+    exist; another output folder is a failure. Names are settled on paths alone. ``output`` holds the
+    bytes to write where the status is succeeded, so the sink is one narrow pass over the results.
+    Decoded files and converted ones are tables in the shared folder: what follows starts from them.
     """
-    done = convert_documents(documents(files), options)
+    read = staged(documents(files).drop("content"), "documents")
+    done = staged(convert_documents(read, options), "converted")
     folder = F.lit(options.directory.strip()) if options.directory else directory(F.col("path"))
     asked = paths.requested(done, F.lit(options.target), folder=folder, media=options.strip_media)
     if folders is not None:
         known = folders.select(F.col("path").alias("out_dir"), F.lit(True).alias("there")).distinct()
-        gone = _error("targetPathUnavailable", "The output directory does not exist or is not reachable.")
+        gone = _error("targetPathUnavailable", "There is no such output folder.")
         asked = asked.join(known, "out_dir", "left").withColumn("error", F.coalesce("error", F.when(F.col("there").isNull(), gone))).drop("there")
     good = asked.filter(F.col("error").isNull()).select("pos", "path", "requested")
     named = paths.assign(good, existing, options.policy).select("pos", "action", "output_path", "renamed", "reason")

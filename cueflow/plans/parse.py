@@ -8,6 +8,9 @@ together. ``cues_of`` gives the relational form. A file that breaks its format's
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +18,7 @@ from cueflow.functions import markup
 from cueflow.functions.asslines import sections
 from cueflow.functions.text import HS, WS, ass_plain, field_ci, has_visible_text, last_wins, let, normalize, strip_overrides, strip_tags, trim_ws
 from cueflow.functions.timecode import parse_ms
+from cueflow.sources.staging import spread
 
 FALLBACK_MS = 5000
 PAIR = "struct<k:string,v:string>"
@@ -183,9 +187,13 @@ def parse_vtt(df: DataFrame) -> DataFrame:
 
 
 _LRC_TAGS = r"\A(?:\[[^\[\]]*\])+"
-_LRC_TIME = r"\A\d{1,3}:[0-5]\d(?::[0-5]\d)?(?:[.:]\d{1,3})?\z"
-_LRC_META = r"\A([A-Za-z][A-Za-z0-9_-]*):(.*)\z"
-_LRC_WORD = r"<\d{1,3}:[0-5]\d(?::[0-5]\d)?(?:[.:]\d{1,3})?>"
+# A stamp is minutes, one or two fields of sixty, and perhaps a fraction of up to three digits.
+_SIXTY, _FRACTION = ":[0-5][0-9]", "[.:][0-9]{1,3}"
+_STAMP = f"[0-9]{{1,3}}(?:{_SIXTY}){{1,2}}(?:{_FRACTION})?"
+_LRC_TIME = rf"\A{_STAMP}\z"
+_LRC_WORD = f"<{_STAMP}>"
+# A tag of metadata: a name that starts with a letter, a colon, and anything.
+_LRC_META = r"\A(\p{Alpha}[\p{Alnum}_\-]*):([^\n\r]*)\z"
 
 
 def parse_lrc(df: DataFrame, fallback_ms: int = FALLBACK_MS) -> DataFrame:
@@ -235,24 +243,12 @@ def parse(df: DataFrame, fmt: str) -> DataFrame:
     return PARSERS[fmt](df.withColumn("text", F.coalesce("text", F.lit("")))).withColumn("format", F.lit(fmt)).drop("text")
 
 
-DOCUMENT = ("title", "language", "fields", "styles", "error", "cues")
-
-
-def parse_by(df: DataFrame, fmt: str) -> DataFrame:
-    """``df`` (with ``text`` and the format's name in column ``fmt``) with the columns of a document; one narrow pass.
+def by_format(df: DataFrame, fmt: str, step: Callable[[str, DataFrame], DataFrame], formats: Iterable[str] | None = None) -> DataFrame:
+    """The union over formats of ``step(format, its rows of df)``; column ``fmt`` names a row's format.
 
-    Every parser takes the texts of its own formats and finds the others empty. Columns of ``df`` other
-    than ``fmt`` must not have names of the document's columns.
+    Each branch is a plan of its own size. ``df`` is read once a format, so it should be a table.
     """
-    own = {"srt": ["srt"], "vtt": ["vtt"], "lrc": ["lrc"], "sbv": ["sbv"], "ass": ["ass", "ssa"]}
-    df = df.withColumnRenamed("text", "__raw")
-    for name, formats in own.items():
-        mine = F.col(fmt).isin(*formats)
-        df = PARSERS[name](df.withColumn("text", F.when(mine, F.col("__raw")).otherwise("")))
-        df = df.withColumn(f"__{name}", F.when(mine, F.struct(*DOCUMENT))).drop("text", *DOCUMENT)
-    document = F.coalesce(*[F.col(f"__{name}") for name in own])
-    df = df.withColumn("__document", document).drop("__raw", *[f"__{name}" for name in own])
-    return df.select(*[c for c in df.columns if c != "__document"], "__document.*")
+    return reduce(DataFrame.unionByName, [step(f, df.filter(F.col(fmt) == f)) for f in formats or list(PARSERS)])
 
 
 def cues_of(documents: DataFrame, *keys: str) -> DataFrame:
@@ -269,7 +265,7 @@ def documents_from_cues(cues: DataFrame, *keys: str, fmt: str = "srt") -> DataFr
     style = F.col("style_ref") if "style_ref" in cues.columns else none("string")
     cue = F.struct("start_ms", "end_ms", "text", empty(RANGES[6:-1]), style, none(POSITION), empty(PAIR)).cast(CUE)
     rows = cues.select(*keys, F.struct(F.col("cue_seq").alias("seq"), cue.alias("cue")).alias("row"))
-    docs = rows.groupBy(*keys).agg(F.array_sort(F.collect_list("row")).alias("rows"))
+    docs = spread(rows, *keys).groupBy(*keys).agg(F.array_sort(F.collect_list("row")).alias("rows"))
     docs = docs.withColumn("cues", F.transform("rows", lambda r: r["cue"])).drop("rows")
     return _document(docs, empty(RAW), None).drop("raw_cues").withColumn("format", F.lit(fmt))
 

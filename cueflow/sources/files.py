@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cueflow.functions.names import admitted, base_name, extensions
@@ -18,20 +18,71 @@ from cueflow.sources.encoding import decode
 
 
 def glob() -> str:
-    """Names with a registered extension, in any of the usual cases."""
-    return "*.{" + ",".join(x for e in extensions() for x in (e, e.upper())) + "}"
+    """Names with a registered extension, in any mixture of cases."""
+    any_case = lambda e: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e)
+    return "*.{" + ",".join(map(any_case, extensions())) + "}"
+
+
+def _status(spark: SparkSession, path: str):
+    """What the file system says of a path; None if it is missing or can't be looked at."""
+    from py4j.protocol import Py4JJavaError
+
+    context = spark.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    try:
+        return at.getFileSystem(context._jsc.hadoopConfiguration()).getFileStatus(at)
+    except Py4JJavaError:
+        return None
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """False also for a path that is missing or can't be looked at."""
+    found = _status(spark, path)
+    return bool(found and found.isDirectory())
+
+
+def expand_paths(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """pos and path of the files that ``paths`` name, in their order; the given paths are a user's list.
+
+    Blank paths are dropped, others trimmed. A folder stands for its own files with a registered
+    extension (not those of its subfolders), sorted by lower-case name, then path; other paths stand for
+    themselves, there or not. Nothing is deduplicated (see ``paths.dedupe``).
+    """
+    given = [p.strip() for p in paths if p.strip()]
+    folders = {p for p in given if is_folder(spark, p)}
+    plain = spark.createDataFrame([(i, p) for i, p in enumerate(given) if p not in folders], "nth int, path string").withColumn("name", F.lit(""))
+    out = plain
+    for i, p in enumerate(given):
+        if p in folders:
+            own = _binary(spark).option("pathGlobFilter", glob()).load(p).select(F.lit(i).alias("nth"), "path")
+            out = out.unionByName(own.withColumn("name", F.lower(base_name(F.col("path")))))
+    # A user's list and the names in it: few rows, one order.
+    order = Window.orderBy("nth", "name", "path")
+    return out.select((F.row_number().over(order) - 1).cast("bigint").alias("pos"), "path")
+
+
+def _binary(spark: SparkSession):
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "false").option("ignoreMissingFiles", "true").option("ignoreCorruptFiles", "true")
 
 
 def read_folder(spark: SparkSession, folder: str) -> DataFrame:
     """path, length and content of a folder's own files (not of its subfolders) with a registered extension."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob()).option("recursiveFileLookup", "false").option("ignoreMissingFiles", "true").load(folder)
-    return files.select("path", "length", "content")
+    return _binary(spark).option("pathGlobFilter", glob()).load(folder).select("path", "length", "content")
 
 
 def read_paths(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """The same for named files; those whose name does not admit them are left out, and so is a blank path."""
-    files = spark.read.format("binaryFile").option("ignoreMissingFiles", "true").load([p.strip() for p in paths if p.strip()])
-    return files.filter(admitted(F.col("path"))).select("path", "length", "content")
+    """pos, path, length and content of all that ``paths`` name (see ``expand_paths``), whose name admits them.
+
+    A file that is missing or can't be read is a row with null content, never an exception.
+    """
+    asked = expand_paths(spark, paths).filter(admitted(F.col("path")))
+    there = sorted({r["path"] for r in asked.select("path").collect()})
+    there = [p for p in there if (found := _status(spark, p)) and found.isFile()]
+    if not there:
+        return asked.select("pos", "path", F.lit(None).cast("bigint").alias("length"), F.lit(None).cast("binary").alias("content"))
+    bare = lambda c: F.regexp_replace(c, r"\Afile:/+(?=[^/])", "/")
+    read = _binary(spark).load(there).select(bare(F.col("path")).alias("__at"), "length", "content").dropDuplicates(["__at"])
+    return asked.join(read, bare(F.col("path")) == F.col("__at"), "left").select("pos", "path", "length", "content")
 
 
 def listing_order(df: DataFrame, path: str = "path") -> DataFrame:
@@ -39,8 +90,13 @@ def listing_order(df: DataFrame, path: str = "path") -> DataFrame:
 
 
 def documents(files: DataFrame) -> DataFrame:
-    """Decoded and detected files: path, length, text, encoding, had_bom, error, format, score, evidence, ..."""
-    return detect(decode(files))
+    """Decoded and detected files: path, length, text, encoding, had_bom, error, format, score, evidence, ...
+
+    Null content is a file that could not be read.
+    """
+    gone = F.struct(F.lit("readFailed").alias("failure"), F.lit("The file is missing or could not be read.").alias("detail"))
+    found = detect(decode(files))
+    return found.withColumn("error", F.when(F.col("content").isNull(), gone.cast(found.schema["error"].dataType)).otherwise(F.col("error")))
 
 
 def inspect(files: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Files as they arrive: the conversion is narrow up to naming, so it runs on a stream as it does on a batch."""
+"""Files as they arrive: each micro-batch is converted as any batch is, up to naming."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from cueflow.plans.convert import Options, convert_documents
 from cueflow.sources.files import documents, glob
+from cueflow.sources.staging import staged
 
 FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -17,11 +18,15 @@ def incoming(spark: SparkSession, folder: str, per_trigger: int = 1000) -> DataF
 
 
 def converted(files: DataFrame, options: Options) -> DataFrame:
-    """path, source_format, content, warnings, cue_count, error, ...; works on streams and batches."""
-    return convert_documents(documents(files), options)
+    """path, source_format, content, warnings, cue_count, error, ... of a batch."""
+    return convert_documents(staged(documents(files).drop("content"), "documents"), options)
 
 
 def convert_folder(spark: SparkSession, folder: str, out: str, checkpoint: str, options: Options, once: bool = True) -> StreamingQuery:
     """Converts what arrives in a folder into Parquet rows, each file once."""
-    writer = converted(incoming(spark, folder), options).writeStream.format("parquet").option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="10 seconds")).start(out)
+    def convert_batch(files: DataFrame, number: int) -> None:
+        # A batch that runs again replaces what it wrote.
+        converted(files, options).write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch={number}")
+
+    writer = incoming(spark, folder).writeStream.foreachBatch(convert_batch).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="10 seconds")).start()
