@@ -1,13 +1,12 @@
 """What the operators of this subpackage share: tables cut from their lineage, and word hashes.
 
-Tables that cut a lineage go to the folder that the cluster names in ``spark.checkpoint.dir``, below
-the application's id, so executors and the driver both see them and a lost executor loses nothing.
+Tables that cut a lineage go to the folder that the cluster names in ``spark.checkpoint.dir`` (see
+``sources.staging``), so executors and the driver both see them and a lost executor loses nothing.
 """
 
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 
 import numpy as np
@@ -15,40 +14,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from cueflow.sources.staging import Staged as Cut
+from cueflow.sources.staging import shared_folder
+
 #: White space that separates words: the space and U+0009 to U+000D.
 SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
-_fallback: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, or, where the setting is empty (tests), one of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        app = spark.sparkContext.applicationId
-        folder = _fallback.setdefault(app, tempfile.mkdtemp(prefix="cueflow-"))
-    return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}"
-
-
-class Cut:
-    """A DataFrame written to the shared folder and read back; ``drop`` deletes its files."""
-
-    def __init__(self, df: DataFrame, name: str):
-        self._spark = df.sparkSession
-        self.path = f"{shared_folder(self._spark)}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
-        self.df = self._spark.read.schema(df.schema).parquet(self.path)
-
-    def drop(self) -> None:
-        jvm = self._spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(self.path)
-        at.getFileSystem(self._spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def cut(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, read back; it goes when the application ends."""
     return Cut(df, name).df
 
 
+def cut_by(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """The same with its rows dealt into buckets by ``key``, which a grouping or join by that key can use without a shuffle."""
+    spark, table = df.sparkSession, f"cueflow_{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).format("parquet").option("path", f"{shared_folder(spark)}/{table}").saveAsTable(table)
+    return spark.table(table)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

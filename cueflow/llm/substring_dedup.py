@@ -9,14 +9,16 @@ share a minimizer, they form a shard: its suffix automaton, with weighted occurr
 every span's matching statistics, and windows no longer than the longest repeated suffix are
 repeated. A minimizer with very many different spans (the rim of a passage that everybody quotes) is
 counted window by window instead, which aggregates before the shuffle and needs no group in one task.
+Joins on minimizers and spans are on a salt too: an aggregate keeps, in the bits of a long, which salts
+a key has, so a key that much of the corpus shares is dealt over many tasks without copies of the rest.
 
-Words compare by 64-bit hashes.
+Windows compare by two 64-bit hashes, the minimizer's and their own, words by one.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cueflow.llm.runtime import cut, in_batches, mix, space_table, span_hashes, text_bytes, word_spans
@@ -28,6 +30,8 @@ RUN = 8
 SPAN = 28
 #: Different spans of a minimizer that one automaton takes.
 SHARD_SPANS = 512
+#: Parts that the rows of a key are dealt over in joins; one bit each in a long.
+SALTS = 64
 #: Texts handled together in a task.
 TEXTS = 256
 #: Windows that a task sums up before it sends them on.
@@ -246,7 +250,7 @@ def _match_shards(rows: DataFrame, window: int) -> DataFrame:
 
 
 def _single_windows(rows: DataFrame, window: int) -> DataFrame:
-    """(hash, copies, places): the windows of the rows' spans, equal ones of a task summed up.
+    """(least, hash, copies, places): the windows of the rows' spans, equal ones of a task summed up.
 
     ``places`` lists (key, start) of those from spans with one copy, the only ones still to be judged.
     """
@@ -255,32 +259,49 @@ def _single_windows(rows: DataFrame, window: int) -> DataFrame:
         import pyarrow as pa
 
         def send(parts):
-            key, start, copies, hashes = (np.concatenate(x) for x in zip(*parts, strict=True))
-            value, of = np.unique(hashes, return_inverse=True)
-            total = np.bincount(of, copies, len(value)).astype(np.int64)
-            judged = np.flatnonzero(copies == 1)
-            judged = judged[np.argsort(of[judged], kind="stable")]
-            ends = np.concatenate([[0], np.cumsum(np.bincount(of[judged], minlength=len(value)))])
+            least, key, start, copies, hashes = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((hashes, least))
+            least, key, start, copies, hashes = (x[order] for x in (least, key, start, copies, hashes))
+            new = np.flatnonzero(np.concatenate([[True], (np.diff(least) != 0) | (np.diff(hashes) != 0)]))
+            judged = copies == 1
+            ends = np.concatenate([[0], np.cumsum(np.add.reduceat(judged.astype(np.int64), new))])
             places = pa.StructArray.from_arrays([pa.array(key[judged]), pa.array(start[judged].astype(np.int32))], ["key", "start"])
-            return pa.RecordBatch.from_arrays([pa.array(value), pa.array(total), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), places)], ["hash", "copies", "places"])
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), places)
+            return pa.RecordBatch.from_arrays([pa.array(least[new]), pa.array(hashes[new]), pa.array(np.add.reduceat(copies, new)), lists], ["least", "hash", "copies", "places"])
 
         parts, held = [], 0
         for b in batches:
-            count = b.column(3).to_numpy().astype(np.int64)
-            flat = b.column(4).flatten().to_numpy().view(np.uint64)
+            count = b.column(4).to_numpy().astype(np.int64)
+            flat = b.column(5).flatten().to_numpy().view(np.uint64)
             begin = np.concatenate([[0], np.cumsum(count + window - 1)])[:-1]
             within = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
             first = np.repeat(begin, count) + within
             hashes = _range_hashes(flat, first, first + window).view(np.int64)
-            parts.append((np.repeat(b.column(0).to_numpy(), count), np.repeat(b.column(1).to_numpy(), count) + within, np.repeat(b.column(2).to_numpy(), count), hashes))
+            each = [np.repeat(b.column(i).to_numpy().astype(np.int64), count) for i in range(4)]
+            parts.append((each[0], each[1], each[2] + within, each[3], hashes))
             held += len(hashes)
             if held > HELD_WINDOWS:
                 yield send(parts)
                 parts, held = [], 0
-        if parts:
+        if held:
             yield send(parts)
 
-    return in_batches(rows.select("key", "start", "copies", "windows", "words"), run, "hash bigint, copies bigint, places array<struct<key:bigint,start:int>>")
+    return in_batches(rows.select("least", "key", "start", "copies", "windows", "words"), run, "least bigint, hash bigint, copies bigint, places array<struct<key:bigint,start:int>>")
+
+
+def _salt(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(SALTS)).cast("int")
+
+
+def _salts() -> Column:
+    """Aggregates column ``salt``: the bits of those that occur."""
+    return F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("salt"))).alias("salts")
+
+
+def _each_salt() -> Column:
+    """Explodes column ``salts`` again."""
+    bits = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    return F.explode(F.filter(bits, lambda i: F.getbit("salts", i) == 1)).alias("salt")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, shard_spans: int = SHARD_SPANS) -> DataFrame:
@@ -291,25 +312,30 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, shard_spans: int = SHA
     lose them. Other columns are not read.
     """
     keyed = _keyed(docs)
-    found = _occurrences(keyed, window)
-    often = found.groupBy("least").agg(F.count(F.lit(1)).alias("n"), F.max("loop").alias("loops")).filter("n > 1 OR loops = 1").select("least")
-    live = cut(found.drop("loop").join(often, "least"), "spans")
+    found = _occurrences(keyed, window).withColumn("salt", _salt("key"))
+    often = found.groupBy("least").agg(F.count(F.lit(1)).alias("n"), F.max("loop").alias("loops"), _salts()).filter("n > 1 OR loops = 1").select("least", _each_salt())
+    live = cut(found.drop("loop").join(often, ["least", "salt"]), "spans")
     # Equal spans collapse; any one of them stands for all.
-    distinct = live.groupBy("least", "span").agg(F.count(F.lit(1)).alias("copies"), F.first("key").alias("key"), F.first("start").alias("start"), F.first("windows").alias("windows"))
-    distinct = cut(distinct, "distinct-spans")
-    mixed = distinct.groupBy("least").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("copies") == 1).alias("single")).filter("single > 0")
-    wanted = distinct.join(mixed, "least").withColumn("crowded", F.col("n") > shard_spans)
+    one = [F.first(c).alias(c) for c in ("key", "start", "windows")]
+    distinct = cut(live.groupBy("least", "span").agg(F.count(F.lit(1)).alias("copies"), *one, _salts()), "distinct-spans")
+    mine = distinct.drop("salts").withColumn("salt", _salt("span"))
+    mixed = mine.groupBy("least").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("copies") == 1).alias("single"), _salts()).filter("single > 0")
+    wanted = mine.join(mixed.select("least", "n", _each_salt()), ["least", "salt"]).withColumn("crowded", F.col("n") > shard_spans)
     wanted = wanted.groupBy("key").agg(F.collect_list(F.struct("start", "windows", "least", "copies", "crowded")).alias("want"))
     texts = keyed.select("key", "doc_id", "text")
-    words = cut(_span_words(texts.join(wanted, "key").select("key", "text", "want"), window), "span-words")
+    # Repeated rows have one key; one of them is enough to read the words from.
+    once = texts.join(wanted, "key").groupBy("key").agg(F.first("text").alias("text"), F.first("want").alias("want"))
+    words = cut(_span_words(once, window), "span-words")
     by_shard = words.filter(~F.col("crowded")).repartition(F.col("least")).sortWithinPartitions("least")
     matched = _match_shards(by_shard, window)
     crowd = cut(_single_windows(words.filter("crowded"), window), "windows")
-    again = crowd.groupBy("hash").agg(F.sum("copies").alias("n")).filter("n > 1").select("hash")
-    counted = crowd.filter(F.size("places") > 0).join(again, "hash").select(F.inline("places")).withColumn("mask", F.lit(1).cast("bigint"))
-    whole = live.join(distinct.filter("copies > 1").select("least", "span"), ["least", "span"])
+    again = crowd.groupBy("least", "hash").agg(F.sum("copies").alias("n")).filter("n > 1").select("least", "hash")
+    counted = crowd.filter(F.size("places") > 0).join(again, ["least", "hash"]).select(F.inline("places")).withColumn("mask", F.lit(1).cast("bigint"))
+    whole = live.join(distinct.filter("copies > 1").select("least", "span", _each_salt()), ["least", "span", "salt"])
     whole = whole.select("key", "start", (F.expr("shiftleft(1L, windows)") - 1).alias("mask"))
-    removed = whole.unionAll(matched).unionAll(counted).groupBy("key").agg(F.collect_list(F.struct("start", "mask")).alias("gone"))
+    # Repeated rows say the same of one key; it is said once.
+    removed = whole.unionAll(matched).unionAll(counted).groupBy("key", "start").agg(F.bit_or("mask").alias("mask"))
+    removed = removed.groupBy("key").agg(F.collect_list(F.struct("start", "mask")).alias("gone"))
 
     def run(batches):
         import pyarrow as pa
