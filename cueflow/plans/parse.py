@@ -187,6 +187,7 @@ def parse_vtt(df: DataFrame) -> DataFrame:
 
 
 _LRC_TAGS = r"\A(?:\[[^\[\]]*\])+"
+# What counts as a stamp and as a tag of metadata.
 # A stamp is minutes, one or two fields of sixty, and perhaps a fraction of up to three digits.
 _SIXTY, _FRACTION = ":[0-5][0-9]", "[.:][0-9]{1,3}"
 _STAMP = f"[0-9]{{1,3}}(?:{_SIXTY}){{1,2}}(?:{_FRACTION})?"
