@@ -7,7 +7,8 @@ to the blocks, where positions turn into ids in the order of the text. Decoding
 token-byte table, which has the size of the vocabulary.
 
 A block holds a bounded amount of text, and its list is cut by hash classes of words, one compressed
-row for each class, so a frequent word costs one entry a block wherever it occurs.
+row for each class, so a frequent word costs one entry a block wherever it occurs. Blocks are written
+once, so that lists and positions are of one reading of the texts whatever is run again.
 """
 
 from __future__ import annotations
@@ -18,51 +19,48 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cueflow.llm.runtime import in_batches
+from cueflow.llm.runtime import cut_by, in_batches, row_and
 
 #: Characters of text after which a block ends.
 BLOCK_CHARS = 16_000_000
+#: Bytes of decoded text in a batch, unless one text has more.
+DECODED_BYTES = 8_000_000
 #: A text of more characters than this is still one row, but starts a block of its own.
 
+#: One match of any text: what a word is to an encoder of single words.
+ALL = r"[\s\S]+"
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def _block_id(n: int) -> int:
-    from pyspark import TaskContext
-
-    return (TaskContext.get().partitionId() << 24) | n
-
-
-def _class_of(words: list[bytes], classes: int) -> np.ndarray:
-    from xxhash import xxh32_intdigest
-
-    return np.fromiter((xxh32_intdigest(w) % classes for w in words), np.int64, len(words))
-
-
 def _blocks(batches, pattern: str, classes: int):
-    """Yields (block id, row ids, lengths in words, words sorted by class, class ends, positions)."""
+    """Yields (row ids, lengths in words, distinct words, their classes, positions among the words).
+
+    Words stand by falling frequency, so positions are small numbers.
+    """
     import regex
+    from xxhash import xxh32_intdigest
 
     find = regex.compile(pattern).findall
-    n, ids, lengths, codes, place, chars = 0, [], [], [], {}, 0
+    ids, lengths, codes, place, chars = [], [], [], {}, 0
 
     def block():
-        words = [w.encode("utf-8", "surrogatepass") for w in place]
-        of = _class_of(words, classes)
-        order = np.argsort(of, kind="stable")
-        new = np.empty(len(order), np.int64)
-        new[order] = np.arange(len(order))
-        flat = new[np.concatenate(codes)] if codes else np.zeros(0, np.int64)
-        return _block_id(n), ids, lengths, [words[i] for i in order], np.bincount(of, minlength=classes), flat
+        flat = np.concatenate([*codes, np.zeros(0, np.int64)])
+        order = np.argsort(-np.bincount(flat, minlength=len(place)), kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        first = list(place)
+        words = [first[i].encode() for i in order.tolist()]
+        return ids, lengths, words, np.fromiter((xxh32_intdigest(w) % classes for w in words), np.int64, len(words)), rank[flat]
 
     for b in batches:
         for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             if chars and chars + len(text or "") > BLOCK_CHARS:
                 yield block()
-                n, ids, lengths, codes, place, chars = n + 1, [], [], [], {}, 0
+                ids, lengths, codes, place, chars = [], [], [], {}, 0
             words = find(text) if text else []
             codes.append(np.fromiter((place.setdefault(w, len(place)) for w in words), np.int64, len(words)))
             ids.append(key)
@@ -108,42 +106,50 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
     """The key column (bigint) and ``ids`` (array<int>) of every row of ``docs``.
 
     Ids are those of tiktoken with the given ranks and pattern and no special tokens. A null or empty
-    text has no ids; repeated rows come out repeated; null keys pass. ``classes`` is the number of
-    hash classes of words and defaults to four for each shuffle partition.
+    text has no ids; repeated rows come out repeated; null keys pass; texts of any length are read
+    whole; an empty table gives none. Columns besides the key and text are not read. ``classes`` is the
+    number of hash classes of words and defaults to four for each shuffle partition.
     """
     spark = docs.sparkSession
     classes = classes or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    slim = docs.select(F.col(key).cast("bigint").alias("key"), "text")
-
-    def lists(batches):
-        import pyarrow as pa
-
-        for block, _, _, words, sizes, _ in _blocks(batches, pattern, classes):
-            ends = np.cumsum(sizes).tolist()
-            rows = [(c, block, _pack(words[a:z])) for c, (a, z) in enumerate(zip([0, *ends], ends, strict=False)) if z > a]
-            if rows:
-                c, b, w = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), pa.array(b, pa.int64()), pa.array(w, pa.binary())], ["class", "block", "words"])
+    ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
 
-    def positions(batches):
+    def split(batches):
         import pyarrow as pa
-
-        for block, ids, lengths, _, _, flat in _blocks(batches, pattern, classes):
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int32())), pa.array([_squeeze(flat)], pa.binary())], ["block", "keys", "lengths", "at"])
+        from pyspark import TaskContext
+
+        task = TaskContext.get().partitionId()
+        for n, (ids, lengths, words, of, flat) in enumerate(_blocks(batches, pattern, classes)):
+            order = np.argsort(of, kind="stable")
+            ends = np.cumsum(np.bincount(of, minlength=classes)).tolist()
+            lists = [{"class": c, "words": _pack([words[i] for i in order[a:z].tolist()])} for c, (a, z) in enumerate(zip([0, *ends], ends, strict=False)) if z > a]
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "block": pa.array([(task << 24) | n], pa.int64()),
+                    "keys": pa.array([ids], pa.list_(pa.int64())),
+                    "lengths": pa.array([lengths], pa.list_(pa.int32())),
+                    "classes": pa.array([_squeeze(of)], pa.binary()),
+                    "at": pa.array([_squeeze(flat)], pa.binary()),
+                    "lists": pa.array([lists], pa.list_(pa.struct([("class", pa.int32()), ("words", pa.binary())]))),
+                }
+            )
 
     def encode_words(batches):
         import pyarrow as pa
         import tiktoken
 
-        whole = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(ranks_path), special_tokens={})
-        known: dict[bytes, list[int]] = {}  # a task's classes hold each of their words once
+        whole = tiktoken.Encoding("words", pat_str=ALL, mergeable_ranks=ranks.value, special_tokens={})
+        known: dict[bytes, list[int]] = {}
+        now = None
         for b in batches:
             for c, block, blob in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                if c != now:  # words of one class stand together, and each is encoded once
+                    now, known = c, {}
                 ids = []
                 for w in _unpack(blob):
                     found = known.get(w)
                     if found is None:
-                        found = known[w] = whole._encode_single_piece(w)
+                        found = known[w] = whole.encode_ordinary(w.decode())
                     ids.append(found)
                 size = np.array([len(x) for x in ids], np.int64)
                 flat = np.array([i for x in ids for i in x], np.int64)
@@ -155,11 +161,15 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
         out = [pa.array([], pa.int64())], [pa.array([], pa.list_(pa.int32()))]
         if left.num_rows:
             right = right.sort_by("class")
-            sizes = [_stretch(x) for x in right["sizes"].to_pylist()]
-            ids = [_stretch(x) for x in right["ids"].to_pylist()]
-            size = np.concatenate([*sizes, np.zeros(0, np.int64)])
-            flat = np.concatenate([*ids, np.zeros(0, np.int64)]).astype(np.int32)
+            size = np.concatenate([*map(_stretch, right["sizes"].to_pylist()), np.zeros(0, np.int64)])
+            flat = np.concatenate([*map(_stretch, right["ids"].to_pylist()), np.zeros(0, np.int64)]).astype(np.int32)
             start = np.cumsum(size) - size
+            # Lists are ordered by class, positions by frequency.
+            order = np.argsort(_stretch(left["classes"][0].as_py()), kind="stable")
+            if len(order) != len(size):
+                raise RuntimeError("a block met other words than its own")
+            for x in (size, start):
+                x[order] = x.copy()
             at = _stretch(left["at"][0].as_py())
             lengths, keys = np.array(left["lengths"][0].as_py(), np.int64), left["keys"][0].as_py()
             ends = np.cumsum(lengths)
@@ -176,39 +186,51 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
                 out[1].append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat[pick], pa.int32())))
         return pa.table({key: pa.chunked_array(out[0]), "ids": pa.chunked_array(out[1])})
 
-    words = in_batches(slim, lists, "class int, block bigint, words binary")
-    encoded = in_batches(words.repartition(F.col("class")), encode_words, "block bigint, class int, sizes binary, ids binary")
-    texts = in_batches(slim, positions, "block bigint, keys array<bigint>, lengths array<int>, at binary")
+    slim = docs.select(F.col(f"`{key}`").cast("bigint").alias("key"), "text")
+    # Bucketed, so that positions stay where they are and the words' ids come to them.
+    written = in_batches(slim, split, "block bigint, keys array<bigint>, lengths array<int>, classes binary, at binary, lists array<struct<class:int,words:binary>>")
+    blocks = cut_by(written, "blocks", "block", int(spark.conf.get("spark.sql.shuffle.partitions")))
+    words = blocks.select("block", F.inline("lists")).select("class", "block", "words").repartition(F.col("class")).sortWithinPartitions("class")
+    encoded = in_batches(words, encode_words, "block bigint, class int, sizes binary, ids binary")
+    texts = blocks.select("block", "keys", "lengths", "classes", "at")
     return texts.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(join, f"`{key}` bigint, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks_path: str, key: str = "doc_id") -> DataFrame:
-    """The key column and ``decoded`` (binary) of every row; null ids decode to no bytes."""
-    kind = encoded.schema[key].dataType.simpleString()
+    """The key column and ``decoded`` (binary) of every row of ``encoded``.
 
+    Ids go through the token-byte table, which each task has whole (its size is the vocabulary's). Null and
+    empty ids decode to no bytes, repeated rows and null keys pass, an empty table gives none; an id
+    outside the vocabulary is an error. Columns besides the key and ids are not read, so none clash.
+    """
+    ranks = encoded.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        ranks = read_ranks(ranks_path)
-        table = [b""] * (max(ranks.values()) + 1)
-        for token, i in ranks.items():
+        table = [b""] * (max(ranks.value.values()) + 1)
+        for token, i in ranks.value.items():
             table[i] = token
         length = np.array([len(t) for t in table], np.int64)
         flat = np.frombuffer(b"".join(table), np.uint8)
         start = np.cumsum(length) - length
         for b in batches:
-            for part in (b.slice(i, 256) for i in range(0, b.num_rows, 256)):
-                ids = part.column(1)
-                of = np.concatenate([[0], np.cumsum(np.nan_to_num(np.array(ids.value_lengths().to_pylist(), float)).astype(np.int64))])
-                tokens = ids.flatten().to_numpy(zero_copy_only=False)
-                n = length[tokens]
-                stop = np.cumsum(n)
-                pick = np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(start[tokens] - (stop - n), n)
-                offsets = np.concatenate([[0], stop])[of]
-                data = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(flat[pick].tobytes())])
-                yield pa.RecordBatch.from_arrays([part.column(0), data], [key, "decoded"])
-
-    return in_batches(encoded.select(key, "ids"), run, f"`{key}` {kind}, decoded binary")
+            ids = b.column(1)
+            of = np.concatenate([[0], np.cumsum(np.array(pc.fill_null(ids.value_lengths(), 0), np.int64))])
+            tokens = ids.flatten().to_numpy(zero_copy_only=False)
+            ends = np.concatenate([[0], np.cumsum(length[tokens])])[of]
+            lo = 0
+            while lo < b.num_rows:
+                # As many rows as make a few megabytes of text, or one.
+                hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + DECODED_BYTES, side="right")) - 1)
+                some = tokens[of[lo] : of[hi]]
+                n = length[some]
+                pick = np.arange(int(n.sum())) + np.repeat(start[some] - (np.cumsum(n) - n), n)
+                data = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((ends[lo : hi + 1] - ends[lo]).astype(np.int32).tobytes()), pa.py_buffer(flat[pick].tobytes())])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), data], [key, "decoded"])
+                lo = hi
+
+    return in_batches(encoded.select(key, "ids"), run, row_and(encoded, key, "decoded binary"))
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
