@@ -12,7 +12,7 @@ Two texts of similarity s share a key with probability 1 - (1 - s ** ROWS) ** BA
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cueflow.llm.runtime import cut, in_batches, mix, space_table, span_hashes, text_bytes, word_spans
@@ -87,16 +87,23 @@ def candidates(nodes: DataFrame) -> DataFrame:
 
 
 def _with_nodes(docs: DataFrame, keys: bool) -> DataFrame:
+    """doc_id, row (a hash of id and text), node, and the node's keys or the text, of every row."""
+
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            sets = shingle_sets(b.column(1))
+            sets = shingle_sets(b.column(2))
             node = pa.array([node_of(s) for s in sets], pa.int64())
-            last = pa.array([band_keys(s) if len(s) else [] for s in sets], pa.list_(pa.int64())) if keys else b.column(1)
-            yield pa.RecordBatch.from_arrays([b.column(0), node, last], ["doc_id", "node", "keys" if keys else "text"])
+            last = pa.array([band_keys(s) if len(s) else [] for s in sets], pa.list_(pa.int64())) if keys else b.column(2)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), node, last], ["doc_id", "row", "node", "keys" if keys else "text"])
+
+    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _row().alias("row"), "text")
+    return in_batches(slim, run, f"doc_id bigint, row bigint, node bigint, {'keys array<bigint>' if keys else 'text string'}")
 
-    return in_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), run, f"doc_id bigint, node bigint, {'keys array<bigint>' if keys else 'text string'}")
+
+def _row():
+    return F.xxhash64(F.col("doc_id").cast("bigint"), F.col("doc_id").isNull(), "text", F.col("text").isNull())
 
 
 def links(docs: DataFrame, nodes: DataFrame, least: float = LEAST) -> DataFrame:
@@ -122,23 +129,37 @@ def links(docs: DataFrame, nodes: DataFrame, least: float = LEAST) -> DataFrame:
     return in_batches(both, run, "a bigint, b bigint")
 
 
+def _rooted(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """All rows (doc_id, row, node), and (node, root) of every node."""
+    prints = cut(_with_nodes(docs, True), "shingles")
+    distinct = prints.groupBy("node").agg(F.first("keys").alias("keys"))
+    found = components(links(docs, distinct, least)).withColumnRenamed("node", "of")
+    rooted = prints.select("node").distinct().join(found, F.col("node") == F.col("of"), "left").select("node", F.coalesce("root", "node").alias("root"))
+    return prints.select("doc_id", "row", "node"), rooted
+
+
 def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """doc_id and component_id (the smallest doc_id that chains of links reach) of every row.
 
-    Null and empty texts are one component. A component whose ids are all null has a null id.
+    Null and empty texts are one component. A component whose ids are all null has a null id. Repeated
+    rows stay repeated, texts of any length are read whole, an empty table gives none, columns besides
+    doc_id and text are not read.
     """
-    prints = cut(_with_nodes(docs, True), "shingles")
-    distinct = prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys"))
-    found = components(links(docs, distinct.select("node", "keys"), least)).withColumnRenamed("node", "of")
-    rooted = distinct.join(found, F.col("node") == F.col("of"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select(F.col("node").alias("of"), "component_id")
-    return prints.join(named, F.col("node") == F.col("of")).select("doc_id", "component_id")
+    prints, rooted = _rooted(docs, least)
+    first = prints.groupBy("node").agg(F.min("doc_id").alias("first"))
+    named = rooted.join(first, "node").select("node", F.min("first").over(Window.partitionBy("root")).alias("component_id"))
+    return prints.join(named, "node").select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """The rows of ``docs`` without those that have a near-duplicate of smaller doc_id.
+    """One row of ``docs`` of each component: that of the smallest doc_id, and of the smallest hash among such.
 
-    Of rows that share the kept doc_id all stay, as does a component without ids.
+    Rows without doc_id come last, repeated rows are one. All columns stay as they are.
     """
-    kept = near_duplicates(docs, least).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
+    prints, rooted = _rooted(docs, least)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    best = prints.groupBy("node").agg(F.min(order).alias("best"))
+    kept = best.join(rooted, "node").groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias("__row"))
+    packed = docs.select(_row().alias("__row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__all"))
+    # Repeated rows of a kept id meet by the key that they are joined by.
+    return packed.join(kept, "__row", "left_semi").groupBy("__row").agg(F.first("__all").alias("__all")).select("__all.*")

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cueflow.llm.runtime import Cut, cut, in_batches
+from cueflow.sources.staging import spread
 
 RADIUS = 2
 #: Texts are taken in pieces of about so many bytes, cut at white space.
@@ -73,21 +74,23 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
 def links(values: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Distinct links (a, b), a < b, that connect all values of column ``fp`` within ``radius`` bits.
 
-    ``values`` holds distinct longs; the radius is 2.
+    ``values`` holds distinct longs, without null; the radius is 2. No values, no links.
     """
     if radius != 2:
         raise ValueError("variants within half the radius are one-bit flips: the radius is 2")
     flips = [F.col("fp")] + [F.col("fp").bitwiseXOR(F.lit((1 << i) - (1 << 64 if i == 63 else 0))) for i in range(64)]
-    met = values.select("fp", F.explode(F.array(*flips)).alias("variant")).groupBy("variant").agg(F.collect_list("fp").alias("ball"))
+    # Dealt over all cores before they grow 65-fold.
+    met = spread(values.select("fp")).select("fp", F.explode(F.array(*flips)).alias("variant")).groupBy("variant").agg(F.collect_list("fp").alias("ball"))
     met = met.filter(F.size("ball") > 1).select(F.array_min("ball").alias("a"), F.explode("ball").alias("b"))
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
     return met.filter((F.col("a") < F.col("b")) & close).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the links (a, b): root is the smallest node of its component.
 
-    Hubs are aggregated before they are shuffled, and every round is a table in the shared folder.
+    Hubs are aggregated before they are shuffled, and every round is a table in the shared folder; rounds
+    end when nothing changes, after about the logarithm of the longest chain of links.
     """
     state = Cut(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).filter("v != m").distinct(), "links")
 
@@ -96,9 +99,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         return r["n"], r["h"]
 
     before = mark(state.df)
-    for _ in range(rounds):
-        if not before[0]:
-            break
+    while before[0]:
         both = state.df.unionAll(state.df.select(F.col("m").alias("v"), F.col("v").alias("m")))
         least = both.groupBy("v").agg(F.min("m").alias("least")).select(F.col("v").alias("hub"), F.least("v", "least").alias("least"))
         large = both.filter("m > v").select(F.col("v").alias("hub"), F.col("m").alias("far")).join(least, "hub")
@@ -114,8 +115,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError("components did not settle")
     return state.df.select(F.col("v").alias("node"), F.col("m").alias("root"))
 
 
@@ -125,7 +124,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     ``component_id`` is the smallest doc_id among the documents that chains of links of at most 2
     differing bits reach. Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a text of fewer words
     than a shingle is one shingle, a null or empty text has fingerprint zero and is linked like any
-    other. Repeated rows stay repeated. A component whose ids are all null has a null id.
+    other. Repeated rows stay repeated. A component whose ids are all null has a null id. Texts of any
+    length are read whole, an empty table gives none, columns besides doc_id and text are not read.
     """
     prints = cut(fingerprints(docs, shingle), "fingerprints")
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
