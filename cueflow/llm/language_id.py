@@ -3,17 +3,19 @@
 Each language has a probability for every piece of a fixed public vocabulary. The probability of a
 word is the sum over all its segmentations into pieces, by the forward recursion
 ``alpha[i] = sum over pieces ending at i of alpha[start] * p(piece)``; that of a text is the product
-over its words. Pieces are byte strings, so every word has a segmentation. Probabilities come from
-expectation-maximisation over word counts of a bounded sample, each step one Spark aggregation.
-
-The recursion runs for many words at once: pieces are at most 8 bytes, so a piece is one 64-bit
-number, found in a sorted table; words repeat so much that a task computes few of them anew.
+over its words. Words are runs of letters, in lower case, each with the space before it, which many
+pieces begin with. Pieces are byte strings and all single bytes are among them, so every word has a
+segmentation. Probabilities come from expectation-maximisation over word counts of a bounded sample,
+each step one Spark aggregation.
+
+The recursion runs for many words at once: a piece is found by a rolling hash of its bytes among the
+pieces of its length; words repeat so much that a task computes few of them anew. Very long words go
+one by one, by the same recursion.
 """
 
 from __future__ import annotations
 
 import base64
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,118 +24,166 @@ from pyspark.sql import functions as F
 
 from cueflow.llm.runtime import cut, held_out, in_batches
 
-#: Longest piece in bytes.
-LONGEST = 8
-#: Words are cut into units of at most so many bytes.
-UNIT = 48
+#: Bytes of the longest words that are taken many at once, and remembered.
+SHORT = 64
+#: Probabilities are scaled by this for each byte, so that those of short words stay within floating point.
+PER_BYTE = 1e4
 #: Rows per language that probabilities are learned from, in expectation.
 SAMPLE_ROWS = 3000
 #: Words a task remembers.
 REMEMBERED = 400_000
-_WORD = re.compile(r"[^\W\d_]+")
-
-
-def packed_vocabulary(path: str) -> np.ndarray:
-    """Sorted 64-bit numbers of the vocabulary's pieces of at most LONGEST bytes, all single bytes among them."""
-    with open(path, "rb") as f:
-        pieces = {base64.b64decode(line.split()[0]) for line in f if line.strip()}
-    pieces |= {bytes([i]) for i in range(256)}
-    # A piece's length is told by the highest byte that is set: no piece of text holds the byte 0.
-    return np.array(sorted(int.from_bytes(p, "big") for p in pieces if 0 < len(p) <= LONGEST and 0 not in p), np.uint64)
-
-
-def units(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(matrix of bytes, lengths, index of the word) of the units of the words."""
-    cut_up, of = [], []
-    for i, w in enumerate(words):
-        b = w.encode()
-        for at in range(0, len(b), UNIT):
-            cut_up.append(b[at : at + UNIT])
-            of.append(i)
-    length = np.array([len(b) for b in cut_up], np.int64)
-    wide = int(length.max()) if len(length) else 0
-    flat = np.frombuffer(b"".join(b.ljust(wide, b"\0") for b in cut_up), np.uint8).reshape(len(cut_up), wide)
-    return flat, length, np.array(of, np.int64)
-
-
-def _pieces_ending(flat: np.ndarray, vocabulary: np.ndarray):
-    """For every position i (from 1) and length: the pieces' places in the vocabulary, -1 for none."""
-    wide = flat.shape[1]
-    b = flat.astype(np.uint64)
-    for i in range(1, wide + 1):
-        key = np.zeros(len(b), np.uint64)
-        found = []
-        for size in range(1, min(LONGEST, i) + 1):
-            key = key | (b[:, i - size] << np.uint64(8 * (size - 1)))
-            at = np.searchsorted(vocabulary, key)
-            at[at == len(vocabulary)] = 0
-            found.append(np.where(vocabulary[at] == key, at, -1))
-        yield i, found
-
-
-def log_likelihood(words: list[str], vocabulary: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """log p(word | language) for each word (rows) and language (columns); ``p``: pieces x languages."""
+LETTERS = r"\p{L}+"
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+
+class Vocabulary:
+    """Pieces of a rank file, and all single bytes; found by length and rolling hash, or by their bytes."""
+
+    def __init__(self, path: str):
+        with open(path, "rb") as f:
+            pieces = {base64.b64decode(line.split()[0]) for line in f if line.strip()}
+        pieces |= {bytes([i]) for i in range(256)}
+        self.place = {p: i for i, p in enumerate(sorted(pieces - {b""}))}
+        by_length: dict[int, list[bytes]] = {}
+        for p in self.place:
+            by_length.setdefault(len(p), []).append(p)
+        self.tables = {}
+        for n, some in by_length.items():
+            # The last byte counts once, each one before it a factor more.
+            flat = np.frombuffer(b"".join(some), np.uint8).reshape(len(some), n).astype(np.uint64)
+            keys = np.zeros(len(some), np.uint64)
+            for k in range(n):
+                keys = keys * _FACTOR + flat[:, k]
+            order = np.argsort(keys)
+            self.tables[n] = keys[order], np.array([self.place[p] for p in some])[order]
+        self.lengths = np.zeros(len(self.place), np.int64)
+        for piece, i in self.place.items():
+            self.lengths[i] = len(piece)
+        self.longest = max(self.tables)
+        self.factors = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(self.longest, _FACTOR)]), dtype=np.uint64)
+
+    def __len__(self) -> int:
+        return len(self.place)
+
+    def scaled(self, p: np.ndarray) -> np.ndarray:
+        return p * (PER_BYTE ** self.lengths.astype(float)).reshape(-1, *[1] * (p.ndim - 1))
+
+    def in_many(self, flat: np.ndarray, first: np.ndarray):
+        """For each end i in the words' bytes (a matrix): i and a list of (size, rows, pieces). Rows before first[i] end before i."""
+        for i in range(1, flat.shape[1] + 1):
+            lo, found = int(first[i]), []
+            key = np.zeros(len(flat) - lo, np.uint64)
+            for size in range(1, min(self.longest, i) + 1):
+                key = key + flat[lo:, i - size].astype(np.uint64) * self.factors[size - 1]
+                if size not in self.tables:
+                    continue
+                keys, pieces = self.tables[size]
+                at = np.searchsorted(keys, key)
+                at[at == len(keys)] = 0
+                hit = np.flatnonzero(keys[at] == key)
+                if len(hit):
+                    found.append((size, hit + lo, pieces[at[hit]]))
+            yield i, found
+
+    def in_one(self, word: bytes):
+        """For each end i in a word: the starts and the pieces."""
+        sizes = sorted(self.tables)
+        for i in range(1, len(word) + 1):
+            pieces = [(i - n, self.place.get(word[i - n : i])) for n in sizes if n <= i]
+            yield i, [(a, k) for a, k in pieces if k is not None]
+
+
+def as_bytes(word: str) -> bytes:
+    return b" " + word.encode()
+
+
+def _matrix(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order by length, lengths in that order, matrix of bytes)."""
+    length = np.array([len(b) for b in words], np.int64)
+    order = np.argsort(length, kind="stable")
+    wide = int(length.max())
+    flat = np.frombuffer(b"".join(words[i].ljust(wide, b"\0") for i in order.tolist()), np.uint8).reshape(len(words), wide)
+    return order, length[order], flat
+
+
+def _logs_of_one(word: bytes, vocabulary: Vocabulary, p: np.ndarray) -> np.ndarray:
+    """Log forward sums at every place of a word, by language: (bytes + 1) x languages."""
+    log_p = np.log(p)
+    out = np.full((len(word) + 1, p.shape[1]), -np.inf)
+    out[0] = 0
+    for i, found in vocabulary.in_one(word):
+        starts, pieces = zip(*found, strict=True)
+        each = out[list(starts)] + log_p[list(pieces)]
+        top = each.max(axis=0)
+        out[i] = top + np.log(np.exp(each - top).sum(axis=0))
+    return out
+
+
+def log_likelihood(words: list[bytes], vocabulary: Vocabulary, p: np.ndarray) -> np.ndarray:
+    """log p(word | language) for each word (rows) and language (columns); ``p``: pieces x languages, none of them 0."""
     out = np.zeros((len(words), p.shape[1]))
-    if not words:
+    long = [i for i, w in enumerate(words) if len(w) > SHORT]
+    for i in long:
+        out[i] = _logs_of_one(words[i], vocabulary, p)[-1]
+    short = [i for i, w in enumerate(words) if len(w) <= SHORT]
+    if not short:
         return out
-    flat, length, of = units(words)
-    order = np.argsort(length, kind="stable")
-    flat, length, of = flat[order], length[order], of[order]
-    with_none = np.vstack([p, np.zeros((1, p.shape[1]))])  # the place -1
+    order, length, flat = _matrix([words[i] for i in short])
+    scaled = vocabulary.scaled(p)
     alpha = np.zeros((flat.shape[1] + 1, len(flat), p.shape[1]))
     alpha[0] = 1
-    total = np.zeros((len(flat), p.shape[1]))
-    # Units are sorted by length: those shorter than i are done before position i.
+    # Words are sorted by length: those shorter than i are done before place i.
     done = np.searchsorted(length, np.arange(flat.shape[1] + 2))
-    for i in range(1, flat.shape[1] + 1):
-        live = slice(int(done[i]), None)
-        key = np.zeros(len(flat) - int(done[i]), np.uint64)
-        for size in range(1, min(LONGEST, i) + 1):
-            key |= flat[live, i - size].astype(np.uint64) << np.uint64(8 * (size - 1))
-            at = np.searchsorted(vocabulary, key)
-            at[at == len(vocabulary)] = 0
-            hit = np.flatnonzero(vocabulary[at] == key)
-            rows = hit + int(done[i])
-            alpha[i, rows] += alpha[i - size, rows] * with_none[at[hit]]
-        ends = slice(int(done[i]), int(done[i + 1]))
-        total[ends] = np.log(np.maximum(alpha[i, ends], 1e-300))
-    np.add.at(out, of, total)
+    for i, found in vocabulary.in_many(flat, done):
+        for size, rows, pieces in found:
+            alpha[i, rows] += alpha[i - size, rows] * scaled[pieces]
+    total = np.log(alpha[length, np.arange(len(flat))]) - length[:, None] * np.log(PER_BYTE)
+    out[np.array(short)[order]] = total
     return out
 
 
-def expected_pieces(words: list[str], counts: np.ndarray, vocabulary: np.ndarray, p: np.ndarray) -> np.ndarray:
+def expected_pieces(words: list[bytes], counts: np.ndarray, vocabulary: Vocabulary, p: np.ndarray) -> np.ndarray:
     """Expected number of each piece over all segmentations of the words, weighted by ``counts``.
 
-    ``p`` is one language's probabilities.
+    ``p`` is one language's probabilities, none of them 0.
     """
     out = np.zeros(len(vocabulary))
-    if not words:
+    for w, n in ((w, n) for w, n in zip(words, counts, strict=True) if len(w) > SHORT):
+        forward = _logs_of_one(w, vocabulary, p[:, None])[:, 0]
+        ends = list(vocabulary.in_one(w))
+        backward = np.full(len(w) + 1, -np.inf)
+        backward[-1] = 0
+        for i, found in reversed(ends):
+            for a, k in found:
+                through = np.log(p[k]) + backward[i]
+                out[k] += n * np.exp(forward[a] + through - forward[-1])
+                backward[a] = np.logaddexp(backward[a], through)
+    short = [i for i, w in enumerate(words) if len(w) <= SHORT]
+    if not short:
         return out
-    flat, length, of = units(words)
+    order, length, flat = _matrix([words[i] for i in short])
+    counts, scaled = np.asarray(counts)[np.array(short)[order]], vocabulary.scaled(p)
     wide, n = flat.shape[1], len(flat)
-    places = {i: found for i, found in _pieces_ending(flat, vocabulary)}
-    known = np.concatenate([p, [0.0]])
+    places = list(vocabulary.in_many(flat, np.searchsorted(length, np.arange(wide + 2))))
     forward, backward = np.zeros((wide + 1, n)), np.zeros((wide + 1, n))
     forward[0] = 1
-    for i in range(1, wide + 1):
-        for size, at in enumerate(places[i], 1):
-            forward[i] += forward[i - size] * known[at]
+    for i, found in places:
+        for size, rows, pieces in found:
+            forward[i, rows] += forward[i - size, rows] * scaled[pieces]
     backward[length, np.arange(n)] = 1
-    for i in range(wide, 0, -1):
-        for size, at in enumerate(places[i], 1):
-            backward[i - size] += np.where(i <= length, backward[i] * known[at], 0)
-    whole = np.maximum(backward[0], 1e-300)
-    for i in range(1, wide + 1):
-        for size, at in enumerate(places[i], 1):
-            share = np.where(i <= length, forward[i - size] * known[at] * backward[i] / whole * counts[of], 0)
-            np.add.at(out, at[at >= 0], share[at >= 0])
+    whole = forward[length, np.arange(n)]
+    for i, found in reversed(places):
+        for size, rows, pieces in found:
+            through = scaled[pieces] * backward[i, rows]
+            backward[i - size, rows] += through
+            np.add.at(out, pieces, forward[i - size, rows] * through / whole[rows] * counts[rows])
     return out
 
 
 @dataclass(frozen=True)
 class LanguageModel:
     languages: tuple[str, ...]
-    vocabulary: np.ndarray
+    vocabulary: Vocabulary
     pieces: np.ndarray  # vocabulary x languages
     log_prior: np.ndarray
 
@@ -146,10 +196,10 @@ def learn(rows: DataFrame, vocabulary_path: str, sample_rows: int = SAMPLE_ROWS,
     """Learns from columns doc_id, text and lang of ``rows`` (lang not null).
 
     Of each language about ``sample_rows`` rows are used, those whose hashed id is below a threshold;
-    a language of fewer rows is used whole.
+    a language of fewer rows is used whole. The model has the size vocabulary x languages.
     """
     spark = rows.sparkSession
-    vocabulary = packed_vocabulary(vocabulary_path)
+    vocabulary = Vocabulary(vocabulary_path)
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = tuple(sorted(counts))
     if not languages:
@@ -158,7 +208,7 @@ def learn(rows: DataFrame, vocabulary_path: str, sample_rows: int = SAMPLE_ROWS,
     for lang in languages:
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, sample_rows / counts[lang]))).otherwise(share)
     sample = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) < share * (1 << 20))
-    each = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}]+)"), F.lit(1))).alias("word"))
+    each = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(LETTERS), F.lit(0))).alias("word"))
     words = cut(each.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")), "language-words")
     of = {lang: i for i, lang in enumerate(languages)}
     p = np.full((len(vocabulary), len(languages)), 1.0 / len(vocabulary))
@@ -173,7 +223,7 @@ def learn(rows: DataFrame, vocabulary_path: str, sample_rows: int = SAMPLE_ROWS,
             for b in batches:
                 langs = np.array([of[x] for x in b.column(0).to_pylist()], np.int64)
                 n = b.column(2).to_numpy().astype(float)
-                text = b.column(1).to_pylist()
+                text = [as_bytes(w) for w in b.column(1).to_pylist()]
                 for k in range(p.shape[1]):
                     mine = np.flatnonzero(langs == k)
                     for at in range(0, len(mine), 4096):
@@ -195,45 +245,58 @@ class Scorer:
     """Texts to languages with a bounded memory of words."""
 
     def __init__(self, model: LanguageModel, remembered: int = REMEMBERED):
+        import regex
+
         self.model, self.remembered, self.place = model, remembered, {}
         self.known = np.zeros((0, len(model.languages)))
+        self.words = regex.compile(LETTERS).findall
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.place) > self.remembered:
-            self.place, self.known = {}, self.known[:0]
-        rows = [log_likelihood(words[i : i + 8192], self.model.vocabulary, self.model.pieces) for i in range(0, len(words), 8192)]
+        rows = [log_likelihood([as_bytes(w) for w in words[i : i + 8192]], self.model.vocabulary, self.model.pieces) for i in range(0, len(words), 8192)]
         self.place.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
         self.known = np.vstack([self.known, *rows])
 
-    def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        model = self.model
-        if not model.languages:
-            return ["und"] * len(texts), [0.0] * len(texts)
-        words = [_WORD.findall(t.lower()) if t else [] for t in texts]
-        # Words are learned in groups of texts, so one memory holds all that a group needs.
-        names, scores, at = [], [], 0
-        while at < len(texts):
-            end, new, seen = at, [], set()
-            while end < len(texts) and len(new) < self.remembered // 4:
-                fresh = set(words[end]).difference(self.place, seen)
-                seen |= fresh
-                new.extend(sorted(fresh))
-                end += 1
+    def total(self, words: list[str]) -> np.ndarray:
+        """The sum of the words' log-likelihoods; taken in stretches, so that what is new at once is bounded."""
+        out = self.model.log_prior.copy()
+        for lo in range(0, len(words), self.remembered // 4):
+            some = words[lo : lo + self.remembered // 4]
+            long = [as_bytes(w) for w in some if len(w) > SHORT // 4 and len(as_bytes(w)) > SHORT]
+            if long:
+                out += log_likelihood(long, self.model.vocabulary, self.model.pieces).sum(axis=0)
+                some = [w for w in some if len(as_bytes(w)) <= SHORT]
+            new = sorted(set(some).difference(self.place))
             if len(self.place) + len(new) > self.remembered:
                 self.place, self.known = {}, self.known[:0]
-                new = sorted(set().union(*words[at:end]))
+                new = sorted(set(some))
             if new:
                 self._learn(new)
-            for w in words[at:end]:
-                if not w:
-                    names.append("und")
-                    scores.append(0.0)
-                    continue
-                total = self.known[[self.place[x] for x in w]].sum(axis=0) + model.log_prior
-                best = int(total.argmax())
-                names.append(model.languages[best])
-                scores.append(float(1.0 / np.exp(np.maximum(total - total[best], -700)).sum()))
-            at = end
+            if some:
+                out += self.known[[self.place[w] for w in some]].sum(axis=0)
+        return out
+
+    def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        model = self.model
+        words = [self.words(t.lower()) if t else [] for t in texts]
+        # New words of a group of texts are learned together.
+        new: set[str] = set()
+        for w in words if model.languages else []:
+            new.update(x for x in w if len(x) <= SHORT // 4)
+            if len(new) > self.remembered // 4:
+                break
+        new.difference_update(self.place)
+        if new and len(self.place) + len(new) <= self.remembered:
+            self._learn(sorted(new))
+        names, scores = [], []
+        for w in words:
+            if not w or not model.languages:
+                names.append("und")
+                scores.append(0.0)
+                continue
+            total = self.total(w)
+            best = int(total.argmax())
+            names.append(model.languages[best])
+            scores.append(float(1.0 / np.exp(np.maximum(total - total[best], -700)).sum()))
         return names, scores
 
 
@@ -259,7 +322,9 @@ def identify_documents(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """doc_id, held_out, lang_pred and score, learned from the rows of ``docs`` that are not held out.
 
     Rows without lang or text teach nothing; if none is left, every prediction is ``und`` with score
-    0. Equal likelihoods go to the language first in the alphabet. Repeated rows each get their row.
+    0. Equal likelihoods go to the language first in the alphabet. Repeated rows each get their row, texts
+    of any length are read whole, an empty table gives none, columns besides doc_id, text and lang are
+    not read.
     """
     train = docs.select("doc_id", "text", "lang").filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     return identify(docs, learn(train, vocabulary_path)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
