@@ -11,6 +11,8 @@ hashes are only computed where a lane holds too few.
 Everything happens in arrays of longs within a row: one sort brings equal k-mers together (their
 occurrence numbers are distances to the start of their run, found by binary lifting), a second one
 brings lanes together. Nothing is exploded, so no text is spread over rows or sorted by Spark.
+A sorted long holds a hash above an index; the index has as many bits as the text's number of k-mers
+needs, the hash has the rest of 63, and what is hashed further is looked up by the index, whole.
 """
 
 from __future__ import annotations
@@ -24,47 +26,44 @@ from cueflow.llm.runtime import cut
 K = 5
 #: Components of a fingerprint, and k-mers of each.
 TUPLES, PER_TUPLE = 64, 2
-#: Bits of a place; later places are equal. The rest of a long, without its sign, is hash.
-PLACE_BITS = 23
 _LANE_BITS = (TUPLES - 1).bit_length()
-
-
-_PLACE = (1 << PLACE_BITS) - 1
-#: The bits of a packed long above its place; the sign is left out.
-_HASH = ((1 << 63) - 1) & ~_PLACE
-
-
-def _top(x: Column) -> Column:
-    """A packed long without its place."""
-    return x.bitwiseAND(F.lit(_HASH))
-
-
-def _earlier_equals(s: Column, x: Column, i: Column) -> Column:
-    """How many elements just before place i of the sorted array have the hash of x, by binary lifting."""
-    powers = F.array(*[F.lit(1 << p) for p in reversed(range(PLACE_BITS))])
-    return F.aggregate(powers, F.lit(0), lambda at, p: F.when(_top(F.get(s, i - at - p)) == _top(x), at + p).otherwise(at))
+_POSITIVE = (1 << 63) - 1
 
 
 def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     """``df`` with column ``name``: TUPLES longs, or none for a text without words.
 
     Words are runs of characters other than white space (U+0009 to U+000D and the space); a text of
-    fewer than K words has one k-mer of them all. A null text has no words. Places are counted modulo
-    2 ** PLACE_BITS.
+    fewer than K words has one k-mer of them all. A null text has no words. K-mers of one text are taken
+    for equal if the first 63 - b bits of their hashes are, where b bits number the text's k-mers.
     """
-    hashes, runs, lanes, dense = (f"__{name}_{x}" for x in ("h", "s", "v", "d"))
+    hashes, whole, mask, runs, numbers, lanes, dense = (f"__{name}_{x}" for x in ("h", "k", "m", "s", "n", "v", "d"))
     words = F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), r"[\t-\r ]+"), "")
     # Each step is a column of its own, so that Spark computes it once however often it is used.
     df = df.withColumn(hashes, F.transform(words, lambda w: F.xxhash64(w)))
     h = F.col(hashes)
     starts = F.slice(h, 1, F.when(F.size(h) >= K, F.size(h) - (K - 1)).otherwise(F.lit(1)))
-    pack = lambda value, place: value.bitwiseAND(F.lit(_HASH)).bitwiseOR(place)
-    kmers = F.transform(starts, lambda x, i: pack(F.xxhash64(F.slice(h, i + 1, K)), i.bitwiseAND(F.lit(_PLACE))))
-    df = df.withColumn(runs, F.sort_array(kmers))
+    df = df.withColumn(whole, F.transform(starts, lambda x, i: F.xxhash64(F.slice(h, i + 1, K))))
+    kmers = F.col(whole)
+    df = df.withColumn(mask, F.expr(f"shiftleft(1L, length(bin(size(`{whole}`)))) - 1"))
+    m = F.col(mask)
+    above = F.bitwise_not(m).bitwiseAND(F.lit(_POSITIVE))
+    pack = lambda value, i: value.bitwiseAND(above).bitwiseOR(i.cast("bigint"))
+    top = lambda x: x.bitwiseAND(above)
+    index = lambda x: x.bitwiseAND(m).cast("int")
+    df = df.withColumn(runs, F.sort_array(F.transform(kmers, pack)))
     s = F.col(runs)
-    occurrence = lambda x, i: F.when(_top(F.get(s, i - 1)) == _top(x), _earlier_equals(s, x, i)).otherwise(F.lit(0))
-    numbered = F.transform(s, lambda x, i: pack(F.xxhash64(_top(x), occurrence(x, i)), x.bitwiseAND(F.lit(_PLACE))))
-    df = df.withColumn(lanes, F.sort_array(numbered))
+
+    def earlier_equals(x, i):
+        """How many elements just before place i of the sorted array have the hash of x, by binary lifting."""
+        powers = F.sequence(F.length(F.bin(m)), F.lit(0), F.lit(-1))
+        step = lambda at, p: F.call_function("shiftleft", F.lit(1), p) + at
+        return F.aggregate(powers, F.lit(0), lambda at, p: F.when(top(F.get(s, i - step(at, p))) == top(x), step(at, p)).otherwise(at))
+
+    occurrence = lambda x, i: F.when(top(F.get(s, i - 1)) == top(x), earlier_equals(x, i)).otherwise(F.lit(0))
+    df = df.withColumn(numbers, F.transform(s, lambda x, i: F.xxhash64(F.get(kmers, index(x)), occurrence(x, i))))
+    numbered = F.col(numbers)
+    df = df.withColumn(lanes, F.sort_array(F.transform(numbered, pack)))
     v = F.col(lanes)
     lane = lambda x: F.shiftright(x, 63 - _LANE_BITS).cast("int")
     # For each lane, the index of the first k-mer in it or behind it.
@@ -72,21 +71,22 @@ def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     filled = F.flatten(F.transform(v, lambda x, i: F.array_repeat(i, lane(x) - before(i))))
     df = df.withColumn(dense, F.concat(filled, F.array_repeat(F.size(v), F.lit(TUPLES - 1) - lane(F.get(v, F.size(v) - 1)))))
     d = F.col(dense)
-    by_place = lambda x: F.shiftleft(x.bitwiseAND(F.lit(_PLACE)), 63 - PLACE_BITS).bitwiseOR(F.shiftright(x, PLACE_BITS))
+    # A place in the text above an index into the numbered k-mers.
+    by_place = lambda x: F.shiftleft(F.get(s, index(x)).bitwiseAND(m), 32).bitwiseOR(x.bitwiseAND(m))
 
     def component(t):
         at = F.get(d, t)
-        seeded = lambda x, i: F.when(lane(x) == t, i.cast("bigint")).otherwise(pack(F.xxhash64(_top(x), t), i.cast("bigint")))
+        seeded = lambda x, i: F.when(lane(x) == t, i.cast("bigint")).otherwise(pack(F.xxhash64(F.get(numbered, index(x)), t), i))
         least = F.slice(F.sort_array(F.transform(v, seeded)), 1, PER_TUPLE)
-        anywhere = F.transform(least, lambda p: F.get(v, p.bitwiseAND(F.lit(_PLACE)).cast("int")))
+        anywhere = F.transform(least, lambda p: F.get(v, index(p)))
         enough = F.coalesce(lane(F.get(v, at + (PER_TUPLE - 1))) == t, F.lit(False))
         chosen = F.when(enough, F.slice(v, at + 1, PER_TUPLE)).otherwise(anywhere)
         ordered = F.sort_array(F.transform(chosen, by_place))
-        return F.xxhash64(F.transform(ordered, lambda y: y.bitwiseAND(F.lit((1 << (63 - PLACE_BITS)) - 1)))).bitwiseAND(F.lit(0x7FFFFFFF))
+        return F.xxhash64(F.transform(ordered, lambda y: F.get(numbered, y.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")))).bitwiseAND(F.lit(0x7FFFFFFF))
 
-    numbers = F.array(*[F.lit(t) for t in range(TUPLES)])
-    df = df.withColumn(name, F.when(F.size(v) > 0, F.transform(numbers, component)).otherwise(F.expr("cast(array() as array<bigint>)")))
-    return df.drop(hashes, runs, lanes, dense)
+    tuples = F.array(*[F.lit(t) for t in range(TUPLES)])
+    df = df.withColumn(name, F.when(F.size(v) > 0, F.transform(tuples, component)).otherwise(F.expr("cast(array() as array<bigint>)")))
+    return df.drop(hashes, whole, mask, runs, numbers, lanes, dense)
 
 
 def likeness(a: str, b: str) -> Column:
@@ -125,12 +125,14 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     The edited text has its last floor(n_chars / 2) code points replaced by as many (or all) from the
     start of the next document by descending doc_id. Of rows that share a doc_id the one whose text
     has the smallest hash stands for the next document; rows without doc_id stand outside the order
-    and have an empty next document. Null texts are empty, repeated rows come out repeated.
+    and have an empty next document. Null texts are empty, texts of any length are read whole, repeated
+    rows come out repeated, an empty table gives none. Columns besides doc_id and text are not read.
     """
     plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     # Both uses below read this one exchange, so each text's own fingerprint is made once. Its columns
     # are never null and all used by both, or the two would be filtered and pruned differently.
-    known = plain.select(F.coalesce("doc_id", F.lit(0)).cast("bigint").alias("key"), F.col("doc_id").isNull().alias("outside"), "text")
+    # Rows without doc_id are dealt by their text, so that they don't meet in one task.
+    known = plain.select(F.coalesce(F.col("doc_id").cast("bigint"), F.xxhash64("text")).alias("key"), F.col("doc_id").isNull().alias("outside"), "text")
     texts = with_fingerprint(known, "text", "own").select("key", "outside", "text", F.transform("own", lambda x: x.cast("int")).alias("own")).repartition("key")
     # The hash is compared after the join, whose only key is the one that the texts are dealt by.
     chosen = F.when(F.col("outside"), F.lit(False)).otherwise(F.xxhash64("text").bitwiseXOR(F.col("chosen")) == 0)
