@@ -13,7 +13,7 @@ from cueflow.functions.text import is_blank
 from cueflow.operators import paths
 from cueflow.operators.loss import WARNING, loss_of
 from cueflow.operators.model import shift_array
-from cueflow.plans.parse import CUE, ERROR, by_format, parse
+from cueflow.plans.parse import CUE, ERROR, PARSERS, by_format, parse
 from cueflow.plans.write import write
 from cueflow.sources.encoding import encode
 from cueflow.sources.files import documents
@@ -106,16 +106,17 @@ def convert_documents(docs: DataFrame, options: Options) -> DataFrame:
     """
     outputs = ("content", "warnings", "cue_count", "source_format")
     keep = [c for c in docs.columns if c not in ("text", "error", "format", *outputs)]
-    state = F.when(F.col("error").isNull() & F.col("format").isNotNull(), F.col("format")).otherwise("")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("error").cast(ERROR).alias("before"), F.col("format").alias("source_format"), F.coalesce("text", F.lit("")).alias("text"), state.alias("state"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("error").cast(ERROR).alias("before"), F.col("format").alias("source_format"), F.coalesce("text", F.lit("")).alias("text"))
     columns = [*[F.col(f"row.`{c}`") for c in keep], "source_format", "content", "warnings", "cue_count", "error"]
 
     def branch(fmt: str, mine: DataFrame) -> DataFrame:
         return converted_documents(parse(mine, fmt), F.lit(fmt), options.target, options.offset_ms).select(*columns)
 
     unknown = _error("unsupportedFormat", "No registered format fits this file.")
-    failed = rows.filter("state = ''").withColumns({"content": F.lit(None).cast("string"), "warnings": F.expr(f"cast(array() as array<{WARNING}>)"), "cue_count": F.lit(0), "error": F.coalesce("before", unknown)})
-    return by_format(rows, "state", branch).unionByName(failed.select(*columns))
+    known = F.col("before").isNull() & F.coalesce(F.col("source_format").isin(*PARSERS), F.lit(False))
+    failed = rows.filter(~known).withColumns({"content": F.lit(None).cast("string"), "warnings": F.expr(f"cast(array() as array<{WARNING}>)"), "cue_count": F.lit(0), "error": F.coalesce("before", unknown)})
+    # The format's filter reaches the scan, so a branch reads its own files' texts.
+    return by_format(rows.filter(F.col("before").isNull()), "source_format", branch).unionByName(failed.select(*columns))
 
 
 def convert(files: DataFrame, options: Options, existing: DataFrame, folders: DataFrame | None = None) -> DataFrame:

@@ -13,6 +13,7 @@ from cueflow.plans.formats import register_format, unregister_format
 from cueflow.plans.parse import parse_sbv
 from cueflow.plans.write import write_sbv
 from cueflow.sources import files
+from cueflow.streaming import ingest
 
 SRT = "1\n00:00:01,000 --> 00:00:02,000\nHello\n"
 
@@ -53,6 +54,18 @@ def test_batch_with_a_missing_file(spark, folder, tmp_path):
     assert [r.pos for r in without(given, spark.createDataFrame([(1,)], "pos bigint")).collect()] == [0]
 
 
+def test_files_as_they_arrive(spark, folder, tmp_path_factory):
+    out, checkpoint = (str(tmp_path_factory.mktemp("stream") / x) for x in ("out", "checkpoint"))
+    run = lambda: ingest.convert_folder(spark, str(folder), out, checkpoint, Options(target="vtt")).awaitTermination(300)
+    run()
+    rows = spark.read.parquet(out).collect()
+    assert len(rows) == 4 and all(r.content.startswith("WEBVTT") and r.source_format == "srt" for r in rows)
+    (folder / "late.lrc").write_text("[00:01.00]one\n[00:02.00]two\n")
+    run()
+    late = [r for r in spark.read.parquet(out).collect() if r.source_format == "lrc"]
+    assert len(late) == 1 and late[0].cue_count == 2
+
+
 def test_format_of_ones_own(spark):
     mine = Format("qsv", "QSV", ("quick",))
     register_format(mine, parse_sbv, write_sbv, [Signature("qsv", "qsv.mark", 500, "contains", "quick-mark")])
