@@ -55,13 +55,20 @@ class Vocabulary:
             for k in range(n):
                 keys = keys * _FACTOR + flat[:, k]
             order = np.argsort(keys)
-            self.tables[n] = keys[order], np.array([self.place[p] for p in some])[order]
+            # A first test by a bitmap spares most keys the search.
+            maybe = np.zeros(1 << 16, bool)
+            maybe[self._slot(keys)] = True
+            self.tables[n] = keys[order], np.array([self.place[p] for p in some])[order], maybe
         self.lengths = np.zeros(len(self.place), np.int64)
         for piece, i in self.place.items():
             self.lengths[i] = len(piece)
         self.longest = max(self.tables)
         self.factors = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(self.longest, _FACTOR)]), dtype=np.uint64)
 
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(48)
+
     def __len__(self) -> int:
         return len(self.place)
 
@@ -77,12 +84,13 @@ class Vocabulary:
                 key = key + flat[lo:, i - size].astype(np.uint64) * self.factors[size - 1]
                 if size not in self.tables:
                     continue
-                keys, pieces = self.tables[size]
-                at = np.searchsorted(keys, key)
+                keys, pieces, maybe = self.tables[size]
+                some = np.flatnonzero(maybe[self._slot(key)])
+                at = np.searchsorted(keys, key[some])
                 at[at == len(keys)] = 0
-                hit = np.flatnonzero(keys[at] == key)
-                if len(hit):
-                    found.append((size, hit + lo, pieces[at[hit]]))
+                right = keys[at] == key[some]
+                if right.any():
+                    found.append((size, some[right] + lo, pieces[at[right]]))
             yield i, found
 
     def in_one(self, word: bytes):
@@ -119,8 +127,11 @@ def _logs_of_one(word: bytes, vocabulary: Vocabulary, p: np.ndarray) -> np.ndarr
     return out
 
 
-def log_likelihood(words: list[bytes], vocabulary: Vocabulary, p: np.ndarray) -> np.ndarray:
-    """log p(word | language) for each word (rows) and language (columns); ``p``: pieces x languages, none of them 0."""
+def log_likelihood(words: list[bytes], vocabulary: Vocabulary, p: np.ndarray, scaled: np.ndarray | None = None) -> np.ndarray:
+    """log p(word | language) for each word (rows) and language (columns); ``p``: pieces x languages, none of them 0.
+
+    ``scaled`` is ``vocabulary.scaled(p)``, if it is there already.
+    """
     out = np.zeros((len(words), p.shape[1]))
     long = [i for i, w in enumerate(words) if len(w) > SHORT]
     for i in long:
@@ -129,7 +140,7 @@ def log_likelihood(words: list[bytes], vocabulary: Vocabulary, p: np.ndarray) ->
     if not short:
         return out
     order, length, flat = _matrix([words[i] for i in short])
-    scaled = vocabulary.scaled(p)
+    scaled = vocabulary.scaled(p) if scaled is None else scaled
     alpha = np.zeros((flat.shape[1] + 1, len(flat), p.shape[1]))
     alpha[0] = 1
     # Words are sorted by length: those shorter than i are done before place i.
@@ -249,22 +260,30 @@ class Scorer:
 
         self.model, self.remembered, self.place = model, remembered, {}
         self.known = np.zeros((0, len(model.languages)))
+        self.scaled = model.vocabulary.scaled(model.pieces)
         self.words = regex.compile(LETTERS).findall
 
     def _learn(self, words: list[str]) -> None:
-        rows = [log_likelihood([as_bytes(w) for w in words[i : i + 8192]], self.model.vocabulary, self.model.pieces) for i in range(0, len(words), 8192)]
+        rows = [log_likelihood([as_bytes(w) for w in words[i : i + 8192]], self.model.vocabulary, self.model.pieces, self.scaled) for i in range(0, len(words), 8192)]
         self.place.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
         self.known = np.vstack([self.known, *rows])
 
+    @staticmethod
+    def _short(word: str) -> bool:
+        return len(word) < SHORT // 4 or len(as_bytes(word)) <= SHORT
+
     def total(self, words: list[str]) -> np.ndarray:
         """The sum of the words' log-likelihoods; taken in stretches, so that what is new at once is bounded."""
         out = self.model.log_prior.copy()
+        at = list(map(self.place.get, words))
+        if None not in at:
+            return out + self.known[at].sum(axis=0)
         for lo in range(0, len(words), self.remembered // 4):
             some = words[lo : lo + self.remembered // 4]
-            long = [as_bytes(w) for w in some if len(w) > SHORT // 4 and len(as_bytes(w)) > SHORT]
+            long = [as_bytes(w) for w in some if not self._short(w)]
             if long:
-                out += log_likelihood(long, self.model.vocabulary, self.model.pieces).sum(axis=0)
-                some = [w for w in some if len(as_bytes(w)) <= SHORT]
+                out += log_likelihood(long, self.model.vocabulary, self.model.pieces, self.scaled).sum(axis=0)
+                some = [w for w in some if self._short(w)]
             new = sorted(set(some).difference(self.place))
             if len(self.place) + len(new) > self.remembered:
                 self.place, self.known = {}, self.known[:0]
@@ -281,10 +300,10 @@ class Scorer:
         # New words of a group of texts are learned together.
         new: set[str] = set()
         for w in words if model.languages else []:
-            new.update(x for x in w if len(x) <= SHORT // 4)
+            new.update(w)
             if len(new) > self.remembered // 4:
                 break
-        new.difference_update(self.place)
+        new = {w for w in new if w not in self.place and self._short(w)}
         if new and len(self.place) + len(new) <= self.remembered:
             self._learn(sorted(new))
         names, scores = [], []
