@@ -57,8 +57,8 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     encoded = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
-    rows = encoded.select(F.struct("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids").alias("row"), "ids")
-    return bpe.decode(rows, ranks, "row").select("row.*", F.col("decoded").cast("string").alias("text"))
+    rows = encoded.select(F.struct("doc_id", F.size("ids").cast("bigint").alias("n_tokens")).alias("row"), "ids")
+    return bpe.decode(rows, ranks, "row", keep_ids=True).select("row.*", "ids", F.col("decoded").cast("string").alias("text"))
 
 
 STAGES = [

@@ -25,6 +25,8 @@ from cueflow.llm.runtime import cut_by, in_batches, row_and
 BLOCK_CHARS = 16_000_000
 #: Bytes of decoded text in a batch, unless one text has more.
 DECODED_BYTES = 8_000_000
+#: Rows whose ids are looked up at once.
+DECODED_ROWS = 32
 #: A text of more characters than this is still one row, but starts a block of its own.
 
 #: One match of any text: what a word is to an encoder of single words.
@@ -48,10 +50,10 @@ def _blocks(batches, pattern: str, classes: int):
     ids, lengths, codes, place, chars = [], [], [], {}, 0
 
     def block():
-        flat = np.concatenate([*codes, np.zeros(0, np.int64)])
+        flat = np.concatenate([*codes, np.zeros(0, np.int32)])
         order = np.argsort(-np.bincount(flat, minlength=len(place)), kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
         first = list(place)
         words = [first[i].encode() for i in order.tolist()]
         return ids, lengths, words, np.fromiter((xxh32_intdigest(w) % classes for w in words), np.int64, len(words)), rank[flat]
@@ -62,7 +64,7 @@ def _blocks(batches, pattern: str, classes: int):
                 yield block()
                 ids, lengths, codes, place, chars = [], [], [], {}, 0
             words = find(text) if text else []
-            codes.append(np.fromiter((place.setdefault(w, len(place)) for w in words), np.int64, len(words)))
+            codes.append(np.fromiter((place.setdefault(w, len(place)) for w in words), np.int32, len(words)))
             ids.append(key)
             lengths.append(len(words))
             chars += len(text or "")
@@ -99,7 +101,7 @@ def _stretch(blob: bytes) -> np.ndarray:
     import zstandard
 
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel()
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", classes: int | None = None) -> DataFrame:
@@ -161,8 +163,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
         out = [pa.array([], pa.int64())], [pa.array([], pa.list_(pa.int32()))]
         if left.num_rows:
             right = right.sort_by("class")
-            size = np.concatenate([*map(_stretch, right["sizes"].to_pylist()), np.zeros(0, np.int64)])
-            flat = np.concatenate([*map(_stretch, right["ids"].to_pylist()), np.zeros(0, np.int64)]).astype(np.int32)
+            size = np.concatenate([*map(_stretch, right["sizes"].to_pylist()), np.zeros(0, np.int32)]).astype(np.int64)
+            flat = np.concatenate([*map(_stretch, right["ids"].to_pylist()), np.zeros(0, np.int32)])
             start = np.cumsum(size) - size
             # Lists are ordered by class, positions by frequency.
             order = np.argsort(_stretch(left["classes"][0].as_py()), kind="stable")
@@ -173,7 +175,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
             at = _stretch(left["at"][0].as_py())
             lengths, keys = np.array(left["lengths"][0].as_py(), np.int64), left["keys"][0].as_py()
             ends = np.cumsum(lengths)
-            step = max(1, len(lengths) // max(1, len(at) // 1_000_000 + 1))
+            step = max(1, len(lengths) // max(1, len(at) // 200_000 + 1))
             for lo in range(0, len(lengths), step):
                 hi = min(len(lengths), lo + step)
                 some = at[ends[lo] - lengths[lo] : ends[hi - 1]]
@@ -196,8 +198,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
     return texts.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(join, f"`{key}` bigint, ids array<int>")
 
 
-def decode(encoded: DataFrame, ranks_path: str, key: str = "doc_id") -> DataFrame:
-    """The key column and ``decoded`` (binary) of every row of ``encoded``.
+def decode(encoded: DataFrame, ranks_path: str, key: str = "doc_id", keep_ids: bool = False) -> DataFrame:
+    """The key column and ``decoded`` (binary) of every row of ``encoded``, and ``ids`` if they are to be kept.
 
     Ids go through the token-byte table, which each task has whole (its size is the vocabulary's). Null and
     empty ids decode to no bytes, repeated rows and null keys pass, an empty table gives none; an id
@@ -214,7 +216,7 @@ def decode(encoded: DataFrame, ranks_path: str, key: str = "doc_id") -> DataFram
         length = np.array([len(t) for t in table], np.int64)
         flat = np.frombuffer(b"".join(table), np.uint8)
         start = np.cumsum(length) - length
-        for b in batches:
+        for b in (b.slice(i, DECODED_ROWS) for b in batches for i in range(0, b.num_rows, DECODED_ROWS)):
             ids = b.column(1)
             of = np.concatenate([[0], np.cumsum(np.array(pc.fill_null(ids.value_lengths(), 0), np.int64))])
             tokens = ids.flatten().to_numpy(zero_copy_only=False)
@@ -227,10 +229,11 @@ def decode(encoded: DataFrame, ranks_path: str, key: str = "doc_id") -> DataFram
                 n = length[some]
                 pick = np.arange(int(n.sum())) + np.repeat(start[some] - (np.cumsum(n) - n), n)
                 data = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((ends[lo : hi + 1] - ends[lo]).astype(np.int32).tobytes()), pa.py_buffer(flat[pick].tobytes())])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), data], [key, "decoded"])
+                kept = [ids.slice(lo, hi - lo)] if keep_ids else []
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *kept, data], [key, *["ids"] * keep_ids, "decoded"])
                 lo = hi
 
-    return in_batches(encoded.select(key, "ids"), run, row_and(encoded, key, "decoded binary"))
+    return in_batches(encoded.select(key, "ids"), run, row_and(encoded, key, "ids array<int>, decoded binary" if keep_ids else "decoded binary"))
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:

@@ -37,7 +37,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Rows and bytes of an Arrow batch. Texts may be long, and the JVM and Python hold a batch at once.
-BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
 
 
 def in_batches(df: DataFrame, run, schema: str | StructType) -> DataFrame:

@@ -12,7 +12,7 @@ Two texts of similarity s share a key with probability 1 - (1 - s ** ROWS) ** BA
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cueflow.llm.runtime import cut, in_batches, mix, space_table, span_hashes, text_bytes, word_spans
@@ -147,7 +147,9 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """
     prints, rooted = _rooted(docs, least)
     first = prints.groupBy("node").agg(F.min("doc_id").alias("first"))
-    named = rooted.join(first, "node").select("node", F.min("first").over(Window.partitionBy("root")).alias("component_id"))
+    known = rooted.join(first, "node")
+    best = known.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = known.join(best, "root").select("node", "component_id")
     return prints.join(named, "node").select("doc_id", "component_id")
 
 
