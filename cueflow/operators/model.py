@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cueflow.functions.text import has_visible_text
+from cueflow.operators.ordered import SLICE, following, running, sliced
 
 
 def shift(cues: DataFrame, offset_ms: int) -> DataFrame:
@@ -39,6 +40,21 @@ def resolve_missing_ends(cues: DataFrame, *keys: str, fallback_ms: int = 5000) -
     return cues.withColumn("end_ms", F.coalesce("end_ms", F.when(after > F.col("start_ms"), after), F.col("start_ms") + fallback_ms))
 
 
+def sort_and_fill(cues: DataFrame, key: str, fallback_ms: int = 5000) -> DataFrame:
+    """``sort_by_start`` and ``resolve_missing_ends`` in one, for documents of any length.
+
+    A document's cues are spread over tasks by ranges of their starts, and a range takes the next start and
+    the number of its first cue from its neighbours. Cues whose ``key`` is null are one document.
+    """
+    none, order = F.col(key).isNull(), ["start_ms", "cue_seq"]
+    rows = sliced(cues.withColumns({"__none": none, "__doc": F.coalesce(F.col(key).cast("string"), F.lit(""))}), ["__none", "__doc"], order, "cues")
+    rows = running(rows, ["__none", "__doc"], order, {"__n": F.lit(1)})
+    rows = following(rows, ["__none", "__doc"], order, "start_ms", "__after")
+    later = F.when(F.col("__after") > F.col("start_ms"), F.col("__after"))
+    out = rows.withColumns({"end_ms": F.coalesce("end_ms", later, F.col("start_ms") + fallback_ms), "cue_seq": F.col("__n").cast("int")})
+    return out.drop("__none", "__doc", "__n", "__after", SLICE)
+
+
 def visible(cues: DataFrame) -> DataFrame:
     return cues.filter(has_visible_text(F.col("text")))
 
