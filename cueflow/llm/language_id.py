@@ -28,6 +28,8 @@ from cueflow.llm.runtime import cut, held_out, in_batches
 SHORT = 64
 #: Probabilities are scaled by this for each byte, so that those of short words stay within floating point.
 PER_BYTE = 1e4
+#: Sums below this are taken by logarithms instead: some of their parts may have left floating point.
+LEAST_SUM = 1e-200
 #: Rows per language that probabilities are learned from, in expectation.
 SAMPLE_ROWS = 3000
 #: Words a task remembers.
@@ -148,8 +150,13 @@ def log_likelihood(words: list[bytes], vocabulary: Vocabulary, p: np.ndarray, sc
     for i, found in vocabulary.in_many(flat, done):
         for size, rows, pieces in found:
             alpha[i, rows] += alpha[i - size, rows] * scaled[pieces]
-    total = np.log(alpha[length, np.arange(len(flat))]) - length[:, None] * np.log(PER_BYTE)
-    out[np.array(short)[order]] = total
+    sums, at = alpha[length, np.arange(len(flat))], np.array(short)[order]
+    low = np.flatnonzero((sums < LEAST_SUM).any(axis=1))
+    sums[low] = 1
+    out[at] = np.log(sums) - length[:, None] * np.log(PER_BYTE)
+    # Where the scale doesn't hold the sums of some language, logarithms do.
+    for i in at[low].tolist():
+        out[i] = _logs_of_one(words[i], vocabulary, p)[-1]
     return out
 
 
@@ -159,7 +166,8 @@ def expected_pieces(words: list[bytes], counts: np.ndarray, vocabulary: Vocabula
     ``p`` is one language's probabilities, none of them 0.
     """
     out = np.zeros(len(vocabulary))
-    for w, n in ((w, n) for w, n in zip(words, counts, strict=True) if len(w) > SHORT):
+
+    def by_logs(w: bytes, n: float) -> None:
         forward = _logs_of_one(w, vocabulary, p[:, None])[:, 0]
         ends = list(vocabulary.in_one(w))
         backward = np.full(len(w) + 1, -np.inf)
@@ -169,6 +177,10 @@ def expected_pieces(words: list[bytes], counts: np.ndarray, vocabulary: Vocabula
                 through = np.log(p[k]) + backward[i]
                 out[k] += n * np.exp(forward[a] + through - forward[-1])
                 backward[a] = np.logaddexp(backward[a], through)
+
+    for w, n in zip(words, counts, strict=True):
+        if len(w) > SHORT:
+            by_logs(w, n)
     short = [i for i, w in enumerate(words) if len(w) <= SHORT]
     if not short:
         return out
@@ -183,6 +195,11 @@ def expected_pieces(words: list[bytes], counts: np.ndarray, vocabulary: Vocabula
             forward[i, rows] += forward[i - size, rows] * scaled[pieces]
     backward[length, np.arange(n)] = 1
     whole = forward[length, np.arange(n)]
+    low = np.flatnonzero(whole < LEAST_SUM)
+    for i in low.tolist():
+        by_logs(words[short[order[i]]], counts[i])
+    counts = np.where(whole < LEAST_SUM, 0.0, counts)
+    whole[low] = 1
     for i, found in reversed(places):
         for size, rows, pieces in found:
             through = scaled[pieces] * backward[i, rows]

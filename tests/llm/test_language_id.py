@@ -56,6 +56,20 @@ def test_long_words_as_short_ones(vocabulary, monkeypatch):
     assert math.isfinite(li.log_likelihood([b" " + b"abcde" * 4000], vocabulary, p)[0, 0])
 
 
+def test_probabilities_beyond_the_scale(vocabulary):
+    """A script that no language was learned from, under a model of very small probabilities."""
+    p = np.full((len(vocabulary), 2), 0.05 / 1e8)
+    p[vocabulary.place[b"a"]] = 0.9
+    word = li.as_bytes("\u1200" * 21)
+    assert len(word) == li.SHORT
+    got = li.log_likelihood([word, b" a"], vocabulary, p)
+    assert np.isfinite(got).all() and np.allclose(got[0], li._logs_of_one(word, vocabulary, p)[-1])
+    pieces = li.expected_pieces([word], np.ones(1), vocabulary, p[:, 0])
+    assert np.isfinite(pieces).all() and pieces.sum() > 0
+    model = li.LanguageModel(("a", "b"), vocabulary, p, np.zeros(2))
+    assert li.Scorer(model)(["\u1200" * 21]) == (["a"], [0.5])
+
+
 def test_held_out(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = li.identify_documents(docs, PATH).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out AND lang IS NOT NULL AND lang_pred != 'und'").collect()
