@@ -482,23 +482,28 @@ def auto_rename(spark, sf_dir):
     return out.select("pos", "path", "action", "output_path", "renamed")
 
 
-_POLICY = "SELECT p_partkey AS pos, '/in/f' || (p_partkey % 900) || CASE WHEN p_partkey % 4 = 0 THEN '.srt' ELSE '.sbv' END AS path FROM part"
-_EXISTING = "SELECT '/in/f' || (p_partkey % 900) || '.srt' AS path FROM part WHERE p_partkey % 5 = 0"
+# Five rows after another share a stem, so sources repeat, and a source is asked for by its own rows and by others.
+_POLICY = "SELECT p_partkey AS pos, '/in/f' || CAST(CAST(floor(p_partkey / 5) AS INTEGER) AS STRING) || CASE WHEN p_partkey % 4 = 0 THEN '.srt' ELSE '.sbv' END AS path FROM part"
+_EXISTING = "SELECT '/in/f' || CAST(p_partkey AS STRING) || CASE WHEN p_partkey % 3 = 0 THEN '.srt' ELSE ' (1).srt' END AS path FROM part WHERE p_partkey % 3 <> 1"
 
 
 @query(
-    f"""WITH f AS (SELECT DISTINCT min(pos) AS pos, path FROM ({_POLICY}) GROUP BY path), a AS (SELECT *, replace(path, '.sbv', '.srt') AS requested, path LIKE '%.srt' AS own FROM f),
-    w AS (SELECT a.*, e.path IS NOT NULL AS there, min(CASE WHEN NOT own THEN pos END) OVER (PARTITION BY requested) AS first FROM a LEFT JOIN (SELECT DISTINCT path FROM ({_EXISTING})) e ON e.path = requested)
-    SELECT pos, path, 'skip' AS policy, CASE WHEN NOT own AND NOT there AND pos = first THEN 'write' ELSE 'skip' END AS action, CASE WHEN NOT own AND NOT there AND pos = first THEN requested END AS output_path, FALSE AS renamed FROM w
-    UNION ALL SELECT pos, path, 'overwrite', 'write', CASE WHEN own THEN replace(path, '.srt', ' (1).srt') ELSE requested END, own FROM w"""
+    f"""WITH f AS (SELECT *, replace(path, '.sbv', '.srt') AS requested, path LIKE '%.srt' AS own FROM ({_POLICY.replace('STRING', 'VARCHAR')})), e AS ({_EXISTING.replace('STRING', 'VARCHAR')}),
+    a AS (SELECT f.*, e0.path IS NOT NULL AS there, CASE WHEN e1.path IS NULL THEN 0 ELSE 1 END AS shift, min(CASE WHEN NOT own THEN pos END) OVER (PARTITION BY requested) AS first
+          FROM f LEFT JOIN e e0 ON e0.path = requested LEFT JOIN e e1 ON e1.path = replace(requested, '.srt', ' (1).srt')),
+    w AS (SELECT *, NOT own AND NOT there AND pos = first AS plain FROM a),
+    n AS (SELECT *, row_number() OVER (PARTITION BY requested, plain ORDER BY pos) + shift AS k, row_number() OVER (PARTITION BY requested, own ORDER BY pos) + shift AS k_own FROM w)
+    SELECT pos, path, 'skip' AS policy, CASE WHEN plain THEN 'write' ELSE 'skip' END AS action, CASE WHEN plain THEN requested END AS output_path, FALSE AS renamed FROM n
+    UNION ALL SELECT pos, path, 'overwrite', 'write', CASE WHEN own THEN replace(path, '.srt', ' (' || k_own || ').srt') ELSE requested END, own FROM n
+    UNION ALL SELECT pos, path, 'autoRename', 'write', CASE WHEN plain THEN requested ELSE replace(requested, '.srt', ' (' || k || ').srt') END, NOT plain FROM n"""
 )
 def name_policies(spark, sf_dir):
-    """Skip and overwrite, with sources that are among the names asked for and names that exist."""
+    """All three policies, with repeated sources, sources that are among the names asked for, and names that exist."""
     read(spark, sf_dir, "part").createOrReplaceTempView("cueflow_part")
-    files = spark.sql(_POLICY.replace("FROM part", "FROM cueflow_part")).groupBy("path").agg(F.min("pos").alias("pos"))
+    files = spark.sql(_POLICY.replace("FROM part", "FROM cueflow_part"))
     there = spark.sql(_EXISTING.replace("FROM part", "FROM cueflow_part"))
-    each = [paths.assign(paths.requested(files, F.lit("srt")), there, p).select("pos", "path", F.lit(p).alias("policy"), "action", "output_path", "renamed") for p in ("skip", "overwrite")]
-    return each[0].unionByName(each[1])
+    each = [paths.assign(paths.requested(files, F.lit("srt")), there, p).select("pos", "path", F.lit(p).alias("policy"), "action", "output_path", "renamed") for p in ("skip", "overwrite", "autoRename")]
+    return each[0].unionByName(each[1]).unionByName(each[2])
 
 
 @query("SELECT min(page_id) AS pos, split_part(url, '/', -1) AS name FROM pages GROUP BY 2")

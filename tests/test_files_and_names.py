@@ -132,3 +132,16 @@ def test_names_one_after_another(spark, policy):
     df = spark.createDataFrame(rows, "pos bigint, path string, requested string")
     got = {r.pos: r.output_path for r in paths.assign(df, spark.createDataFrame([(p,) for p in existing], "path string"), policy).collect()}
     assert got == _plain(rows, existing, policy)
+
+
+def test_repeated_sources_and_spellings(spark):
+    """A source that is asked for twice is never replaced, however it is spelt."""
+    rows = [(0, "/in/a.srt", "/in/a.srt"), (1, "/in/a.srt", "/in/a.srt"), (2, "/in/x/../b.srt", "/in//b.srt"), (3, "c.srt", "/work/c.srt"), (4, "/in/./d.srt", "/in/d.srt"), (5, "/in/e.srt", "/in/f.srt"), (6, "/in/g (1).srt", "/in/g.srt"), (7, "/in/h.srt", "/in/g.srt")]
+    df = spark.createDataFrame(rows, "pos bigint, path string, requested string")
+    there = spark.createDataFrame([("/in/g.srt",), ("/in/f.srt",)], "path string")
+    for policy in ("overwrite", "autoRename"):
+        got = {r.pos: (r.output_path, r.renamed) for r in paths.assign(df, there, policy, folder="/work").collect()}
+        assert [got[i] for i in range(5)] == [("/in/a (1).srt", True), ("/in/a (2).srt", True), ("/in//b (1).srt", True), ("/work/c (1).srt", True), ("/in/d (1).srt", True)]
+        assert got[5] == (("/in/f.srt", False) if policy == "overwrite" else ("/in/f (1).srt", True))
+        assert [got[i][0] for i in (6, 7)] == (["/in/g.srt"] * 2 if policy == "overwrite" else ["/in/g (2).srt", "/in/g (1).srt"])
+    assert {r.reason for r in paths.assign(df, there, "skip", folder="/work").collect() if r.pos < 5} == {paths.WOULD_OVERWRITE}
