@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_within: ContextVar[list | None] = ContextVar("staged", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -38,6 +42,8 @@ class Staged:
         self.path = f"{shared_folder(self._spark)}/{name}-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.df = self._spark.read.schema(df.schema).parquet(self.path)
+        if (open_tables := _within.get()) is not None:
+            open_tables.append(self)
 
     def drop(self) -> None:
         context = self._spark.sparkContext
@@ -45,6 +51,19 @@ class Staged:
         at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextmanager
+def dropped_after() -> Iterator[None]:
+    """Tables that are staged within are deleted at the end; what comes out must not read them."""
+    tables: list[Staged] = []
+    token = _within.set(tables)
+    try:
+        yield
+    finally:
+        _within.reset(token)
+        for t in tables:
+            t.drop()
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     return Staged(df, name).df
 

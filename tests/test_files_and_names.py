@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cueflow.functions.names import FORMATS, Format, format_by_extension, matches_extension
 from cueflow.operators import loss, paths
 from cueflow.operators.detect import Signature
-from cueflow.plans.convert import Options, convert, without
+from cueflow.plans.convert import Options, convert, convert_to_files, without
 from cueflow.plans.formats import register_format, unregister_format
 from cueflow.plans.parse import parse_sbv
 from cueflow.plans.write import write_sbv
@@ -50,7 +50,7 @@ def test_batch_with_a_missing_file(spark, folder, tmp_path):
     assert {r.failure for r in gone} == {"targetPathUnavailable", "readFailed"}
     out = tmp_path / "out.vtt"
     written = files.write_files(spark.createDataFrame([(str(out), b"x"), ("/no/such/folder/x", b"x")], "output_path string, output binary")).collect()
-    assert out.read_bytes() == b"x" and [r.failure for r in written] == [None, "readFailed"]
+    assert out.read_bytes() == b"x" and {r.path: r.failure for r in written} == {str(out): None, "/no/such/folder/x": "readFailed"}
     assert [r.pos for r in without(given, spark.createDataFrame([(1,)], "pos bigint")).collect()] == [0]
 
 
@@ -66,6 +66,76 @@ def test_files_as_they_arrive(spark, folder, tmp_path_factory):
     assert len(late) == 1 and late[0].cue_count == 2
 
 
+def test_names_over_batches(spark, tmp_path, tmp_path_factory):
+    """Two batches that ask for one name get it and its first form, also after a restart, and no table is left."""
+    out, checkpoint = (str(tmp_path_factory.mktemp("stream") / x) for x in ("out", "checkpoint"))
+    run = lambda: ingest.convert_folder(spark, str(tmp_path), out, checkpoint, Options(target="vtt", directory="/o", bom=True), existing=spark.createDataFrame([("/o/z.vtt",)], "path string")).awaitTermination(300)
+    wanted = []
+    for name, text in (("x.srt", SRT), ("x.lrc", "[00:01.00]one\n[00:02.00]two\n"), ("x.sbv", "0:00:01.000,0:00:02.000\nx\n"), ("z.srt", SRT)):
+        (tmp_path / name).write_text(text)
+        run()
+        wanted.append(name)
+    rows = spark.read.parquet(out).collect()
+    got = {r.source_path.rsplit("/", 1)[1]: r.output_path for r in rows}
+    assert got == {"x.srt": "/o/x.vtt", "x.lrc": "/o/x (1).vtt", "x.sbv": "/o/x (2).vtt", "z.srt": "/o/z (1).vtt"}
+    assert all(r.content.startswith("WEBVTT") and bytes(r.output).startswith(b"\xef\xbb\xbf") for r in rows)
+
+
+def _parts(folder):
+    return [p.name for p in folder.rglob("*") if p.name.startswith(".")]
+
+
+def test_written_files_and_progress(spark, folder, tmp_path):
+    """Every file of a batch under its name, the last one where all overwrite, none half written, and progress on the way."""
+    out, told = tmp_path / "o", []
+    out.mkdir()
+    (out / "b.vtt").write_text("old")
+    given = files.read_paths(spark, [f"{folder}/b.srt", f"{folder}/A.Srt", f"{folder}/gone.srt", f"{folder}/b.srt", f"{folder}/noext"])
+    rows = {r.pos: r for r in convert_to_files(given, Options(target="vtt", directory=str(out)), progress=lambda *x: told.append(x)).collect()}
+    assert [rows[i].output_path and rows[i].output_path.rsplit("/", 1)[1] for i in range(5)] == ["b (1).vtt", "A.vtt", None, "b (2).vtt", "noext.vtt"]
+    assert rows[2].failure == "readFailed" and all(rows[i].elapsed_ms >= 0 for i in rows)
+    assert sorted(p.name for p in out.iterdir()) == ["A.vtt", "b (1).vtt", "b (2).vtt", "b.vtt", "noext.vtt"]
+    assert (out / "b.vtt").read_text() == "old" and (out / "b (2).vtt").read_text().startswith("WEBVTT")
+    assert told[-1] == (5, 5, 1)
+    both = spark.createDataFrame([(0, f"{folder}/q.srt", SRT.encode()), (1, f"{folder}/q.sbv", b"0:00:01.000,0:00:02.000\nlast\n")], "pos bigint, path string, content binary")
+    both = both.withColumn("length", F.lit(1).cast("bigint"))
+    rows = convert_to_files(both, Options(target="vtt", directory=str(out), policy="overwrite")).collect()
+    assert {r.status for r in rows} == {"succeeded"} and "last" in (out / "q.vtt").read_text()
+    skipped = convert_to_files(both, Options(target="vtt", directory=str(out), policy="skip")).collect()
+    assert {r.status for r in skipped} == {"skipped"} and not _parts(out)
+    gone = convert_to_files(both, Options(target="vtt", directory=f"{out}/none")).collect()
+    assert {r.failure for r in gone} == {"targetPathUnavailable"}
+
+
+def test_a_killed_task_leaves_nothing(spark, tmp_path):
+    out = tmp_path / "o"
+    out.mkdir()
+    df = spark.range(40, numPartitions=4).select(F.concat(F.lit(f"{out}/f"), F.col("id").cast("string")).alias("output_path"), F.when(F.col("id") == 37, F.raise_error(F.lit("killed"))).otherwise(F.lit("x")).cast("binary").alias("output"))
+    with pytest.raises(Exception, match="killed"):
+        files.write_files(df)
+    assert list(out.iterdir()) == []
+    written = files.write_files(df.filter("output_path NOT LIKE '%/f37'")).collect()
+    assert len(written) == 39 and {r.failure for r in written} == {None} and not _parts(out) and len(list(out.iterdir())) == 39
+    # Of rows that share a path the last one stays.
+    same = spark.createDataFrame([(i, f"{out}/same", bytes([65 + i])) for i in range(5)], "pos int, output_path string, output binary").repartition(5)
+    files.write_files(same, order="pos")
+    assert (out / "same").read_bytes() == b"E" and not _parts(out)
+
+
+def test_many_folders_are_listed_by_tasks(spark, tmp_path):
+    given = []
+    for i in range(600):
+        if i % 3 == 0:
+            (tmp_path / f"d{i}").mkdir()
+            for n in ("B.srt", "a.vtt", "x.txt"):
+                (tmp_path / f"d{i}" / n).write_text(SRT)
+        given.append(f"{tmp_path}/d{i}" if i % 3 == 0 else f"{tmp_path}/no{i}.srt")
+    want = [p for i, g in enumerate(given) for p in ([f"{g}/a.vtt", f"{g}/B.srt"] if i % 3 == 0 else [g])]
+    listed = files.expand_paths(spark, given)
+    assert [r.path for r in listed.orderBy("pos").collect()] == want and [r.pos for r in listed.orderBy("pos").collect()] == list(range(len(want)))
+    assert files.expand_paths(spark, []).count() == 0 and files.expand_paths(spark, [" "]).count() == 0
+
+
 def test_format_of_ones_own(spark):
     mine = Format("qsv", "QSV", ("quick",))
     register_format(mine, parse_sbv, write_sbv, [Signature("qsv", "qsv.mark", 500, "contains", "quick-mark")])
