@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cueflow.functions.names import FORMATS, format_of
+from cueflow.functions.recorded import recorded
 from cueflow.functions.text import HS, WS, fold_newlines
 
 EXTENSION_BONUS = 30
@@ -53,37 +54,45 @@ def matches(s: Signature, text: Column) -> Column:
     return text.rlike(s.what)
 
 
-def detection(text: Column, name: Column, signatures: list[Signature] = SIGNATURES) -> Column:
-    """STRUCT<format, score, evidence, ext_matched, runner_up, runner_up_score> of a text and a file name.
+def ranking(bits: Column, ext: Column, signatures: tuple[Signature, ...]) -> Column:
+    """Formats, best first, of a file whose matching signatures are ``bits`` and whose extension's format is ``ext``.
 
     Formats rank by score, then matching extension, then number of matches, then registration.
     """
-    text = fold_newlines(F.coalesce(text, F.lit("")))
-    ext = format_of(name)
     ranked = []
     for order, fmt in enumerate(FORMATS):
-        own = [s for s in signatures if s.fmt == fmt]
-        evidence = F.array_compact(F.array(*[F.when(matches(s, text), F.lit(s.id)) for s in own], F.lit(None).cast("string")))
+        own = [(1 << i, s.weight) for i, s in enumerate(signatures) if s.fmt == fmt]
+        mine = bits.bitwiseAND(F.lit(sum(b for b, _ in own)))
         by_ext = F.coalesce(ext == fmt, F.lit(False))
         score = F.when(by_ext, F.lit(EXTENSION_BONUS)).otherwise(0)
-        for s in own:
-            score = score + F.when(F.array_contains(evidence, s.id), F.lit(s.weight)).otherwise(0)
-        ranked.append(F.struct((-score).alias("rank"), (~by_ext).alias("no_ext"), (-F.size(evidence)).alias("few"), F.lit(order).alias("order"), F.lit(fmt).alias("format"), evidence.alias("evidence")))
+        for b, weight in own:
+            score = score + F.when(mine.bitwiseAND(F.lit(b)) != 0, F.lit(weight)).otherwise(0)
+        ranked.append(F.struct((-score).alias("rank"), (~by_ext).alias("no_ext"), (-F.bit_count(mine)).alias("few"), F.lit(order).alias("order"), F.lit(fmt).alias("format"), mine.alias("own")))
     return F.sort_array(F.array(*ranked))
 
 
 def detect(df: DataFrame, text: str = "text", name: str = "path") -> DataFrame:
     """``df`` with ``format``, ``score``, ``evidence``, ``ext_matched``, ``runner_up``, ``runner_up_score`` and ``ambiguous``."""
-    df = df.withColumn("__ranked", detection(F.col(text), F.coalesce(F.col(name), F.lit(""))))
+    return _detected(df, text, name, tuple(SIGNATURES), tuple(FORMATS.values()))
+
+
+@recorded
+def _detected(df: DataFrame, text: str, name: str, signatures: tuple, formats: tuple) -> DataFrame:
+    df = df.withColumn("__folded", fold_newlines(F.coalesce(F.col(text), F.lit(""))))
+    # Each signature looks at the text once: its bit says whether it matched.
+    bits = [F.when(matches(s, F.col("__folded")), F.lit(1 << i)).otherwise(0) for i, s in enumerate(signatures)]
+    df = df.withColumns({"__bits": sum(bits[1:], bits[0]), "__ext": format_of(F.coalesce(F.col(name), F.lit("")))})
+    df = df.withColumn("__ranked", ranking(F.col("__bits"), F.col("__ext"), signatures))
     first, second = F.get("__ranked", F.lit(0)), F.get("__ranked", F.lit(1))
     known, other = first["rank"] < 0, second["rank"] < 0
-    return df.select(
-        "*",
-        F.when(known, first["format"]).alias("format"),
-        F.when(known, -first["rank"]).otherwise(0).alias("score"),
-        F.when(known, first["evidence"]).otherwise(F.expr("cast(array() as array<string>)")).alias("evidence"),
-        (known & ~first["no_ext"]).alias("ext_matched"),
-        F.when(known & other, second["format"]).alias("runner_up"),
-        F.when(known & other, -second["rank"]).otherwise(0).alias("runner_up_score"),
-        (known & other & (first["rank"] == second["rank"])).alias("ambiguous"),
-    ).drop("__ranked")
+    ids = F.array(*[F.lit(s.id) for s in signatures])
+    evidence = F.transform(F.filter(F.sequence(F.lit(0), F.lit(len(signatures) - 1)), lambda i: F.getbit(first["own"].cast("bigint"), i) == 1), lambda i: F.get(ids, i))
+    return df.withColumns({
+        "format": F.when(known, first["format"]),
+        "score": F.when(known, -first["rank"]).otherwise(0),
+        "evidence": F.when(known, evidence).otherwise(F.expr("cast(array() as array<string>)")),
+        "ext_matched": known & ~first["no_ext"],
+        "runner_up": F.when(known & other, second["format"]),
+        "runner_up_score": F.when(known & other, -second["rank"]).otherwise(0),
+        "ambiguous": known & other & (first["rank"] == second["rank"]),
+    }).drop("__folded", "__bits", "__ext", "__ranked")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cueflow.functions.names import FORMATS, directory
+from cueflow.functions.recorded import recorded
 from cueflow.functions.text import is_blank
 from cueflow.operators import paths
 from cueflow.operators.loss import WARNING, loss_of
@@ -83,15 +84,25 @@ def convert_texts(df: DataFrame, source: str, target: str, offset_ms: int = 0) -
 
     Cues that the writer leaves out for want of text are counted too.
     """
-    return converted_documents(parse(df, source), F.lit(source), target, offset_ms)
+    return converted_documents(parse(df, source), source, target, offset_ms)
 
 
-def converted_documents(docs: DataFrame, source: Column, target: str, offset_ms: int = 0) -> DataFrame:
-    """The same from parsed documents, whose formats the column ``source`` names."""
-    none = F.size("cues") == 0
-    docs = docs.withColumn("error", F.coalesce("error", F.when(none, _error("emptyDocument", "The file contains no subtitle entries."))))
-    docs = docs.withColumn("cues", shift_array(F.col("cues"), offset_ms))
-    docs = docs.withColumn("warnings", loss_of(source, F.lit(target))).withColumn("cue_count", F.size("cues"))
+def converted_documents(docs: DataFrame, source: str | Column, target: str, offset_ms: int = 0) -> DataFrame:
+    """The same from parsed documents; ``source`` is their format or the column that names it."""
+    if isinstance(source, str):
+        return _converted(docs, source, target, offset_ms, tuple(FORMATS.values()))
+    return _convert(docs, source, target, offset_ms)
+
+
+@recorded
+def _converted(docs: DataFrame, source: str, target: str, offset_ms: int, formats: tuple) -> DataFrame:
+    return _convert(docs, F.lit(source), target, offset_ms)
+
+
+def _convert(docs: DataFrame, source: Column, target: str, offset_ms: int) -> DataFrame:
+    none = F.when(F.size("cues") == 0, _error("emptyDocument", "The file contains no subtitle entries."))
+    docs = docs.withColumns({"error": F.coalesce("error", none), "cues": shift_array(F.col("cues"), offset_ms)})
+    docs = docs.withColumns({"warnings": loss_of(source, F.lit(target)), "cue_count": F.size("cues")})
     out = write(docs, target)
     blank = F.when(is_blank(F.col("content")), _error("emptyDocument", "The file contains no subtitle entries to write."))
     out = out.withColumn("error", F.coalesce("error", blank))
@@ -123,7 +134,7 @@ def convert_documents(docs: DataFrame, options: Options) -> DataFrame:
 
     def branch(fmt: str, mine: DataFrame) -> DataFrame:
         mine = mine.withColumn("began", F.expr(_NOW))
-        done = converted_documents(parse(mine, fmt), F.lit(fmt), options.target, options.offset_ms)
+        done = converted_documents(parse(mine, fmt), fmt, options.target, options.offset_ms)
         return done.withColumn("convert_ns", _since(F.col("began"), F.col("content"))).select(*columns)
 
     unknown = _error("unsupportedFormat", "No registered format fits this file.")

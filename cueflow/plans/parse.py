@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from cueflow.functions import markup
 from cueflow.functions.asslines import sections
+from cueflow.functions.recorded import recorded
 from cueflow.functions.text import HS, WS, ass_plain, field_ci, has_visible_text, last_wins, let, normalize, strip_overrides, strip_tags, trim_ws
 from cueflow.functions.timecode import parse_ms
 from cueflow.sources.staging import spread
@@ -91,14 +92,14 @@ def _finish(df: DataFrame, scan: str) -> DataFrame:
 
 
 def _document(df: DataFrame, raw_cues: Column, error: Column | None, title: Column | None = None, language: Column | None = None, fields: Column | None = None, styles: Column | None = None) -> DataFrame:
-    df = df.withColumn("raw_cues", raw_cues.cast(f"array<{RAW}>"))
-    return (
-        df.withColumn("title", title if title is not None else none("string"))
-        .withColumn("language", language if language is not None else none("string"))
-        .withColumn("fields", fields if fields is not None else empty(PAIR))
-        .withColumn("styles", styles if styles is not None else empty(STYLE))
-        .withColumn("error", error if error is not None else none(ERROR))
-    )
+    return df.withColumns({
+        "raw_cues": raw_cues.cast(f"array<{RAW}>"),
+        "title": title if title is not None else none("string"),
+        "language": language if language is not None else none("string"),
+        "fields": fields if fields is not None else empty(PAIR),
+        "styles": styles if styles is not None else empty(STYLE),
+        "error": error if error is not None else none(ERROR),
+    })
 
 
 _SRT_BLOCK = rf"\A(?:{HS}*(\d+){HS}*\n)?([^\n]*)(?:\n([\s\S]*))?\z"
@@ -112,6 +113,7 @@ def _after(line: Column, mark: str) -> Column:
     return F.when(F.instr(line, mark) > 0, F.substr(line, F.instr(line, mark) + len(mark)))
 
 
+@recorded
 def parse_srt(df: DataFrame) -> DataFrame:
     def cue(b: Column) -> Column:
         number = F.regexp_replace(F.regexp_extract(b, _SRT_BLOCK, 1), r"\A0+(?=\d)", "")
@@ -128,6 +130,7 @@ def parse_srt(df: DataFrame) -> DataFrame:
     return _finish(_document(df, cues, _whole_file(cues, "SRT", "timing line", "SRT content is empty.")), "html").drop("__blocks", "__cues")
 
 
+@recorded
 def parse_sbv(df: DataFrame) -> DataFrame:
     def cue(b: Column) -> Column:
         raw = F.when(F.instr(b, "\n") > 0, F.substr(b, F.instr(b, "\n") + 1)).otherwise("")
@@ -151,6 +154,7 @@ _VTT_HEADER = rf"\A(?:{HS}*\n)*{HS}*WEBVTT[^\n]*(?:\n((?:(?!{HS}*(?:\n|\z))(?:(?
 _VTT_CUE = r"\A(?:((?:(?!-->)[^\n])*)\n)?((?:(?!-->)[^\n])*-->[^\n]*)(?:\n([\s\S]*))?\z"
 
 
+@recorded
 def parse_vtt(df: DataFrame) -> DataFrame:
     df = df.withColumn("__text", normalize(F.col("text")))
     text = F.col("__text")
@@ -193,6 +197,7 @@ _LRC_META = r"\A([A-Za-z][A-Za-z0-9_-]*):(.*)\z"
 _LRC_WORD = r"<\d{1,3}:[0-5]\d(?::[0-5]\d)?(?:[.:]\d{1,3})?>"
 
 
+@recorded
 def parse_lrc(df: DataFrame, fallback_ms: int = FALLBACK_MS) -> DataFrame:
     """Cues come sorted by start with their ends filled, as this format has none."""
     lines = F.filter(F.split(normalize(F.col("text")), "\n"), lambda x: x.rlike(_LRC_TAGS))
@@ -221,6 +226,7 @@ def parse_lrc(df: DataFrame, fallback_ms: int = FALLBACK_MS) -> DataFrame:
     return _unmarked(out).drop("__tags", "__starts", "__metas")
 
 
+@recorded
 def parse_ass(df: DataFrame) -> DataFrame:
     """ASS and SSA: either dialect's style section is read."""
     df = df.withColumn("__ass", sections(normalize(F.col("text"))))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cueflow.functions import markup
+from cueflow.functions.recorded import recorded
 from cueflow.functions.text import ass_escape, escape_entities, field_ci, fold_newlines, has_visible_text, let, trim_ws
 from cueflow.functions.timecode import ass_time, lrc_time, sbv_time, srt_time, vtt_time
 from cueflow.plans.parse import CUE, FALLBACK_MS, PAIR, STYLE, empty
@@ -60,6 +61,7 @@ def _blocks(df: DataFrame, block) -> Column:
     return F.when(F.size("__cues") == 0, F.lit("")).otherwise(F.concat(F.array_join(both, "\n\n"), F.lit("\n")))
 
 
+@recorded
 def write_srt(df: DataFrame) -> DataFrame:
     df = _rendered(_visible(df, with_ends(F.col("cues"))), "html", fold_newlines)
     block = lambda c, t, i: F.concat((i + 1).cast("string"), F.lit("\n"), srt_time(c["start_ms"]), F.lit(" --> "), srt_time(c["end_ms"]), F.lit("\n"), t)
@@ -70,6 +72,7 @@ def meta(c: Column, key: str) -> Column:
     return F.get(F.filter(c["metadata"], lambda e: e["k"] == key), F.lit(0))["v"]
 
 
+@recorded
 def write_vtt(df: DataFrame) -> DataFrame:
     df = _rendered(_visible(df, with_ends(F.col("cues"))), "html_escaped", lambda t: escape_entities(fold_newlines(t)))
 
@@ -86,11 +89,13 @@ def write_vtt(df: DataFrame) -> DataFrame:
     return df.withColumn("content", F.when(F.size("__cues") == 0, head).otherwise(F.concat(head, F.lit("\n"), _blocks(df, block))))
 
 
+@recorded
 def write_sbv(df: DataFrame) -> DataFrame:
     df = _visible(df, with_ends(F.col("cues"))).withColumn("__lines", F.transform("__cues", lambda c: c["text"]))
     return df.withColumn("content", _blocks(df, lambda c, t, i: F.concat(sbv_time(c["start_ms"]), F.lit(","), sbv_time(c["end_ms"]), F.lit("\n"), t)))
 
 
+@recorded
 def write_lrc(df: DataFrame) -> DataFrame:
     ordered = F.transform(F.array_sort(F.transform("cues", lambda c, i: F.struct(c["start_ms"].alias("s"), i.alias("i"), c["text"].alias("text")))), lambda x: x)
     lines = F.transform(F.filter(ordered, lambda x: has_visible_text(x["text"])), lambda x: F.concat(F.lit("["), lrc_time(x["s"]), F.lit("]"), F.array_join(F.transform(F.split(x["text"], "\n"), trim_ws), " ")))
@@ -107,6 +112,7 @@ def _meta_ci(c: Column, key: str) -> Column:
     return F.get(F.filter(c["metadata"], lambda e: F.lower(e["k"]) == key.lower()), F.lit(0))["v"]
 
 
+@recorded
 def write_ass(df: DataFrame, dialect: str = "ass") -> DataFrame:
     df = _rendered(_visible(df, with_ends(F.col("cues"))), "ass", ass_escape)
     taken = ["scripttype", "title"]

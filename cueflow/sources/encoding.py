@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cueflow.functions.recorded import recorded
+
 DECODED = T.StructType([T.StructField("text", T.StringType()), T.StructField("encoding", T.StringType())])
 
 _C0 = r"\x00-\x08\x0b\x0c\x0e-\x1f"
@@ -114,6 +116,7 @@ def _guessed(contents: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["text", "encoding"])
 
 
+@recorded
 def decode(files: DataFrame, content: str = "content") -> DataFrame:
     """``files`` with ``text``, ``encoding``, ``had_bom`` and ``error``; a mark is binding, so a bad body is an error."""
     raw = F.col(content)
