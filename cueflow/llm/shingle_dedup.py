@@ -2,15 +2,19 @@
 
 A text is the set of its 5-word shingles. Texts of one set are one node from the start. Each node has
 BANDS keys, each made of ROWS minimal hashes under functions of their own; nodes that share a key meet.
-In a small group every pair is looked at, in a large one every node is paired with a few leaders (the
-smallest node and the smallest under orders that differ by key), so pairs grow with the nodes. Every
-pair's similarity is then taken from the two whole sets, and only links of at least ``least`` count.
-
 Two texts of similarity s share a key with probability 1 - (1 - s ** ROWS) ** BANDS: 0.9996 at 0.8.
+
+In a group of few nodes every pair is looked at. Nodes of larger groups are paired with a few leaders of each
+group first, and linked ones become clusters. What leaders leave is then found exactly, by prefixes: with all shingles
+in one order, the rare ones first, two sets of similarity ``least`` share one that stands among the first of both, and
+such a shingle joins nodes of different clusters. So no pair is lost to the size of a group, and pairs within
+what is linked already are not made. Every pair's similarity is taken from the two whole sets.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +26,8 @@ SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS = 20, 5
 #: Nodes of a group in which every pair is looked at, and leaders of a larger one besides its smallest node.
 SMALL, LEADERS = 8, 3
+#: Slots in which shingles are counted, only to put them in order: any order finds all pairs, the rare ones first make few.
+SLOTS = 1 << 18
 
 _SPACE = space_table()
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -74,16 +80,90 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of nodes that are worth a look; ``nodes`` has node and keys."""
-    members = nodes.select("node", F.explode("keys").alias("key"))
+def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs, crowded): distinct pairs (a, b), a < b, of nodes in small groups and of nodes and leaders in large ones, and
+    the nodes of large groups; ``nodes`` has node and keys."""
+    members = cut(nodes.select("node", F.explode("keys").alias("key")), "members")
     orders = [F.min_by("node", F.xxhash64("node", "key", F.lit(i))).alias(f"lead{i}") for i in range(LEADERS)]
     groups = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead"), *orders).filter("n > 1")
-    met = members.join(groups.withColumnRenamed("key", "of"), F.col("key") == F.col("of"))
-    large = met.filter(F.col("n") > SMALL).select(F.col("node").alias("x"), F.explode(F.array("lead", *[f"lead{i}" for i in range(LEADERS)])).alias("y"))
+    met = cut(members.join(groups.withColumnRenamed("key", "of"), F.col("key") == F.col("of")), "met")
+    large = met.filter(F.col("n") > SMALL)
+    led = large.select(F.col("node").alias("x"), F.explode(F.array("lead", *[f"lead{i}" for i in range(LEADERS)])).alias("y"))
     small = met.filter(F.col("n") <= SMALL).groupBy("key").agg(F.collect_list("node").alias("all"))
     small = small.select(F.explode("all").alias("x"), "all").select("x", F.explode("all").alias("y"))
-    return large.unionAll(small).filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    pairs = led.unionAll(small).filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return pairs, large.select("node").distinct()
+
+
+def prefix_sizes(size: int, least: float) -> tuple[int, int]:
+    """How many of a set's first shingles hold one of every set of similarity ``least``: of sets no smaller, and of any."""
+    up = lambda x: math.ceil(x - 1e-9)
+    return size - up(2 * least / (1 + least) * size) + 1, size - up(least * size) + 1
+
+
+def _counts(sets: DataFrame) -> np.ndarray:
+    """How many shingles of all sets fall into each of SLOTS slots."""
+    def run(batches):
+        import pyarrow as pa
+
+        found = np.zeros(SLOTS, np.int64)
+        for b in batches:
+            for x in b.column(0):
+                found += np.bincount(_slots(np.frombuffer(x.as_buffer(), np.uint64)), minlength=SLOTS)
+        some = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(found[some])], ["slot", "n"])
+
+    out = np.zeros(SLOTS, np.int64)
+    found = in_batches(sets.select("shingles"), run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    out[found["slot"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    return out
+
+
+def _slots(shingles: np.ndarray) -> np.ndarray:
+    return (mix(shingles) % np.uint64(SLOTS)).astype(np.int64)
+
+
+def _prefixes(sets: DataFrame, least: float) -> DataFrame:
+    """token, node, size, pos (its place in the node's order) and short (among those that also meet larger sets)."""
+    shared = sets.sparkSession.sparkContext.broadcast(_counts(sets))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            parts = []
+            for node, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                own = np.frombuffer(x.as_buffer(), np.uint64)
+                if not len(own):
+                    continue
+                short, whole = prefix_sizes(len(own), least)
+                first = own[np.lexsort((own, shared.value[_slots(own)]))[:whole]]
+                parts.append((first.view(np.int64), np.full(len(first), node), np.full(len(first), len(own)), np.arange(len(first)), np.arange(len(first)) < short))
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["token", "node", "size", "pos", "short"])
+
+    return in_batches(sets.select("node", "shingles"), run, "token bigint, node bigint, size bigint, pos bigint, short boolean")
+
+
+def across(sets: DataFrame, clusters: DataFrame, least: float) -> DataFrame:
+    """All pairs (a, b), a < b, of nodes of different clusters that can have a similarity of ``least``; more than those that have.
+
+    ``sets`` has node and shingles, ``clusters`` node and root; a node without a row there is a cluster by itself.
+    """
+    tokens = _prefixes(sets, least).join(clusters.select(F.col("node").alias("of"), "root"), F.col("node") == F.col("of"), "left")
+    tokens = cut(tokens.select("token", "node", "size", "pos", "short", F.coalesce("root", "node").alias("root")), "prefixes")
+    # Shingles of one cluster alone join nothing; each cluster's rows of the others meet those of the others only.
+    mixed = tokens.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.bool_or("short").alias("some")).filter("lo < hi AND some").select("token")
+    kept = cut(tokens.join(mixed, "token", "left_semi"), "mixed")
+    roots = kept.groupBy("token", "root").agg(F.bool_or("short").alias("short"))
+    side = lambda df, x: df.select(F.col("token").alias(f"t{x}"), *[F.col(c).alias(f"{c}{x}") for c in df.columns if c != "token"])
+    facing = side(roots.filter("short"), 1).join(side(roots, 2), (F.col("t1") == F.col("t2")) & (F.col("root1") != F.col("root2"))).select(F.col("t1").alias("token"), F.col("root1").alias("r1"), F.col("root2").alias("r2"))
+    one = facing.join(side(kept.filter("short"), 1), (F.col("token") == F.col("t1")) & (F.col("r1") == F.col("root1")))
+    smaller = (F.col("size1") < F.col("size2")) | ((F.col("size1") == F.col("size2")) & (F.col("node1") < F.col("node2")))
+    need = least / (1 + least) * (F.col("size1") + F.col("size2")) - 1e-6
+    fits = smaller & (F.col("size1") >= least * F.col("size2") - 1e-6) & (F.least(F.col("size1") - F.col("pos1"), F.col("size2") - F.col("pos2")) >= need)
+    both = one.join(side(kept, 2), (F.col("token") == F.col("t2")) & (F.col("r2") == F.col("root2")) & fits)
+    return both.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
 
 
 def _with_nodes(docs: DataFrame, keys: bool) -> DataFrame:
@@ -106,29 +186,52 @@ def _row():
     return F.xxhash64(F.col("doc_id").cast("bigint"), F.col("doc_id").isNull(), "text", F.col("text").isNull())
 
 
-def links(docs: DataFrame, nodes: DataFrame, least: float = LEAST) -> DataFrame:
-    """The candidate pairs (a, b) whose texts' similarity is at least ``least``."""
-    pairs = cut(candidates(nodes), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("want")).distinct()
-    texts = _with_nodes(docs, False).select("node", "text").join(wanted, F.col("node") == F.col("want"), "left_semi")
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node and shingles (the sorted hashes, as bytes) of each wanted node (column ``want``)."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            sets = shingle_sets(b.column(0))
+            node = pa.array([node_of(x) for x in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([node, pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "shingles"])
+
+    # Rows whose node is not wanted drop out before anything is shuffled but the wanted nodes.
+    texts = _with_nodes(docs, False).join(wanted, F.col("node") == F.col("want"), "left_semi")
     # Texts of one node have one set; any of them stands for it.
-    texts = cut(texts.dropDuplicates(["node"]), "texts")
-    one, two = (texts.select(F.col("node").alias(f"of_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab")
-    both = pairs.join(one, F.col("a") == F.col("of_a")).join(two, F.col("b") == F.col("of_b")).select("a", "b", "text_a", "text_b")
+    return in_batches(texts.dropDuplicates(["node"]).select("text"), run, "node bigint, shingles binary")
+
+
+def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose sets' similarity is at least ``least``."""
+    one, two = (sets.select(F.col("node").alias(f"of_{x}"), F.col("shingles").alias(f"set_{x}")) for x in "ab")
+    both = pairs.join(one, F.col("a") == F.col("of_a")).join(two, F.col("b") == F.col("of_b")).select("a", "b", "set_a", "set_b")
 
     def run(batches):
         import pyarrow as pa
         import pyarrow.compute as pc
 
         for b in batches:
-            for part in (b.slice(i, 64) for i in range(0, b.num_rows, 64)):
-                close = [similarity(x, y) >= least for x, y in zip(shingle_sets(part.column(2)), shingle_sets(part.column(3)), strict=True)]
-                mask = pa.array(close, pa.bool_())
-                yield pa.RecordBatch.from_arrays([pc.filter(part.column(i), mask) for i in (0, 1)], ["a", "b"])
+            read = lambda i: (np.frombuffer(x.as_buffer(), np.uint64) for x in b.column(i))  # noqa: B023, E731
+            mask = pa.array([similarity(x, y) >= least for x, y in zip(read(2), read(3), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([pc.filter(b.column(i), mask) for i in (0, 1)], ["a", "b"])
 
     return in_batches(both, run, "a bigint, b bigint")
 
 
+def links(docs: DataFrame, nodes: DataFrame, least: float = LEAST) -> DataFrame:
+    """Pairs (a, b) of nodes of similarity ``least`` or more; they connect all nodes that pairs of one band group connect."""
+    pairs, crowded = (cut(x, name) for x, name in zip(candidates(nodes), ("pairs", "crowded"), strict=True))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("want")).unionAll(crowded.select(F.col("node").alias("want"))).distinct()
+    sets = cut(_sets(docs, wanted), "sets")
+    found = cut(similar(pairs, sets, least), "links")
+    clusters = components(found)
+    many = sets.join(crowded.select(F.col("node").alias("of")), F.col("node") == F.col("of"), "left_semi")
+    rest = cut(across(cut(many, "crowded-sets"), clusters, least), "rest")
+    return found.unionAll(similar(rest, sets, least))
+
+
 def _rooted(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     """All rows (doc_id, row, node), and (node, root) of every node."""
     prints = cut(_with_nodes(docs, True), "shingles")

@@ -2,7 +2,12 @@
 
 import random
 
+import pytest
+from hypothesis import given
+from hypothesis import strategies as st
+
 import corpus_pipeline
+from cueflow.llm.shingle_dedup import prefix_sizes
 
 
 def _shingles(text):
@@ -46,3 +51,50 @@ def test_near_copies_from_0_8_up(spark, sf_dir):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     got = {r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, sf_dir).collect()}
     assert got == {d for d in range(len(texts)) if find(d) == d}
+
+
+def _families(rng, families, members):
+    """Texts of one family share a template and are about 0.75 to 0.79 alike; one pair of each is 0.8 or more alike."""
+    words = [f"w{i}" for i in range(20000)]
+    texts = []
+    for _ in range(families):
+        template = [rng.choice(words) for _ in range(rng.randint(170, 230))]
+        tail = round(len(template) * 0.135)
+        own = lambda n=tail: [rng.choice(words) for _ in range(n)]  # noqa: B023, E731
+        group = [template + own() for _ in range(members)]
+        twin = list(group[0])
+        for i in rng.sample(range(len(template), len(twin)), 2):
+            twin[i] = rng.choice(words)
+        texts += [" ".join(t) for t in [*group, twin]]
+    return texts
+
+
+@pytest.mark.parametrize("families, members", [(40, 14), (3, 120)])
+def test_families_just_below(spark, sf_dir, families, members):
+    """Groups of many that are no links, each with one that is: none is lost to the size of its group."""
+    texts = _families(random.Random(families), families, members)
+    sets = [_shingles(t) for t in texts]
+    size = members + 1
+    drop, near = set(), 0
+    for f in range(families):
+        for a in range(f * size, (f + 1) * size):
+            for b in range(a + 1, (f + 1) * size):
+                s = _similar(sets[a], sets[b])
+                near += 0.74 < s < 0.8
+                if s >= 0.8:
+                    drop.add(b)
+    assert len(drop) >= families and near > families * members * (members - 1) * 0.4
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, sf_dir).collect()}
+    assert set(range(len(texts))) - got == drop
+
+
+@given(st.sets(st.integers(0, 40), min_size=1), st.sets(st.integers(0, 40), min_size=1), st.sampled_from([0.5, 0.8, 0.9]))
+def test_similar_sets_share_a_first_element(a, b, least):
+    """Of similar sets the smaller one's short prefix and the larger one's whole prefix have an element in common."""
+    if _similar(a, b) >= least:
+        x, y = sorted((sorted(a), sorted(b)), key=len)
+        short, whole = prefix_sizes(len(x), least)[0], prefix_sizes(len(y), least)[1]
+        first = min(set(x) & set(y))
+        i, j = x.index(first), y.index(first)
+        assert i < short and j < whole and min(len(x) - i, len(y) - j) >= least / (1 + least) * (len(x) + len(y)) - 1e-6
