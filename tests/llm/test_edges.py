@@ -78,3 +78,27 @@ def test_slots_are_uniform(spark):
     expected = 40 * 30 / 8
     # Chi-square of 8 cells: 30 is past any usual doubt.
     assert sum((seen[k, s] - expected) ** 2 / expected for k in (0, 1) for s in range(4)) < 30
+
+
+def test_shards_follow_the_law_of_a_uniform_shuffle(spark):
+    """Over seeds every row meets every slot about equally often, and two rows share a shard as often as they should."""
+    docs = spark.range(12).select(F.col("id").alias("doc_id"))
+    seeds, at, together = 120, Counter(), 0
+    for seed in range(seeds):
+        rows = {r.doc_id: (r.shard, r.slot) for r in sharding.uniform_shards(docs, [F.col("doc_id")], 3, seed, block_rows=2, max_blocks=8).collect()}
+        assert sorted(rows.values()) == [(s, i) for s in range(3) for i in range(4)]
+        at.update((d, *x) for d, x in rows.items())
+        together += sum(rows[a][0] == rows[b][0] for a in range(12) for b in range(a))
+    expected = seeds / 12
+    # 144 cells with 121 degrees of freedom: 200 is past any usual doubt.
+    assert sum((at[d, s, i] - expected) ** 2 / expected for d in range(12) for s in range(3) for i in range(4)) < 200
+    assert together == seeds * 3 * 6
+
+
+def test_lines_of_rows_told_apart_by_nulls(spark):
+    """A null text and a null source don't make one row of two; a line of every document is popular and still goes."""
+    rows = [(200, "a", None), (200, None, "a")] + [(i, f"own {i}\nsame\n{'often' if i % 2 else 'rare'} line", f"s{i}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = {(r.doc_id, r.source): (r.text, r.n_lines, r.n_removed) for r in line_dedup.remove_boilerplate(docs).collect()}
+    assert got[200, None] == ("a", 1, 0) and got[200, "a"] == (None, 0, 0)
+    assert got[0, "s0"] == ("own 0\nsame\nrare line", 3, 0) and got[1, "s1"] == ("own 1\noften line", 3, 1) and got[2, "s2"] == ("own 2", 3, 2)
