@@ -57,12 +57,12 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str, key: bytes | None = None) -> DataFrame:
-    """The key is the argument, or that of the setting ``spark.cueflow.pii.key``; without one each run has a key of its own."""
+    """The key is the argument, or that of the setting ``spark.cueflow.pii.secret``; without one each run has a key of its own."""
     import secrets
 
     from cueflow.llm.pii import KINDS, pseudonymise
 
-    key = key or spark.conf.get("spark.cueflow.pii.key", "").encode() or secrets.token_bytes(32)
+    key = key or spark.conf.get("spark.cueflow.pii.secret", "").encode() or secrets.token_bytes(32)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pseudonymise(docs, key).select("doc_id", "text", *[f"n_{k}" for k in KINDS])
 
