@@ -7,7 +7,7 @@ partition permutes its rows and deals them out by its line of the matrix, the ro
 each cell permutes what it got. Sizes come out exact because the margins are exact. Cells are slices
 of a shard, so no task ever holds a whole shard.
 
-Everything that touches rows is DataFrame functions: two windows and one join with the matrix.
+Everything that touches rows is DataFrame functions: two windows, and a search by halving in a class's running counts.
 """
 
 from __future__ import annotations
@@ -75,7 +75,6 @@ def uniform_shards(df: DataFrame, keys: list[Column], shards: int = 8, seed: int
     ``max_blocks`` at most, which bounds the matrix. ``df`` may not hold columns named ``shard``,
     ``slot`` or starting with ``__``.
     """
-    spark = df.sparkSession
     clash = [c for c in df.columns if c in ("shard", "slot") or c.startswith("__")]
     if clash:
         raise ValueError(f"reserved column names: {clash}")
@@ -91,23 +90,26 @@ def uniform_shards(df: DataFrame, keys: list[Column], shards: int = 8, seed: int
     cells = [size for n in even_sizes(total, shards) for size in even_sizes(n, blocks)]
     matrix = communication_matrix(per_class, cells, seed)
     in_shard = [int(x) for s in range(shards) for x in np.concatenate([[0], np.cumsum(cells[s * blocks : (s + 1) * blocks])[:-1]])]
-    lines = json.dumps([{"c": i, "n": line.tolist()} for i, line in enumerate(matrix)])
-    deal = spark.range(1).select(F.inline(F.from_json(F.lit(lines), "array<struct<c:int,n:array<bigint>>>")))
-    deal = deal.select(F.col("c").alias("__m"), F.posexplode("n").alias("__cell", "__n"))
-    deal = deal.withColumn("__hi", F.sum("__n").over(Window.partitionBy("__m").orderBy("__cell"))).filter(F.col("__n") > 0)
-    deal = deal.withColumn("__lo", F.col("__hi") - F.col("__n")).withColumn("__at", F.get(F.from_json(F.lit(json.dumps(in_shard)), "array<bigint>"), F.col("__cell"))).drop("__n")
+    # A class's row of place r goes to the first cell whose running count passes r; both tables are constants of the plan.
+    upto = F.from_json(F.lit(json.dumps(np.cumsum(matrix, axis=1).tolist())), "array<array<bigint>>")
+    starts = F.from_json(F.lit(json.dumps(in_shard)), "array<bigint>")
+
+    def cell(counts: Column, r: Column) -> Column:
+        """How many of the rising ``counts`` are ``r`` or less, by halving."""
+        steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(cells).bit_length()))])
+        return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(counts, at + step - 1) <= r, at + step).otherwise(at))
 
     def place(k: int, by: str) -> Column:
         mixed = F.xxhash64(F.lit(seed + k), *keys)
         return F.row_number().over(Window.partitionBy(by).orderBy(mixed, *keys)) - 1
 
     first = fine.withColumn("__c", (F.col("__c") % sources).cast("int")).withColumn("__r", place(1, "__c"))
-    dealt = first.join(deal, (F.col("__c") == F.col("__m")) & (F.col("__r") >= F.col("__lo")) & (F.col("__r") < F.col("__hi")))
+    dealt = first.withColumn("__cell", cell(F.get(upto, F.col("__c")), F.col("__r").cast("bigint")))
     second = dealt.withColumn("__t", place(2, "__cell"))
     return second.select(
         *[F.col(f"`{c}`") for c in df.columns],
         F.floor(F.col("__cell") / blocks).cast("int").alias("shard"),
-        (F.col("__at") + F.col("__t")).cast("bigint").alias("slot"),
+        (F.get(starts, F.col("__cell")) + F.col("__t")).cast("bigint").alias("slot"),
     )
 
 
