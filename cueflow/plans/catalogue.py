@@ -109,13 +109,14 @@ def _parsed(raw: str, fields: int) -> str:
     return f"CASE WHEN {g[3]} = '' THEN NULL WHEN {g[2]} <> '' THEN {three} WHEN {n[0]} <= 59 THEN ({n[0]} * 60 + {n[1]}) * 1000 + {part} END"
 
 
-_VALUES = ", ".join(f"('{x}')" for x in _EDGES)
+# Each event takes one of the edge cases, or its own time in one of the notations.
+_RAW = "CASE event_id % 16 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_EDGES)) + " WHEN 14 THEN user_id % 700 || ':' || event_id % 60 || ':' || user_id % 60 || '.' || event_id % 1000 ELSE event_id % 90 || ' : ' || user_id % 75 || ' , ' || event_id END"
 
 
-@query(f"SELECT raw, {_parsed('raw', 3)} AS three, {_parsed('raw', 2)} AS two FROM (VALUES {_VALUES}) AS v(raw)")
+@query(f"WITH r AS (SELECT event_id, {_RAW} AS raw FROM events) SELECT event_id, raw, {_parsed('raw', 3)} AS three, {_parsed('raw', 2)} AS two FROM r")
 def timestamp_parse_edge(spark, sf_dir):
-    df = spark.sql(f"SELECT raw FROM VALUES {_VALUES} AS v(raw)")
-    return df.select("raw", timecode.parse_ms(F.col("raw")).alias("three"), timecode.parse_ms(F.col("raw"), 2).alias("two"))
+    df = read(spark, sf_dir, "events").select("event_id", F.expr(_RAW).alias("raw"))
+    return df.select("event_id", "raw", timecode.parse_ms(F.col("raw")).alias("three"), timecode.parse_ms(F.col("raw"), 2).alias("two"))
 
 
 # --- relational -----------------------------------------------------------------------------------
@@ -182,14 +183,13 @@ def style_lookup(spark, sf_dir):
     return model.with_style(c, styles, "doc_id").select("doc_id", "cue_seq", "style_ref", F.get("style_fields", F.lit(0))["v"].alias("look"))
 
 
-@query("SELECT * FROM (VALUES ('Title', 'a'), ('title', 'b'), ('TITLE', 'a'), ('Lang', 'c'), ('none', NULL)) AS v(wanted, found)")
+@query("SELECT s_suppkey AS id, v.wanted, CASE v.wanted WHEN 'Title' THEN s_name WHEN 'title' THEN 'b' WHEN 'TITLE' THEN s_name WHEN 'Lang' THEN CAST(s_nationkey AS VARCHAR) END AS found FROM supplier, (VALUES ('Title'), ('title'), ('TITLE'), ('Lang'), ('none')) AS v(wanted)")
 def ci_field_lookup(spark, sf_dir):
-    fields = spark.sql("SELECT array(struct('Title' AS k, 'a' AS v), struct('title' AS k, 'b' AS v), struct('lang' AS k, 'c' AS v)) AS fields")
-    each = [fields.select(F.lit(k).alias("wanted"), tx.field_ci(F.col("fields"), k).alias("found")) for k in ("Title", "title", "TITLE", "Lang", "none")]
-    out = each[0]
-    for e in each[1:]:
-        out = out.unionAll(e)
-    return out
+    pair = lambda k, v: F.struct(F.lit(k).alias("k"), v.cast("string").alias("v"))
+    fields = F.array(pair("Title", F.col("s_name")), pair("title", F.lit("b")), pair("lang", F.col("s_nationkey")))
+    rows = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), fields.alias("fields"))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("wanted"), tx.field_ci(F.col("fields"), k).alias("found")) for k in ("Title", "title", "TITLE", "Lang", "none")]))
+    return rows.select("id", each.alias("one")).select("id", "one.*")
 
 
 # --- text -----------------------------------------------------------------------------------------
@@ -249,17 +249,29 @@ def ass_unescape_text(spark, sf_dir):
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", tx.ass_plain(raw).alias("text"))
 
 
+_LETTERS = "regexp_replace(text, '[^A-Za-z ]', '', 'g')"
+
+
 @query(
-    """SELECT * FROM (VALUES (1, '0-6:italic|11-15:bold', 'Italic and bold'), (2, '0-2:bold|2-3:bold+italic|3-4:italic', 'abcd'), (3, '0-4:underline', 'open'), (4, '', 'x'),
-    (5, '0-2:strikethrough', chr(131072) || 'y')) AS v(id, ranges, text)"""
+    f"""WITH w AS (SELECT conv_id, turn, (conv_id + turn) % 5 AS k, {_LETTERS} AS t FROM conversations)
+    SELECT conv_id, turn, CASE k WHEN 0 THEN CASE WHEN length(t) > 0 THEN '0-' || length(t) || ':italic|' ELSE '' END || (length(t) + 5) || '-' || (length(t) + 9) || ':bold' WHEN 1 THEN '0-2:bold|2-3:bold+italic|3-4:italic'
+           WHEN 2 THEN '0-' || (4 + length(t)) || ':underline' WHEN 3 THEN '' ELSE '0-2:strikethrough' END AS ranges,
+           CASE k WHEN 0 THEN t || ' and bold' WHEN 1 THEN 'abcd' || t WHEN 2 THEN 'open' || t WHEN 3 THEN 'x' || t ELSE chr(131072) || 'y' || t END AS text FROM w"""
 )
 def inline_style_ranges(spark, sf_dir):
-    rows = [(1, "<i>Italic</i> and <b>bold</b>"), (2, "<b>ab<i>c</b>d</i>"), (3, "<u>open"), (4, "x</b><b></b>"), (5, "<s>\U00020000</s>y")]
-    cases = ", ".join(f"({i}, '{t}')" for i, t in rows)
-    df = spark.sql(f"SELECT id, raw FROM VALUES {cases} AS v(id, raw)")
-    s = F.get(markup.scanner("html")(F.array("raw")), F.lit(0))
+    """Turns within emphasis that nests, crosses, stays open, encloses nothing, or holds a character of two units."""
+    t, k = F.regexp_replace("text", "[^A-Za-z ]", ""), (F.col("conv_id") + F.col("turn")) % 5
+    raw = (
+        F.when(k == 0, F.concat(F.lit("<i>"), t, F.lit("</i> and <b>bold</b>")))
+        .when(k == 1, F.concat(F.lit("<b>ab<i>c</b>d</i>"), t))
+        .when(k == 2, F.concat(F.lit("<u>open"), t))
+        .when(k == 3, F.concat(F.lit("x</b><b></b>"), t))
+        .otherwise(F.concat(F.lit("<s>\U00020000</s>y"), t))
+    )
+    s = F.get(markup.scanner("html")(F.array(raw)), F.lit(0))
     one = lambda r: F.concat(r["start"].cast("string"), F.lit("-"), r["end"].cast("string"), F.lit(":"), F.array_join(r["styles"], "+"))
-    return df.select("id", s.alias("s")).select("id", F.array_join(F.transform("s.inline_styles", one), "|").alias("ranges"), F.col("s.text").alias("text"))
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", s.alias("s"))
+    return rows.select("conv_id", "turn", F.array_join(F.transform("s.inline_styles", one), "|").alias("ranges"), F.col("s.text").alias("text"))
 
 
 # --- formats --------------------------------------------------------------------------------------
@@ -681,21 +693,21 @@ _WORD = "regexp_replace(text, '[^A-Za-z ]', '', 'g')"
 
 
 @query(
-    f"""WITH {_conv()}, w AS (SELECT doc_id, 'w' || trim({_WORD}) AS t FROM c WHERE cue_seq = 0)
-    SELECT doc_id, md5('1' || chr(10) || '00:00:01,000 --> 00:00:02,000' || chr(10) || '<b>' || t || '</b> and <i>more</i>' || chr(10)) AS srt, 'WEBVTT' || chr(10) || 'ScriptType: v4.00+' || chr(10) || chr(10) || '00:00:01.000 --> 00:00:02.000' || chr(10) || '<b>' || t || '</b> and <i>more</i>' || chr(10) AS vtt,
+    f"""WITH {_conv()}, w AS (SELECT doc_id, cue_seq, 'w' || trim({_WORD}) AS t FROM c)
+    SELECT doc_id, cue_seq, md5('1' || chr(10) || '00:00:01,000 --> 00:00:02,000' || chr(10) || '<b>' || t || '</b> and <i>more</i>' || chr(10)) AS srt, 'WEBVTT' || chr(10) || 'ScriptType: v4.00+' || chr(10) || chr(10) || '00:00:01.000 --> 00:00:02.000' || chr(10) || '<b>' || t || '</b> and <i>more</i>' || chr(10) AS vtt,
            'Dialogue: 0,0:00:01.00,0:00:02.00,Default,,0,0,0,,{{\\an8}}{{\\b1}}' || t || '{{\\b0}} and {{\\i1}}more{{\\i0}}' AS ass, '00:01.00' AS lrc_at, t || ' and more' AS lrc, 'positionsDropped,namedStylesDropped' AS to_srt, 'inlineStylesDropped,positionsDropped,namedStylesDropped' AS to_sbv FROM w"""
 )
 def emphasis_through_writers(spark, sf_dir):
     """A line with a position and emphasis, from ASS into the other formats, with what each loses."""
-    first = cues_conv(spark, sf_dir).filter("cue_seq = 0")
+    cues = cues_conv(spark, sf_dir)
     t = F.concat(F.lit("w"), F.trim(F.regexp_replace("text", "[^A-Za-z ]", "")))
     head = "[Script Info]\nScriptType: v4.00+\n\n[V4+ Styles]\nFormat: Name\nStyle: Default\n\n[Events]\nFormat: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text\nDialogue: 0,0:00:01.00,0:00:02.00,Default,,0,0,0,,{\\an8}{\\b1}"
-    texts = first.select("doc_id", F.concat(F.lit(head), t, F.lit("{\\b0} and {\\i1}more{\\i0}\n")).alias("text"))
+    texts = cues.select("doc_id", "cue_seq", F.concat(F.lit(head), t, F.lit("{\\b0} and {\\i1}more{\\i0}\n")).alias("text"))
     docs = parse(texts, "ass")
     docs = docs.withColumns({f"to_{f}": F.array_join(F.transform(loss.loss_of(F.lit("ass"), F.lit(f)), lambda w: w["kind"]), ",") for f in ("srt", "sbv")})
     for f in ("srt", "vtt", "ass", "lrc"):
         docs = write(docs, f).withColumnRenamed("content", f"as_{f}")
-    return docs.select("doc_id", F.md5("as_srt").alias("srt"), F.col("as_vtt").alias("vtt"), F.regexp_extract("as_ass", r"(Dialogue: .*)", 1).alias("ass"), F.regexp_extract("as_lrc", r"\[(\d[\d:.]+)\]", 1).alias("lrc_at"), F.regexp_extract("as_lrc", r"\[\d[\d:.]+\](.*)", 1).alias("lrc"), "to_srt", "to_sbv")
+    return docs.select("doc_id", "cue_seq", F.md5("as_srt").alias("srt"), F.col("as_vtt").alias("vtt"), F.regexp_extract("as_ass", r"(Dialogue: .*)", 1).alias("ass"), F.regexp_extract("as_lrc", r"\[(\d[\d:.]+)\]", 1).alias("lrc_at"), F.regexp_extract("as_lrc", r"\[\d[\d:.]+\](.*)", 1).alias("lrc"), "to_srt", "to_sbv")
 
 
 @query(f"WITH {_conv()} SELECT doc_id, CAST(count(*) AS INTEGER) AS n_cues, FALSE AS is_empty, CAST(sum(end_ms - start_ms) AS BIGINT) AS shown_ms FROM c GROUP BY doc_id")
@@ -703,3 +715,6 @@ def document_counts(spark, sf_dir):
     docs = documents_from_cues(cues_conv(spark, sf_dir), "doc_id")
     shown = F.aggregate("cues", F.lit(0).cast("bigint"), lambda a, c: a + timecode.duration_ms(c["start_ms"], c["end_ms"]))
     return model.counts(docs.withColumn("shown_ms", shown), "doc_id", "shown_ms").select("doc_id", "n_cues", "is_empty", "shown_ms")
+
+
+from cueflow.plans import catalogue_more  # noqa: E402, F401  (registers its queries)
