@@ -1,79 +1,69 @@
 """The lines of an ASS or SSA file: sections, and the ``Format:`` lines that name the columns below them.
 
-What a line means depends on the section and the format line above it, so a file is read line by line,
-by one small state machine on Arrow batches.
+What a line means depends on the section and the format line above it. A text is cut at its headers, the pieces of one
+kind are put together, and they are cut again at their format lines, so each row stands in the piece of its columns. All of
+it is built-in expressions, each a pass over the text.
 """
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from cueflow.functions.text import WS
 
-_PAIRS = T.ArrayType(T.StructType([T.StructField("k", T.StringType()), T.StructField("v", T.StringType())]))
-_STYLE = T.StructType([T.StructField("name", T.StringType()), T.StructField("fields", _PAIRS)])
-_EVENT = T.StructType([T.StructField(c, T.StringType()) for c in ("start", "end", "text", "style")] + [T.StructField("rest", _PAIRS)])
-SECTIONS = T.StructType([T.StructField("title", T.StringType()), T.StructField("info", _PAIRS), T.StructField("styles", T.ArrayType(_STYLE)), T.StructField("events", T.ArrayType(_EVENT))])
+from cueflow.functions.text import HS, last_wins, let, trim_ws
 
-_EDGES = re.compile(rf"\A{WS}+|{WS}+\Z")
+_PAIR = "struct<k:string,v:string>"
+_HEADER = rf"(?md)^{HS}*\[([^\n]*)\]{HS}*$"
 #: Section headers by what their lines are read as; others are passed over.
-_KINDS = {"script info": "info", "v4+ styles": "style", "v4 styles": "style", "events": "event"}
-_ROW = {"style": "style", "event": "dialogue"}
+_KINDS = {"info": ("script info",), "style": ("v4+ styles", "v4 styles"), "event": ("events",)}
 _SPECIAL = ("start", "end", "text", "style")
 
 
-def _trim(s: str) -> str:
-    return _EDGES.sub("", s)
+def _line(key: str) -> str:
+    """Lines of a key, whatever its case; the group is what stands behind the colon."""
+    return rf"(?mid)^{HS}*{key}{HS}*:([^\n]*)$"
 
 
-def _pairs(entries: dict[str, str]) -> list[dict]:
-    return [{"k": k, "v": v} for k, v in entries.items()]
+def _all(text: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
 
 
-def _named(names: list[str], row: str) -> list[tuple[str, str]]:
+def _cells(names: Column, row: Column) -> Column:
     """The row's values under their names; the last one keeps its commas, missing ones are empty."""
-    parts = row.split(",", len(names) - 1)
-    return list(zip(names, [_trim(p) for p in parts] + [""] * (len(names) - len(parts)), strict=True))
-
-
-def read_sections(text: str) -> dict:
-    """title, info, styles and events of a text with LF line ends. Of keys given twice the last value counts, at the first one's place."""
-    kind, title, info, styles, events = None, None, {}, [], []
-    columns: dict[str, list[str]] = {"style": [], "event": []}
-    for line in map(_trim, text.split("\n")):
-        if not line or line.startswith(";"):
-            continue
-        if line.startswith("[") and line.endswith("]"):
-            kind = _KINDS.get(_trim(line[1:-1]).lower())
-            continue
-        head, colon, value = line.partition(":")
-        key = _trim(head)
-        if kind is None or not colon or not key:
-            continue
-        if kind == "info":
-            info[key] = _trim(value)
-            title = info[key] if key.lower() == "title" else title
-        elif key.lower() == "format":
-            columns[kind] = [n for n in map(_trim, value.split(",")) if n]
-        elif key.lower() == _ROW[kind] and columns[kind]:
-            cells = _named(columns[kind], value)
-            lower = {k.lower(): v for k, v in reversed(cells)}  # of names that differ in case only the first
-            if kind == "style":
-                styles.append({"name": lower.get("name", ""), "fields": _pairs(dict(cells))})
-            elif all(c in lower for c in ("start", "end", "text")):
-                rest = _pairs({k: v for k, v in cells if k.lower() not in _SPECIAL})
-                events.append({c: lower.get(c) for c in _SPECIAL} | {"style": lower.get("style") or None, "rest": rest})
-    return {"title": title, "info": _pairs(info), "styles": styles, "events": events}
-
-
-@F.pandas_udf(SECTIONS)
-def sections(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([read_sections(t) for t in texts], columns=SECTIONS.names)
-
-
-#: Not deterministic by name only: else the optimizer copies the call into every expression that reads it.
-sections = sections.asNondeterministic()
+    parts = F.split(row, ",", F.size(names))
+    return let(parts, lambda p: F.transform(names, lambda n, i: F.struct(n.alias("k"), trim_ws(F.coalesce(F.get(p, i), F.lit(""))).alias("v"))))
+
+
+def _first(cells: Column, name: str) -> Column:
+    """The value under a name, in lower case; of names that differ in case only the first counts."""
+    return F.get(F.filter(cells, lambda c: F.lower(c["k"]) == name), F.lit(0))["v"]
+
+
+def with_sections(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with ``__title``, ``__info``, ``__styles`` and ``__events`` of a text with LF line ends. Of keys given twice
+    the last value counts, at the first one's place."""
+    df = df.withColumns({"__heads": F.transform(_all(F.col(text), _HEADER), lambda h: F.lower(trim_ws(h))), "__pieces": F.split(F.col(text), _HEADER)})
+    # The piece before the first header is nobody's.
+    both = F.zip_with("__heads", F.slice("__pieces", 2, F.greatest(F.size("__pieces") - 1, F.lit(0))), lambda h, p: F.struct(h.alias("h"), p.alias("p")))
+    df = df.withColumn("__both", both)
+    of = lambda kind: F.array_join(F.transform(F.filter("__both", lambda x: x["h"].isin(*_KINDS[kind])), lambda x: x["p"]), "\n")
+    df = df.withColumns({f"__{kind}": of(kind) for kind in _KINDS})
+
+    def rows(kind: str, key: str) -> Column:
+        """Arrays of cells of the lines with ``key``, below a format line that names columns."""
+        formats = F.transform(_all(F.col(f"__{kind}"), _line("format")), lambda f: F.filter(F.transform(F.split(f, ","), trim_ws), lambda n: n != ""))
+        pieces = F.split(F.col(f"__{kind}"), _line("format"))
+        each = F.zip_with(formats, F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), lambda names, p: F.when(F.size(names) > 0, F.transform(_all(p, _line(key)), lambda row: _cells(names, row))).otherwise(F.expr(f"cast(array() as array<array<{_PAIR}>>)")))
+        return F.flatten(each)
+
+    df = df.withColumns({"__style_rows": rows("style", "style"), "__event_rows": rows("event", "dialogue")})
+    lines = F.filter(F.transform(F.split("__info", "\n"), trim_ws), lambda x: (F.instr(x, ":") > 1) & ~x.startswith(";"))
+    entries = F.transform(lines, lambda x: F.struct(trim_ws(F.substring_index(x, ":", 1)).alias("k"), trim_ws(F.substr(x, F.instr(x, ":") + 1)).alias("v")))
+    df = df.withColumn("__entries", F.filter(entries, lambda e: e["k"] != ""))
+    titles = F.transform(F.filter("__entries", lambda e: F.lower(e["k"]) == "title"), lambda e: e["v"])
+    styles = F.transform("__style_rows", lambda c: F.struct(F.coalesce(_first(c, "name"), F.lit("")).alias("name"), last_wins(c).alias("fields")))
+    shown = F.filter("__event_rows", lambda c: _first(c, "start").isNotNull() & _first(c, "end").isNotNull() & _first(c, "text").isNotNull())
+    rest = lambda c: let(F.filter(c, lambda x: ~F.lower(x["k"]).isin(*_SPECIAL)), last_wins)
+    events = F.transform(shown, lambda c: F.struct(*[_first(c, n).alias(n) for n in ("start", "end", "text")], F.nullif(_first(c, "style"), F.lit("")).alias("style"), rest(c).alias("rest")))
+    df = df.withColumns({"__title": F.try_element_at(titles, F.lit(-1)), "__fields": last_wins(F.col("__entries")), "__styles": styles, "__events": events})
+    return df.drop("__heads", "__pieces", "__both", *[f"__{k}" for k in _KINDS], "__style_rows", "__event_rows", "__entries")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cueflow.functions import markup
-from cueflow.functions.asslines import sections
+from cueflow.functions.asslines import with_sections
 from cueflow.functions.recorded import recorded
 from cueflow.functions.text import HS, WS, ass_plain, field_ci, has_visible_text, last_wins, let, normalize, strip_overrides, strip_tags, trim_ws
 from cueflow.functions.timecode import parse_ms
@@ -229,13 +229,13 @@ def parse_lrc(df: DataFrame, fallback_ms: int = FALLBACK_MS) -> DataFrame:
 @recorded
 def parse_ass(df: DataFrame) -> DataFrame:
     """ASS and SSA: either dialect's style section is read."""
-    df = df.withColumn("__ass", sections(normalize(F.col("text"))))
+    df = with_sections(df.withColumn("__text", normalize(F.col("text"))), "__text")
     cue = lambda e: raw_cue(parse_ms(e["start"]), parse_ms(e["end"]), e["text"], e["style"], e["rest"])
-    df = df.withColumn("__cues", F.transform("__ass.events", cue))
+    df = df.withColumn("__cues", F.transform("__events", cue))
     bad = F.exists("__cues", lambda c: c["start_ms"].isNull() | c["end_ms"].isNull())
     error = F.when(bad, syntax_error(F.lit("Invalid start or end time of a dialogue line.")))
-    out = _document(df, F.col("__cues"), error, F.col("__ass.title"), fields=F.col("__ass.info"), styles=F.col("__ass.styles"))
-    return _finish(out, "ass").drop("__ass", "__cues")
+    out = _document(df, F.col("__cues"), error, F.col("__title"), fields=F.col("__fields"), styles=F.col("__styles"))
+    return _finish(out, "ass").drop("__text", "__title", "__fields", "__styles", "__events", "__cues")
 
 
 PARSERS = {"srt": parse_srt, "vtt": parse_vtt, "lrc": parse_lrc, "sbv": parse_sbv, "ass": parse_ass, "ssa": parse_ass}
