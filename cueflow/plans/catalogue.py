@@ -530,7 +530,7 @@ def dedupe_paths(spark, sf_dir):
 
 _BYTES = [("", "UTF-8", "", False), ("EFBBBFE4B8ADE69687", "UTF-8 BOM", "\u4e2d\u6587", True), ("FFFE2D4E8765", "UTF-16 LE", "\u4e2d\u6587", True), ("41004200", "UTF-16 LE", "AB", False), ("2D4E8765", "UTF-16 LE", "\u4e2d\u6587", False),
     ("4E2D6587", "UTF-16 BE", "\u4e2d\u6587", False), ("FFFE000048000000690000002D4E0000", "UTF-32 LE", "Hi\u4e2d", True), ("0000FEFF0000004800000069", "UTF-32 BE", "Hi", True), ("D6D0CEC4", "GBK", "\u4e2d\u6587", False),
-    ("95328236", "GB18030", "\U00020000", False), ("93FA967B", "Shift_JIS", "\u65e5\u672c", False), ("636166E9", "Windows-1252", "caf\u00e9", False), ("FFFEFFFFFF", None, None, False), ("818D90", None, None, False)]
+    ("95328236", "GB18030", "\U00020000", False), ("93FA967B", "Shift_JIS", "\u65e5\u672c", False), ("636166E9", "Windows-1252", "caf\u00e9", False), ("FFFEFFFFFF", None, None, False), ("818D90", None, None, False), ("4101E9", "Windows-1252", "A\u0001\u00e9", False), ("0101E9", None, None, False), ("8FB0A1A4A2", "EUC-JP", "\u4e02\u3042", False)]
 _NULL = lambda v: "NULL" if v is None else f"'{v}'"
 
 

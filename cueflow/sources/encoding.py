@@ -7,6 +7,7 @@ is sent to Python, where byte counts and code tables of old encodings are needed
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -45,26 +46,27 @@ def _try(data: bytes, codec: str) -> str | None:
         return None
 
 
+#: Runs of ASCII, and what starts with another byte: two bytes, or four if the second is a digit; what is cut off is no character.
+_GB_TOKEN = re.compile(rb"[\x00-\x7f]+|\x80|[\x81-\xff][0-9](?:[\s\S]{2})?|[\x81-\xff][\s\S]?")
+#: Lead bytes of pairs that other encodings use too.
+_DOUBTFUL = frozenset([*range(0x81, 0xA0), *range(0xE0, 0xF0)])
+
+
 def decode_gb18030(data: bytes) -> tuple[str | None, bool, int]:
-    """(text or None if invalid, whether any four-byte sequence, pairs that other encodings use too)."""
-    out, at, four, doubtful = [], 0, False, 0
-    while at < len(data):
-        b = data[at]
-        if b < 0x80:
-            piece, size = chr(b), 1
-        elif b == 0x80:
-            piece, size = "\u20ac", 1
-        elif 0x30 <= (data[at + 1] if at + 1 < len(data) else 0) <= 0x39:
-            piece, size = _try(data[at : at + 4], "gb18030"), 4
-            four = True
-        else:
-            piece, size = _try(data[at : at + 2], "gbk"), 2
-            doubtful += 0x81 <= b <= 0x9F or 0xE0 <= b <= 0xEF
-        if not piece or len(piece) != 1 or at + size > len(data):
-            return None, four, doubtful
-        out.append(piece)
-        at += size
-    return "".join(out), four, doubtful
+    """(text or None if invalid, whether any four-byte sequence, pairs that other encodings use too).
+
+    The bytes are cut into sequences by one pattern; each distinct sequence is looked up once.
+    """
+    tokens = _GB_TOKEN.findall(data)
+    counts = Counter(tokens)
+    pairs = [t for t in counts if t[0] > 0x80]
+    table = {t: t.decode("ascii") if t[0] < 0x80 else "\u20ac" for t in counts if t[0] <= 0x80}
+    table |= {t: _try(t, "gb18030" if len(t) == 4 else "gbk") or "" for t in pairs}
+    four = any(len(t) == 4 for t in pairs)
+    doubtful = sum(counts[t] for t in pairs if len(t) == 2 and t[0] in _DOUBTFUL)
+    if any(len(table[t]) != 1 for t in pairs):
+        return None, four, doubtful
+    return "".join(map(table.__getitem__, tokens)), four, doubtful
 
 
 def _windows1252(data: bytes, most: float) -> str | None:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from cueflow.functions.names import admitted, base_name, directory, extensions
+from cueflow.functions.names import FORMATS, admitted, base_name, directory, extensions
 from cueflow.operators.detect import detect
 from cueflow.operators.ordered import running, sliced
 from cueflow.sources.encoding import decode
@@ -30,6 +30,11 @@ def glob() -> str:
     return "*.{" + ",".join(map(any_case, extensions())) + "}"
 
 
+def type_filters() -> dict[str, list[str]]:
+    """What a user may pick from, as patterns of names: each format's own extension, and all files."""
+    return {"Subtitles and lyrics": [f"*.{f.extension}" for f in FORMATS.values()], "All files": ["*"]}
+
+
 def _status(spark: SparkSession, path: str):
     """What the file system says of a path; None if it is missing or can't be looked at."""
     from py4j.protocol import Py4JJavaError
@@ -68,9 +73,9 @@ def _binary(spark: SparkSession):
     return spark.read.format("binaryFile").option("recursiveFileLookup", "false").option("ignoreMissingFiles", "true").option("ignoreCorruptFiles", "true")
 
 
-def read_folder(spark: SparkSession, folder: str) -> DataFrame:
-    """path, length and content of a folder's own files (not of its subfolders) with a registered extension."""
-    return _binary(spark).option("pathGlobFilter", glob()).load(folder).select("path", "length", "content")
+def read_folder(spark: SparkSession, folder: str, pattern: str | None = None) -> DataFrame:
+    """path, length and content of a folder's own files (not of its subfolders) with a registered extension, or whose names fit ``pattern``."""
+    return _binary(spark).option("pathGlobFilter", pattern or glob()).load(folder).select("path", "length", "content")
 
 
 def read_paths(spark: SparkSession, paths: list[str]) -> DataFrame:

@@ -36,6 +36,8 @@ def test_folders_and_files_together(spark, folder):
     assert {k[1] for k in read} == {"noext", "A.Srt", "b.srt", "c.SRT", "e.SubRip", "gone.srt"} and len(read) == 7
     assert [k[1] for k, v in read.items() if v is None] == ["gone.srt"]
     assert files.read_folder(spark, str(folder)).count() == 4
+    picked = files.type_filters()
+    assert files.read_folder(spark, str(folder), *picked["All files"]).count() == 6 and "*.srt" in picked["Subtitles and lyrics"] and len(picked["Subtitles and lyrics"]) == 6
     assert files.read_paths(spark, [f"{folder}/gone.srt"]).count() == 1
 
 
@@ -153,6 +155,15 @@ def test_format_of_ones_own(spark):
     assert "qsv" not in FORMATS
 
 
+def test_clock_values_that_raise(spark):
+    from cueflow.functions.timecode import parse_ms_or_raise
+
+    df = spark.createDataFrame([("00:00:01,5",), (None,)], "raw string")
+    assert [r.ms for r in df.select(parse_ms_or_raise(F.col("raw")).alias("ms")).collect()] == [1500, None]
+    with pytest.raises(Exception, match="no clock value: 1:2"):
+        spark.createDataFrame([("1:2",)], "raw string").select(parse_ms_or_raise(F.col("raw"))).collect()
+
+
 def test_options_are_kept(tmp_path):
     path, options = str(tmp_path / "options.json"), Options(target="ass", offset_ms=-5, strip_media=True)
     options.save(path)
