@@ -17,7 +17,7 @@ from cueflow.functions.text import ENTITIES, TAG
 #: In the order in which tags open.
 STYLES = ("bold", "italic", "underline", "strikethrough")
 # Tags and override commands by style.
-_OF_TAG = {"i": "italic", "em": "italic", "b": "bold", "strong": "bold", "u": "underline", "s": "strikethrough", "strike": "strikethrough", "del": "strikethrough"}
+OF_TAG = {"i": "italic", "em": "italic", "b": "bold", "strong": "bold", "u": "underline", "s": "strikethrough", "strike": "strikethrough", "del": "strikethrough"}
 _TAG_OF = {"bold": "b", "italic": "i", "underline": "u", "strikethrough": "s"}
 _OF_COMMAND = {"b": "bold", "i": "italic", "u": "underline", "s": "strikethrough"}
 _ASS_ORDER = ("italic", "bold", "underline", "strikethrough")
@@ -66,7 +66,7 @@ def scan_html(raw: str, entities: bool = False) -> tuple[str, list[Range]]:
     out, at, ranges, open_ = [], 0, [], []
     for m in _TOKEN.finditer(raw):
         if m["tag"]:
-            style = _OF_TAG.get(m[3].lower())
+            style = OF_TAG.get(m[3].lower())
             if style and not m[2]:
                 open_.append((style, at))
             elif style:

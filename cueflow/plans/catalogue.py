@@ -10,8 +10,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cueflow.functions import markup, names, timecode
+from cueflow.functions import names, timecode
 from cueflow.functions import text as tx
+from cueflow.functions.emphasis import scanned_html
 from cueflow.operators import detect, loss, model, paths
 from cueflow.plans import convert as cv
 from cueflow.plans.parse import by_format, cues_of, documents_from_cues, parse
@@ -268,7 +269,7 @@ def inline_style_ranges(spark, sf_dir):
         .when(k == 3, F.concat(F.lit("x</b><b></b>"), t))
         .otherwise(F.concat(F.lit("<s>\U00020000</s>y"), t))
     )
-    s = F.get(markup.scanner("html")(F.array(raw)), F.lit(0))
+    s = scanned_html(raw)
     one = lambda r: F.concat(r["start"].cast("string"), F.lit("-"), r["end"].cast("string"), F.lit(":"), F.array_join(r["styles"], "+"))
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", s.alias("s"))
     return rows.select("conv_id", "turn", F.array_join(F.transform("s.inline_styles", one), "|").alias("ranges"), F.col("s.text").alias("text"))

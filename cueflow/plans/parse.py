@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from cueflow.functions import markup
 from cueflow.functions.asslines import with_sections
+from cueflow.functions.emphasis import scanned_html
 from cueflow.functions.recorded import recorded
 from cueflow.functions.text import HS, WS, ass_plain, field_ci, has_visible_text, last_wins, let, normalize, strip_overrides, strip_tags, trim_ws
 from cueflow.functions.timecode import parse_ms
@@ -80,7 +81,9 @@ def _finish(df: DataFrame, scan: str) -> DataFrame:
     strip = (lambda r: r) if scan == "ass" else strip_overrides
     marked = F.exists("raw_cues", lambda c: c["raw"].rlike(mark)) & F.col("error").isNull()
     df = df.withColumn("__texts", F.when(marked, F.transform("raw_cues", lambda c: strip(c["raw"]))))
-    df = df.withColumn("__scanned", markup.scanner(scan)(F.col("__texts")))
+    # Override blocks hold nested parentheses, which take a scanner in Python.
+    scanned = markup.scanner(scan)(F.col("__texts")) if scan == "ass" else F.transform("__texts", lambda t: scanned_html(t, scan == "html_entities"))
+    df = df.withColumn("__scanned", scanned)
 
     def cue(c: Column, text: Column, ranges: Column, position: Column) -> Column:
         return F.struct(c["start_ms"], c["end_ms"], text, ranges, c["style_ref"], position, c["metadata"]).cast(CUE)
