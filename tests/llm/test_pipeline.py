@@ -57,3 +57,12 @@ def test_whole(spark, sf_dir):
     lines = {r.doc_id: set((given[r.doc_id] or "").split("\n")) for r in out}
     assert all(set(r.text.split("\n")) <= lines[r.doc_id] | {""} for r in out)
     assert len({hashlib.sha256(r.text.encode()).digest() for r in out}) == len(out)
+
+
+def test_quality_stage_keeps_what_scores(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    good = {r.doc_id for r in quality.score_quality(docs, labels).collect() if r.predicted}
+    kept = corpus_pipeline.quality_stage(spark, docs, sf_dir).collect()
+    assert {r.doc_id for r in kept} == good and len(kept) == len(good) and 0 < len(good) < docs.count()
+    given = {r.doc_id: r for r in docs.collect()}
+    assert all(r == given[r.doc_id] for r in kept)
