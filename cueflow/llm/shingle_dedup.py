@@ -28,6 +28,8 @@ BANDS, ROWS = 20, 5
 SMALL, LEADERS = 8, 3
 #: Slots in which shingles are counted, only to put them in order: any order finds all pairs, the rare ones first make few.
 SLOTS = 1 << 18
+#: Shingles of the nodes that are compared with others at once.
+PACK = 1 << 15
 
 _SPACE = space_table()
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -114,8 +116,8 @@ def _counts(sets: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(found[some])], ["slot", "n"])
 
     out = np.zeros(SLOTS, np.int64)
-    found = in_batches(sets.select("shingles"), run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    out[found["slot"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    found = in_batches(sets.select("shingles"), run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out[found.column("slot").to_numpy()] = found.column("n").to_numpy()
     return out
 
 
@@ -145,25 +147,74 @@ def _prefixes(sets: DataFrame, least: float) -> DataFrame:
     return in_batches(sets.select("node", "shingles"), run, "token bigint, node bigint, size bigint, pos bigint, short boolean")
 
 
+def _packs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """big and pack (an array of node and shingles) of ``nodes`` (big, node, size): packs of about PACK shingles each."""
+    parts = nodes.groupBy("big").agg(F.ceil(F.sum("size") / PACK).alias("parts")).withColumnRenamed("big", "of")
+    dealt = nodes.join(parts, F.col("big") == F.col("of")).select("big", "node", F.pmod(F.xxhash64("node"), "parts").alias("part"))
+    held = sets.select(F.col("node").alias("own"), "shingles")
+    return dealt.join(held, F.col("node") == F.col("own")).groupBy("big", "part").agg(F.collect_list(F.struct("node", "shingles")).alias("pack")).select("big", "pack")
+
+
+def _linked(one: DataFrame, two: DataFrame, least: float) -> DataFrame:
+    """The links (a, b) between the packs of ``one`` and of ``two`` that have the same ``big``."""
+    both = one.withColumnRenamed("pack", "first").join(two.select(F.col("big").alias("of"), F.col("pack").alias("second")), F.col("big") == F.col("of")).select("first", "second")
+
+    def unpacked(pack):
+        nodes, sets = pack.values.field(0).to_numpy(), [np.frombuffer(x.as_buffer(), np.uint64) for x in pack.values.field(1)]
+        return nodes, sets, np.array([len(x) for x in sets], np.int64)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            found = []
+            for i in range(b.num_rows):
+                nodes, sets, size = unpacked(b.column(0)[i])
+                joined, at = np.concatenate(sets), np.cumsum(size) - size
+                for node, own, n in zip(*unpacked(b.column(1)[i]), strict=True):
+                    place = np.searchsorted(own, joined)
+                    place[place == n] = 0
+                    common = np.add.reduceat(own[place] == joined, at, dtype=np.int64)
+                    found += [(int(min(node, x)), int(max(node, x))) for x in nodes[common >= least * (size + n - common)]]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return in_batches(both, run, "a bigint, b bigint")
+
+
 def across(sets: DataFrame, clusters: DataFrame, least: float) -> DataFrame:
-    """All pairs (a, b), a < b, of nodes of different clusters that can have a similarity of ``least``; more than those that have.
+    """All links (a, b), a < b, between nodes of different clusters that are of similarity ``least`` or more.
 
-    ``sets`` has node and shingles, ``clusters`` node and root; a node without a row there is a cluster by itself.
+    ``sets`` has node and shingles, ``clusters`` node and root; a node without a row there is a cluster by itself. Two clusters
+    that share first shingles meet in packs of nodes, or by each shingle's nodes, whichever makes fewer pairs; either finds all.
     """
     tokens = _prefixes(sets, least).join(clusters.select(F.col("node").alias("of"), "root"), F.col("node") == F.col("of"), "left")
     tokens = cut(tokens.select("token", "node", "size", "pos", "short", F.coalesce("root", "node").alias("root")), "prefixes")
-    # Shingles of one cluster alone join nothing; each cluster's rows of the others meet those of the others only.
+    # Shingles of one cluster alone join nothing.
     mixed = tokens.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.bool_or("short").alias("some")).filter("lo < hi AND some").select("token")
     kept = cut(tokens.join(mixed, "token", "left_semi"), "mixed")
-    roots = kept.groupBy("token", "root").agg(F.bool_or("short").alias("short"))
-    side = lambda df, x: df.select(F.col("token").alias(f"t{x}"), *[F.col(c).alias(f"{c}{x}") for c in df.columns if c != "token"])
-    facing = side(roots.filter("short"), 1).join(side(roots, 2), (F.col("t1") == F.col("t2")) & (F.col("root1") != F.col("root2"))).select(F.col("t1").alias("token"), F.col("root1").alias("r1"), F.col("root2").alias("r2"))
-    one = facing.join(side(kept.filter("short"), 1), (F.col("token") == F.col("t1")) & (F.col("r1") == F.col("root1")))
-    smaller = (F.col("size1") < F.col("size2")) | ((F.col("size1") == F.col("size2")) & (F.col("node1") < F.col("node2")))
-    need = least / (1 + least) * (F.col("size1") + F.col("size2")) - 1e-6
-    fits = smaller & (F.col("size1") >= least * F.col("size2") - 1e-6) & (F.least(F.col("size1") - F.col("pos1"), F.col("size2") - F.col("pos2")) >= need)
-    both = one.join(side(kept, 2), (F.col("token") == F.col("t2")) & (F.col("r2") == F.col("root2")) & fits)
-    return both.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
+    side = lambda df, x: df.select(*[F.col(c).alias(f"{c}{x}") for c in df.columns])
+    roots = kept.groupBy("token", "root").agg(F.count_if("short").alias("short"), F.count(F.lit(1)).alias("n"))
+    apart = (F.col("token1") == F.col("token2")) & (F.col("root1") != F.col("root2"))
+    facing = cut(side(roots.filter("short > 0"), 1).join(side(roots, 2), apart).select(F.col("token1").alias("token"), F.col("root1").alias("r1"), F.col("root2").alias("r2"), (F.col("short1") * F.col("n2")).alias("rows")), "facing")
+    heads = kept.groupBy("node", "root", "size").agg(F.lit(1).alias("one")).drop("one")
+    many = heads.groupBy("root").agg(F.count(F.lit(1)).alias("many"))
+    costs = facing.groupBy("r1", "r2").agg(F.sum("rows").alias("rows"))
+    costs = costs.join(side(many, 1), F.col("r1") == F.col("root1")).join(side(many, 2), F.col("r2") == F.col("root2"))
+    larger = (F.col("many1") > F.col("many2")) | ((F.col("many1") == F.col("many2")) & (F.col("r1") > F.col("r2")))
+    of = lambda x, y: F.when(larger, F.col(x)).otherwise(F.col(y))
+    whole = cut(costs.filter(F.col("many1") * F.col("many2") <= F.col("rows")).select("r1", "r2", of("r1", "r2").alias("big"), of("r2", "r1").alias("little")), "whole")
+    bigs = whole.select("big").distinct()
+    inside = heads.join(bigs, F.col("root") == F.col("big")).select("big", "node", "size")
+    beside = whole.select("big", "little").distinct().join(heads, F.col("little") == F.col("root")).select("big", "node", "size")
+    packed = _linked(_packs(inside, sets), _packs(beside, sets), least)
+    size1, size2 = F.col("size1"), F.col("size2")
+    smaller = (size1 < size2) | ((size1 == size2) & (F.col("node1") < F.col("node2")))
+    rest = facing.join(whole.select(F.col("r1").alias("w1"), F.col("r2").alias("w2")), (F.col("r1") == F.col("w1")) & (F.col("r2") == F.col("w2")), "left_anti")
+    one = rest.join(side(kept.filter("short"), 1), (F.col("token") == F.col("token1")) & (F.col("r1") == F.col("root1")))
+    fits = smaller & (size1 >= least * size2 - 1e-6) & (F.least(size1 - F.col("pos1"), size2 - F.col("pos2")) >= least / (1 + least) * (size1 + size2) - 1e-6)
+    by_token = one.join(side(kept, 2), (F.col("token") == F.col("token2")) & (F.col("r2") == F.col("root2")) & fits)
+    pairs = by_token.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
+    return packed.unionAll(similar(pairs, sets, least)).distinct()
 
 
 def _with_nodes(docs: DataFrame, keys: bool) -> DataFrame:
@@ -220,23 +271,31 @@ def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return in_batches(both, run, "a bigint, b bigint")
 
 
-def links(docs: DataFrame, nodes: DataFrame, least: float = LEAST) -> DataFrame:
-    """Pairs (a, b) of nodes of similarity ``least`` or more; they connect all nodes that pairs of one band group connect."""
+def clusters_of(docs: DataFrame, nodes: DataFrame, least: float = LEAST) -> DataFrame:
+    """node and root of every node that is linked: root is the smallest node that chains of links of similarity ``least`` or more reach."""
     pairs, crowded = (cut(x, name) for x, name in zip(candidates(nodes), ("pairs", "crowded"), strict=True))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("want")).unionAll(crowded.select(F.col("node").alias("want"))).distinct()
     sets = cut(_sets(docs, wanted), "sets")
-    found = cut(similar(pairs, sets, least), "links")
-    clusters = components(found)
-    many = sets.join(crowded.select(F.col("node").alias("of")), F.col("node") == F.col("of"), "left_semi")
-    rest = cut(across(cut(many, "crowded-sets"), clusters, least), "rest")
-    return found.unionAll(similar(rest, sets, least))
+    clusters = components(similar(pairs, sets, least))
+    many = cut(sets.join(crowded.select(F.col("node").alias("of")), F.col("node") == F.col("of"), "left_semi"), "crowded-sets")
+    if many.isEmpty():
+        return clusters
+    more = cut(across(many, clusters, least), "more-links")
+    if more.isEmpty():
+        return clusters
+    # Clusters that are linked after all are nodes of a smaller graph; a node of no cluster stands for itself.
+    root = lambda x: clusters.select(F.col("node").alias(f"n{x}"), F.col("root").alias(f"r{x}"))
+    met = more.join(root(1), F.col("a") == F.col("n1"), "left").join(root(2), F.col("b") == F.col("n2"), "left")
+    above = components(met.select(F.coalesce("r1", "a").alias("a"), F.coalesce("r2", "b").alias("b"))).select(F.col("node").alias("over"), F.col("root").alias("top"))
+    lower = clusters.unionByName(clusters.select(F.col("root").alias("node"), "root")).unionByName(more.select(F.explode(F.array("a", "b")).alias("node")).join(root(1), F.col("node") == F.col("n1"), "left_anti").select("node", F.col("node").alias("root"))).distinct()
+    return lower.join(above, F.col("root") == F.col("over"), "left").select("node", F.coalesce("top", "root").alias("root")).distinct()
 
 
 def _rooted(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     """All rows (doc_id, row, node), and (node, root) of every node."""
     prints = cut(_with_nodes(docs, True), "shingles")
     distinct = prints.groupBy("node").agg(F.first("keys").alias("keys"))
-    found = components(links(docs, distinct, least)).withColumnRenamed("node", "of")
+    found = clusters_of(docs, distinct, least).withColumnRenamed("node", "of")
     rooted = prints.select("node").distinct().join(found, F.col("node") == F.col("of"), "left").select("node", F.coalesce("root", "node").alias("root"))
     return prints.select("doc_id", "row", "node"), rooted
 
