@@ -29,7 +29,7 @@ SMALL, LEADERS = 8, 3
 #: Slots in which shingles are counted, only to put them in order: any order finds all pairs, the rare ones first make few.
 SLOTS = 1 << 18
 #: Shingles of the nodes that are compared with others at once.
-PACK = 1 << 15
+PACK = 1 << 13
 
 _SPACE = space_table()
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -38,6 +38,18 @@ _FACTORS = np.random.default_rng(11).integers(0, 1 << 63, BANDS * ROWS, np.uint6
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _freed(df: DataFrame, run, schema: str) -> DataFrame:
+    """``in_batches``, after which a task's worker gives back the memory that its batches took."""
+
+    def task(batches):
+        import pyarrow as pa
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return in_batches(df, task, schema)
+
+
 def shingle_sets(column, shingle: int = SHINGLE) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of the shingles of each text of an Arrow column.
 
@@ -116,7 +128,7 @@ def _counts(sets: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(found[some])], ["slot", "n"])
 
     out = np.zeros(SLOTS, np.int64)
-    found = in_batches(sets.select("shingles"), run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    found = _freed(sets.select("shingles"), run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     out[found.column("slot").to_numpy()] = found.column("n").to_numpy()
     return out
 
@@ -144,7 +156,7 @@ def _prefixes(sets: DataFrame, least: float) -> DataFrame:
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["token", "node", "size", "pos", "short"])
 
-    return in_batches(sets.select("node", "shingles"), run, "token bigint, node bigint, size bigint, pos bigint, short boolean")
+    return _freed(sets.select("node", "shingles"), run, "token bigint, node bigint, size bigint, pos bigint, short boolean")
 
 
 def _packs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
@@ -178,7 +190,7 @@ def _linked(one: DataFrame, two: DataFrame, least: float) -> DataFrame:
                     found += [(int(min(node, x)), int(max(node, x))) for x in nodes[common >= least * (size + n - common)]]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return in_batches(both, run, "a bigint, b bigint")
+    return _freed(both, run, "a bigint, b bigint")
 
 
 def across(sets: DataFrame, clusters: DataFrame, least: float) -> DataFrame:
@@ -230,7 +242,7 @@ def _with_nodes(docs: DataFrame, keys: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), node, last], ["doc_id", "row", "node", "keys" if keys else "text"])
 
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _row().alias("row"), "text")
-    return in_batches(slim, run, f"doc_id bigint, row bigint, node bigint, {'keys array<bigint>' if keys else 'text string'}")
+    return _freed(slim, run, f"doc_id bigint, row bigint, node bigint, {'keys array<bigint>' if keys else 'text string'}")
 
 
 def _row():
@@ -251,7 +263,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     # Rows whose node is not wanted drop out before anything is shuffled but the wanted nodes.
     texts = _with_nodes(docs, False).join(wanted, F.col("node") == F.col("want"), "left_semi")
     # Texts of one node have one set; any of them stands for it.
-    return in_batches(texts.dropDuplicates(["node"]).select("text"), run, "node bigint, shingles binary")
+    return _freed(texts.dropDuplicates(["node"]).select("text"), run, "node bigint, shingles binary")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -268,7 +280,7 @@ def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             mask = pa.array([similarity(x, y) >= least for x, y in zip(read(2), read(3), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([pc.filter(b.column(i), mask) for i in (0, 1)], ["a", "b"])
 
-    return in_batches(both, run, "a bigint, b bigint")
+    return _freed(both, run, "a bigint, b bigint")
 
 
 def clusters_of(docs: DataFrame, nodes: DataFrame, least: float = LEAST) -> DataFrame:
