@@ -122,7 +122,7 @@ def normalized_path(path: Column) -> Column:
 
 def absolute_path(path: Column, folder: str) -> Column:
     """One spelling for all of one file: a relative path below ``folder``, normalized, with its ``..`` steps taken."""
-    rooted = path.rlike(r"\A(?:[/\\]|[A-Za-z][A-Za-z0-9+.-]*:)")
+    rooted = path.rlike(r"\A(?:[/\\]|[A-Za-z][A-Za-z0-9+.-]*:[/\\])")
     p = normalized_path(F.when(rooted, path).otherwise(F.concat(F.lit(folder.rstrip("/") + "/"), path)))
     none = F.expr("cast(array() as array<string>)")
     back = lambda a, x: F.when((x == "..") & (F.size(a) > 1), F.slice(a, F.lit(1), F.size(a) - 1)).when(x == "..", a).otherwise(F.array_append(a, x))
