@@ -1,8 +1,10 @@
-"""Emphasis of HTML-like tags as ranges, in expressions: a sweep over tag events with a mask of styles.
+"""Emphasis in expressions: tags as ranges, and ranges as tags or override commands.
 
-A text is cut into tags, entities and what lies between. One fold over these tokens keeps the place (in UTF-16 units), the
-openings that wait for their end, and the ranges that have ended; the ranges' borders cut the text into
-segments, each with the mask of the styles that cover it, and neighbours of one mask become one.
+Reading is a sweep over tag events with a mask of styles. A text is cut into tags, entities and what lies between.
+One fold over these tokens keeps the place (in UTF-16 units), the openings that wait for their end, and the ranges
+that have ended; the ranges' borders cut the text into segments, each with the mask of the styles that cover it,
+and neighbours of one mask become one.
+Writing is a fold over such segments, with the styles that are open as a short string of their letters.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from cueflow.functions.markup import OF_TAG, STYLES
-from cueflow.functions.text import TAG, decode_entities, let, utf16_length
+from cueflow.functions.text import TAG, ass_escape, decode_entities, escape_entities, fold_newlines, let, utf16_length
 
 _TOKEN = rf"{TAG}|&(?:#[0-9]{{1,7}}|#[xX][0-9a-fA-F]{{1,6}}|[a-zA-Z][a-zA-Z0-9]{{1,31}});|\r\n?|[^<&\r]+|[<&]"
 _IS_TAG = rf"\A{TAG}\z"
@@ -85,3 +87,62 @@ def scanned_html(raw: Column, entities: bool = False) -> Column:
     ranges = lambda events: F.transform(disjoint(_swept(events)), lambda r: F.struct(r["s"].alias("start"), r["e"].alias("end"), named(r["mask"]).alias("styles")))
     position = F.expr("cast(null as struct<alignment:int,x:double,y:double>)")
     return let(_events(raw, entities), lambda e: F.struct(F.array_join(F.transform(e, lambda x: x["piece"]), "").alias("text"), ranges(e).alias("inline_styles"), position.alias("position")))
+
+
+#: The letters of tags, in the order in which they open, and of override commands, in theirs; bits as in STYLES.
+_HTML_LETTERS, _ASS_LETTERS = (("b", 0), ("i", 1), ("u", 2), ("s", 3)), (("i", 1), ("b", 0), ("u", 2), ("s", 3))
+
+
+def _without(letters: Column, others: Column) -> Column:
+    return F.call_function("translate", letters, others, F.lit(""))
+
+
+def _drawn(text: Column, ranges: Column, letters: tuple, opening: str, closing: str, nested: bool, safe) -> Column:
+    """``text`` with ``opening`` and ``closing`` (of a letter, $1) where styles begin and end; offsets beyond the text are clamped.
+
+    ``nested``: styles end in the reverse order of their beginning, else in the reverse order of ``letters``.
+    """
+    length = utf16_length(text)
+
+    def drawn(t: Column) -> Column:
+        n = t["n"]
+        plain = n == F.char_length(t["text"])
+        wide = lambda a, b: F.decode(F.substring(F.encode(t["text"], "UTF-16BE"), 2 * a + 1, 2 * (b - a)), "UTF-16BE")
+        piece = lambda a, b: safe(F.when(plain, F.substring(t["text"], a + 1, b - a)).otherwise(wide(a, b)))
+        bits = lambda styles: sum((F.when(F.array_contains(styles, s), F.lit(1 << i)).otherwise(0) for i, s in enumerate(STYLES)), F.lit(0))
+        spans = F.transform(ranges, lambda r: F.struct(F.greatest(r["start"], F.lit(0)).alias("s"), F.least(r["end"], n).alias("e"), bits(r["styles"]).alias("mask")).cast(_SPAN))
+        named = lambda mask: F.concat(*[F.when(F.getbit(mask, F.lit(i)) == 1, F.lit(c)).otherwise("") for c, i in letters])
+        tags = lambda those, what: F.regexp_replace(those, "(.)", what)
+        ends = lambda those: tags(F.reverse(those), closing)
+        state = lambda at, out, stack: F.struct(at.alias("at"), out.alias("out"), stack.alias("stack"))
+
+        def styled(p: Column, out: Column, stack: Column, own: Column) -> Column:
+            after = F.concat(_without(stack, _without(stack, own)), _without(own, stack)) if nested else own
+            return state(p["e"], F.concat(out, ends(_without(stack, own)), tags(_without(own, stack), opening), piece(p["s"], p["e"])), after)
+
+        def step(a: Column, p: Column) -> Column:
+            # What lies between two ranges has no style.
+            between = state(p["s"], F.concat(a["out"], ends(a["stack"]), piece(a["at"], p["s"])), F.lit(""))
+            return let(F.when(p["s"] > a["at"], between).otherwise(a), lambda b: let(named(p["mask"]), lambda own: styled(p, b["out"], b["stack"], own)))
+
+        return let(F.aggregate(disjoint(spans), state(F.lit(0), F.lit(""), F.lit("")), step), lambda a: F.concat(a["out"], ends(a["stack"]), piece(a["at"], n)))
+
+    return let(F.struct(text.alias("text"), length.alias("n")), drawn)
+
+
+def drawn_html(text: Column, ranges: Column, escape: bool = False) -> Column:
+    """``text`` with tags; styles open in one order, and at a border those that end are closed, the latest first, and no other."""
+    return let(fold_newlines(text), lambda t: _drawn(t, ranges, _HTML_LETTERS, "<$1>", "</$1>", True, escape_entities if escape else lambda p: p))
+
+
+def _number(v: Column) -> Column:
+    """Whole numbers without their point, others in digits alone."""
+    far = F.regexp_replace(v.try_cast("decimal(38,18)").cast("string"), r"\.?0+\z", "")
+    return F.when(v == F.floor(v), v.try_cast("decimal(38,0)").cast("string")).when(F.abs(v).between(0.001, 9_999_999), v.cast("string")).otherwise(F.coalesce(far, v.cast("string")))
+
+
+def drawn_ass(text: Column, ranges: Column, position: Column) -> Column:
+    """The text field of an ASS line: override blocks for a position, an alignment and emphasis, and the escaped text."""
+    aligned = F.when(position["alignment"].isNotNull(), F.concat(F.lit("{\\an"), position["alignment"].cast("string"), F.lit("}"))).otherwise("")
+    placed = F.when(position["x"].isNotNull() & position["y"].isNotNull(), F.concat(F.lit("{\\pos("), _number(position["x"]), F.lit(","), _number(position["y"]), F.lit(")}"))).otherwise("")
+    return F.concat(aligned, placed, _drawn(text, ranges, _ASS_LETTERS, "{\\\\$11}", "{\\\\$10}", False, ass_escape))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cueflow.functions import markup
+from cueflow.functions.emphasis import drawn_ass, drawn_html
 from cueflow.functions.recorded import recorded
 from cueflow.functions.text import ass_escape, escape_entities, field_ci, fold_newlines, has_visible_text, let, trim_ws
 from cueflow.functions.timecode import ass_time, lrc_time, sbv_time, srt_time, vtt_time
@@ -47,12 +47,17 @@ def _visible(df: DataFrame, cues: Column) -> DataFrame:
 
 
 def _rendered(df: DataFrame, kind: str, plain) -> DataFrame:
-    """``__lines``: the texts of ``__cues``. Only documents with emphasis or positions are sent to the renderer."""
-    marked = F.exists("__cues", lambda c: (F.size(c["inline_styles"]) > 0) | (c["position"].isNotNull() if kind == "ass" else F.lit(False)))
-    sent = F.when(marked, F.transform("__cues", lambda c: F.struct(c["text"].alias("text"), c["inline_styles"].alias("inline_styles"), c["position"].alias("position"))))
-    df = df.withColumn("__sent", sent).withColumn("__drawn", markup.renderer(kind)(F.col("__sent")))
-    lines = F.when(F.col("__drawn").isNotNull(), F.col("__drawn")).otherwise(F.transform("__cues", lambda c: plain(c["text"])))
-    return df.withColumn("__lines", lines)
+    """``__lines``: the texts of ``__cues``, with tags or override blocks where a cue has emphasis or a position."""
+    def drawn(c: Column) -> Column:
+        if kind == "ass":
+            return drawn_ass(c["text"], c["inline_styles"], c["position"])
+        return drawn_html(c["text"], c["inline_styles"], kind == "html_escaped")
+
+    def line(c: Column) -> Column:
+        marked = (F.size(c["inline_styles"]) > 0) | (c["position"].isNotNull() if kind == "ass" else F.lit(False))
+        return F.when(marked, drawn(c)).otherwise(plain(c["text"]))
+
+    return df.withColumn("__lines", F.transform("__cues", line))
 
 
 def _blocks(df: DataFrame, block) -> Column:
