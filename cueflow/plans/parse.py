@@ -20,7 +20,7 @@ from cueflow.functions.emphasis import scanned_html
 from cueflow.functions.recorded import recorded
 from cueflow.functions.text import HS, WS, ass_plain, field_ci, has_visible_text, last_wins, let, normalize, strip_overrides, strip_tags, trim_ws
 from cueflow.functions.timecode import parse_ms
-from cueflow.sources.staging import spread
+from cueflow.sources.staging import bound_batches, spread
 
 FALLBACK_MS = 5000
 PAIR = "struct<k:string,v:string>"
@@ -246,6 +246,8 @@ PARSERS = {"srt": parse_srt, "vtt": parse_vtt, "lrc": parse_lrc, "sbv": parse_sb
 
 def parse(df: DataFrame, fmt: str) -> DataFrame:
     """``df`` (with a ``text`` column) as documents of one format; ``text`` is dropped."""
+    if PARSERS[fmt] is parse_ass and isinstance(df, DataFrame):
+        bound_batches(df.sparkSession)
     return PARSERS[fmt](df.withColumn("text", F.coalesce("text", F.lit("")))).withColumn("format", F.lit(fmt)).drop("text")
 
 

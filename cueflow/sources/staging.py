@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -76,3 +77,15 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     spark = df.sparkSession
     n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return df.repartition(n, *keys)
+
+
+def bound_batches(spark: SparkSession, rows: int = 1024, size: int = 8 << 20) -> None:
+    """Arrow batches of at most ``rows`` rows and about ``size`` bytes from here on in the session, or fewer where it asks for fewer.
+
+    Spark reads the bounds when a plan runs, not when it is made. Its own bound of 10,000 rows lets batches of files grow with the files.
+    """
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        held = spark.conf.get(name)
+        now = 0 if held.startswith("-") else int(re.sub(r"\D", "", held) or 0)
+        if now <= 0 or now > most:
+            spark.conf.set(name, str(most))
