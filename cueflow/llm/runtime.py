@@ -6,7 +6,7 @@ Tables that cut a lineage go to the folder that the cluster names in ``spark.che
 
 from __future__ import annotations
 
-import re
+import ctypes
 import uuid
 
 import numpy as np
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from cueflow.sources.staging import Staged as Cut
-from cueflow.sources.staging import shared_folder
+from cueflow.sources.staging import bound_batches, shared_folder
 
 #: White space that separates words: the space and U+0009 to U+000D.
 SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -40,17 +40,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
 
 
+def give_back() -> None:
+    """Returns what this process has freed to the machine: a worker lives on beside later tasks' workers and the JVM."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not the GNU library
+        pass
+
+
 def in_batches(df: DataFrame, run, schema: str | StructType) -> DataFrame:
-    """``df.mapInArrow``, with batches of at most BATCH_ROWS rows and about BATCH_BYTES bytes.
+    """``df.mapInArrow``, with batches of at most BATCH_ROWS rows and about BATCH_BYTES bytes; a task's worker gives back what they took."""
+    bound_batches(df.sparkSession, BATCH_ROWS, BATCH_BYTES)
 
-    Spark reads the bounds when the plan runs, not when it is made, so they hold from here on in the session.
-    """
-    conf = df.sparkSession.conf
-    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = int(re.sub(r"\D", "", conf.get(name)) or 0) if not conf.get(name).startswith("-") else 0
-        if now <= 0 or now > most:
-            conf.set(name, str(most))
-    return df.mapInArrow(run, schema)
+    def task(batches):
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(task, schema)
 
 
 def row_and(packed: DataFrame, name: str, more: str) -> StructType:
@@ -84,7 +93,7 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_BLOCK = 1 << 16
+_BLOCK, _GROUP = 1 << 16, 1 << 17
 #: Bytes of the longest span that is hashed by a polynomial.
 SHORT_SPAN = 64
 _up = _down = None
@@ -131,8 +140,8 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     out = np.empty(len(starts), np.uint64)
     at, n = 0, len(starts)
     while at < n:
-        # Spans are taken in groups of about a megabyte so that the running sums stay in the cache.
-        stop = max(at + 1, int(np.searchsorted(starts, starts[at] + (1 << 20))))
+        # Spans are taken in groups of bounded size so that the running sums stay in the cache.
+        stop = max(at + 1, int(np.searchsorted(starts, starts[at] + _GROUP)))
         lo, hi = int(starts[at]), int(ends[stop - 1])
         up, down = _powers(hi - lo + 1)
         run = np.empty(hi - lo + 1, np.uint64)
