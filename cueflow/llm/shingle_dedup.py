@@ -1,7 +1,9 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: MinHash bands find pairs, exact sets decide.
+"""Near-duplicates by the Jaccard similarity of word shingles: SimHash fingerprints and MinHash bands find pairs, exact sets decide.
 
-A text is the set of its 5-word shingles. Texts of one set are one node from the start. Each node has
-BANDS keys, each made of ROWS minimal hashes under functions of their own; nodes that share a key meet.
+A text is the set of its 5-word shingles. Texts of one set are one node from the start. Each node has the SimHash
+fingerprint of ``simhash``, and fingerprints within its radius meet as there, by ball hashing. Of texts of
+similarity 0.8 few are so close: for those each node has BANDS keys, each made of ROWS minimal hashes under
+functions of their own, and nodes that share a key meet.
 Two texts of similarity s share a key with probability 1 - (1 - s ** ROWS) ** BANDS: 0.9996 at 0.8.
 
 In a group of few nodes every pair is looked at. Nodes of larger groups are paired with a few leaders of each
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cueflow.llm.runtime import cut, in_batches, mix, space_table, span_hashes, text_bytes, word_spans
-from cueflow.llm.simhash import components
+from cueflow.llm.simhash import components, fingerprint, links
 
 SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS = 20, 5
@@ -38,18 +40,6 @@ _FACTORS = np.random.default_rng(11).integers(0, 1 << 63, BANDS * ROWS, np.uint6
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _freed(df: DataFrame, run, schema: str) -> DataFrame:
-    """``in_batches``, after which a task's worker gives back the memory that its batches took."""
-
-    def task(batches):
-        import pyarrow as pa
-
-        yield from run(batches)
-        pa.default_memory_pool().release_unused()
-
-    return in_batches(df, task, schema)
-
-
 def shingle_sets(column, shingle: int = SHINGLE) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of the shingles of each text of an Arrow column.
 
@@ -109,6 +99,18 @@ def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs, large.select("node").distinct()
 
 
+def close_prints(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of nodes whose fingerprints are within the radius of ``simhash``; ``nodes`` has node and fp.
+
+    Nodes of one fingerprint are paired with the smallest of them, which stands for all where the fingerprint is linked to another.
+    """
+    heads = cut(nodes.groupBy("fp").agg(F.min("node").alias("head")), "prints")
+    head = lambda x: heads.select(F.col("fp").alias(f"fp_{x}"), F.col("head").alias(f"head_{x}"))
+    same = nodes.join(head("of"), F.col("fp") == F.col("fp_of")).select(F.col("node").alias("x"), F.col("head_of").alias("y"))
+    near = links(heads.select("fp")).join(head("a"), F.col("a") == F.col("fp_a")).join(head("b"), F.col("b") == F.col("fp_b")).select(F.col("head_a").alias("x"), F.col("head_b").alias("y"))
+    return same.unionAll(near).filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def prefix_sizes(size: int, least: float) -> tuple[int, int]:
     """How many of a set's first shingles hold one of every set of similarity ``least``: of sets no smaller, and of any."""
     up = lambda x: math.ceil(x - 1e-9)
@@ -128,7 +130,7 @@ def _counts(sets: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(found[some])], ["slot", "n"])
 
     out = np.zeros(SLOTS, np.int64)
-    found = _freed(sets.select("shingles"), run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    found = in_batches(sets.select("shingles"), run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     out[found.column("slot").to_numpy()] = found.column("n").to_numpy()
     return out
 
@@ -156,7 +158,7 @@ def _prefixes(sets: DataFrame, least: float) -> DataFrame:
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["token", "node", "size", "pos", "short"])
 
-    return _freed(sets.select("node", "shingles"), run, "token bigint, node bigint, size bigint, pos bigint, short boolean")
+    return in_batches(sets.select("node", "shingles"), run, "token bigint, node bigint, size bigint, pos bigint, short boolean")
 
 
 def _packs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
@@ -190,7 +192,7 @@ def _linked(one: DataFrame, two: DataFrame, least: float) -> DataFrame:
                     found += [(int(min(node, x)), int(max(node, x))) for x in nodes[common >= least * (size + n - common)]]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return _freed(both, run, "a bigint, b bigint")
+    return in_batches(both, run, "a bigint, b bigint")
 
 
 def across(sets: DataFrame, clusters: DataFrame, least: float) -> DataFrame:
@@ -230,7 +232,7 @@ def across(sets: DataFrame, clusters: DataFrame, least: float) -> DataFrame:
 
 
 def _with_nodes(docs: DataFrame, keys: bool) -> DataFrame:
-    """doc_id, row (a hash of id and text), node, and the node's keys or the text, of every row."""
+    """doc_id, row (a hash of id and text), node, and the node's keys and fingerprint or the text, of every row."""
 
     def run(batches):
         import pyarrow as pa
@@ -238,11 +240,16 @@ def _with_nodes(docs: DataFrame, keys: bool) -> DataFrame:
         for b in batches:
             sets = shingle_sets(b.column(2))
             node = pa.array([node_of(s) for s in sets], pa.int64())
-            last = pa.array([band_keys(s) if len(s) else [] for s in sets], pa.list_(pa.int64())) if keys else b.column(2)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), node, last], ["doc_id", "row", "node", "keys" if keys else "text"])
+            if keys:
+                bands = pa.array([band_keys(s) if len(s) else [] for s in sets], pa.list_(pa.int64()))
+                prints = np.array([fingerprint(t.as_py(), SHINGLE) for t in b.column(2)], np.uint64).astype(np.int64)
+                last = {"keys": bands, "fp": pa.array(prints)}
+            else:
+                last = {"text": b.column(2)}
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), node, *last.values()], ["doc_id", "row", "node", *last])
 
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _row().alias("row"), "text")
-    return _freed(slim, run, f"doc_id bigint, row bigint, node bigint, {'keys array<bigint>' if keys else 'text string'}")
+    return in_batches(slim, run, f"doc_id bigint, row bigint, node bigint, {'keys array<bigint>, fp bigint' if keys else 'text string'}")
 
 
 def _row():
@@ -263,7 +270,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     # Rows whose node is not wanted drop out before anything is shuffled but the wanted nodes.
     texts = _with_nodes(docs, False).join(wanted, F.col("node") == F.col("want"), "left_semi")
     # Texts of one node have one set; any of them stands for it.
-    return _freed(texts.dropDuplicates(["node"]).select("text"), run, "node bigint, shingles binary")
+    return in_batches(texts.dropDuplicates(["node"]).select("text"), run, "node bigint, shingles binary")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -280,12 +287,13 @@ def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             mask = pa.array([similarity(x, y) >= least for x, y in zip(read(2), read(3), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([pc.filter(b.column(i), mask) for i in (0, 1)], ["a", "b"])
 
-    return _freed(both, run, "a bigint, b bigint")
+    return in_batches(both, run, "a bigint, b bigint")
 
 
 def clusters_of(docs: DataFrame, nodes: DataFrame, least: float = LEAST) -> DataFrame:
     """node and root of every node that is linked: root is the smallest node that chains of links of similarity ``least`` or more reach."""
-    pairs, crowded = (cut(x, name) for x, name in zip(candidates(nodes), ("pairs", "crowded"), strict=True))
+    found, crowded = candidates(nodes)
+    pairs, crowded = cut(found.unionAll(close_prints(nodes)).distinct(), "pairs"), cut(crowded, "crowded")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("want")).unionAll(crowded.select(F.col("node").alias("want"))).distinct()
     sets = cut(_sets(docs, wanted), "sets")
     clusters = components(similar(pairs, sets, least))
@@ -306,7 +314,8 @@ def clusters_of(docs: DataFrame, nodes: DataFrame, least: float = LEAST) -> Data
 def _rooted(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     """All rows (doc_id, row, node), and (node, root) of every node."""
     prints = cut(_with_nodes(docs, True), "shingles")
-    distinct = prints.groupBy("node").agg(F.first("keys").alias("keys"))
+    # Texts of one set may differ in how often they repeat a shingle, so in their fingerprints; the least stands for them.
+    distinct = prints.groupBy("node").agg(F.first("keys").alias("keys"), F.min("fp").alias("fp"))
     found = clusters_of(docs, distinct, least).withColumnRenamed("node", "of")
     rooted = prints.select("node").distinct().join(found, F.col("node") == F.col("of"), "left").select("node", F.coalesce("root", "node").alias("root"))
     return prints.select("doc_id", "row", "node"), rooted

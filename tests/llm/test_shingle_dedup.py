@@ -7,7 +7,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from cueflow.llm.shingle_dedup import prefix_sizes
+from cueflow.llm.shingle_dedup import close_prints, prefix_sizes
 
 
 def _shingles(text):
@@ -98,3 +98,19 @@ def test_similar_sets_share_a_first_element(a, b, least):
         first = min(set(x) & set(y))
         i, j = x.index(first), y.index(first)
         assert i < short and j < whole and min(len(x) - i, len(y) - j) >= least / (1 + least) * (len(x) + len(y)) - 1e-6
+
+
+def test_fingerprints_within_the_radius_are_pairs(spark):
+    """The stage has the pairs of the operator's SimHash balls, of nodes with one fingerprint as of close ones; it had none of them."""
+    rng = random.Random(2)
+    prints = [rng.getrandbits(63) for _ in range(40)]
+    prints += [p ^ (1 << rng.randrange(63)) for p in prints[:20]] + [p ^ 0b11 for p in prints[20:30]] + [p ^ 0b111 << 20 for p in prints[30:]] + prints[:5]
+    rows = [(i * 3, p) for i, p in enumerate(prints)]
+    got = {(r.a, r.b) for r in close_prints(spark.createDataFrame(rows, "node bigint, fp bigint")).collect()}
+    of = dict(rows)
+    assert got and all(a < b and (of[a] ^ of[b]).bit_count() <= 2 for a, b in got)
+    root = {n: n for n in of}
+    find = lambda x: x if root[x] == x else find(root[x])
+    for a, b in got:
+        root[find(a)] = find(b)
+    assert all(find(a) == find(b) for a in of for b in of if (of[a] ^ of[b]).bit_count() <= 2)
