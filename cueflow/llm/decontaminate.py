@@ -2,7 +2,7 @@
 
 All of the corpus, cut into passages, and the whole benchmark make a TF-IDF matrix, in which the
 benchmark's rows weigh more. Its columns are the benchmark's words and hash buckets for all other words;
-document frequencies of both are counted over all documents. A randomised SVD of the matrix (subspace
+document frequencies of both are counted over all documents. A randomised SVD of the whole matrix (subspace
 iteration from a random start) is one Spark aggregation a step, whose result has the size columns x rank.
 A query is the low-rank image of a benchmark passage; a window of a document is a candidate if the
 cosine between the two is high enough. The window's norm is taken over its words that the benchmark has:
@@ -34,14 +34,13 @@ WINDOW, STRIDE = 48, 16
 RANK, EXTRA = 128, 16
 #: Passes of the subspace iteration.
 STEPS = 2
-#: Weight of a document's passage as a row of the matrix; a benchmark passage's is 1.
-BACKGROUND = 0.2
+#: Weight of a document's passage as a row of the matrix; a benchmark passage's is 1. Of more passages than
+#: BACKGROUND_ROWS each weighs less, so that all together weigh as much as so many: the benchmark's rows must not drown.
+BACKGROUND, BACKGROUND_ROWS = 0.2, 1 << 16
 #: Columns of the matrix that the words outside the benchmark are hashed into.
 BUCKET_BITS = 14
-#: Characters of the passages that the space is fitted on, in expectation.
-SAMPLE_CHARS = 20_000_000
-#: Tasks whose sums, each of the size columns x rank, are added up.
-SUMS = 8
+#: Passages in a row of the stored table, and rows of the matrix that are multiplied at once.
+PACKED, AT_ONCE = 512, 64
 #: Least cosine, as a share of the query's own cosine with its passage.
 COSINE = 0.28
 #: A leak: so much of the item in common order, or so much and the answer.
@@ -132,36 +131,21 @@ def _windows(n: int) -> list[tuple[int, int]]:
     return [(s, s + WINDOW) for s in starts]
 
 
-class Rows:
-    """TF-IDF rows of passages of at most WINDOW words: columns and weights, one place for each word."""
-
-    def __init__(self, ids: np.ndarray, first: np.ndarray, size: np.ndarray, weight: np.ndarray, idf: np.ndarray):
-        place = np.arange(WINDOW)
-        there = place < size[:, None]
-        self.column = np.where(there, ids[np.minimum(first[:, None] + place, len(ids) - 1)], 0)
-        w = np.where(there, idf[self.column], 0.0)
-        # The norm is that of tf x idf by distinct word, a word's places sum up to it.
-        row = np.arange(len(first))[:, None]
-        key, tf = np.unique((row * len(idf) + self.column)[there], return_counts=True)
-        norm = np.sqrt(np.bincount(key // len(idf), (tf * idf[key % len(idf)]) ** 2, len(first)))
-        self.weight = (w * (weight / np.maximum(norm, 1e-12))[:, None]).astype(np.float32)
-
-    def times(self, right: np.ndarray) -> np.ndarray:
-        out = np.empty((len(self.column), right.shape[1]))
-        for lo in range(0, len(out), 256):
-            out[lo : lo + 256] = np.matmul(self.weight[lo : lo + 256, None, :], right[self.column[lo : lo + 256]])[:, 0]
-        return out
-
-    def add_back(self, left: np.ndarray, out: np.ndarray) -> None:
-        """Adds the transposed rows times ``left`` to ``out``."""
-        left = left.astype(np.float32)
-        for lo in range(0, len(left), 512):
-            column, weight = self.column[lo : lo + 512].ravel(), self.weight[lo : lo + 512].ravel()
-            order = np.argsort(column)
-            order = order[weight[order] != 0]
-            if len(order):
-                runs = np.flatnonzero(np.diff(column[order], prepend=-1))
-                out[column[order[runs]]] += np.add.reduceat(left[lo + order // WINDOW] * weight[order, None], runs, axis=0)
+def add_image(ids: np.ndarray, size: np.ndarray, weight: float, idf: np.ndarray, right: np.ndarray, out: np.ndarray) -> None:
+    """Adds A' (A ``right``) to ``out``, where A has a TF-IDF row of norm ``weight`` for each passage (``size`` words of ``ids``)."""
+    ends = np.cumsum(size)
+    for lo in range(0, len(size), AT_ONCE):
+        n = min(AT_ONCE, len(size) - lo)
+        row = np.repeat(np.arange(n), size[lo : lo + n])
+        key, tf = np.unique(row * len(idf) + ids[ends[lo] - size[lo] : ends[lo + n - 1]], return_counts=True)
+        row, column = key // len(idf), key % len(idf)
+        value = tf * idf[column]
+        norm = np.sqrt(np.bincount(row, value**2, n))
+        # Of all columns only those that these passages have.
+        used, place = np.unique(column, return_inverse=True)
+        some = np.zeros((n, len(used)), np.float32)
+        some[row, place] = value * (weight / np.maximum(norm, 1e-12))[row]
+        out[used] += some.T @ (some @ right[used])
 
 
 def _gather(df: DataFrame, width: int) -> np.ndarray:
@@ -179,67 +163,70 @@ def _known(items: DataFrame) -> np.ndarray:
     return np.unique(np.concatenate([np.zeros(0, np.uint64), *(words_of(r["text"]) for r in items.select("text").distinct().collect())]))
 
 
-def _statistics(docs: DataFrame, known: Broadcast, share: float) -> DataFrame:
-    """In one reading of ``docs`` (text): rows (column, n) with the documents of a task that hold each column,
-    and rows with the words of passages, each taken with probability ``share``."""
+def _packed(ids: np.ndarray, size: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
+    """The words and the sizes of passages, as the bytes of 32-bit numbers, PACKED passages at a time."""
+    ends = np.cumsum(size)
+    for lo in range(0, len(size), PACKED):
+        part = size[lo : lo + PACKED]
+        yield ids[ends[lo] - size[lo] : ends[lo + len(part) - 1]].astype(np.int32).tobytes(), part.astype(np.int32).tobytes()
+
+
+def _statistics(docs: DataFrame, known: Broadcast) -> DataFrame:
+    """In one reading of ``docs`` (text): rows (column, n) with the documents of a task that hold each column, a row of
+    column -1 with the number of its passages, and rows (words, sizes) with all passages (see ``_packed``)."""
 
     def run(batches):
         import pyarrow as pa
-        from pyspark import TaskContext
 
+        kinds, names = (pa.int64(), pa.int64(), pa.binary(), pa.binary()), ["column", "n", "words", "sizes"]
         look, columns = Lookup(known.value), len(known.value) + (1 << BUCKET_BITS)
-        draw, df = np.random.default_rng([7, TaskContext.get().partitionId()]), np.zeros(columns, np.int64)
+        df, total = np.zeros(columns, np.int64), 0
         for part in _small_parts(batches):
             h, at = word_ids(part.column(0))
             ids, n = look(h), np.diff(at)
             doc = np.repeat(np.arange(len(n)), n)
             df += np.bincount(np.unique(doc * columns + ids) % columns, minlength=columns)
+            # The words of all texts in a row, cut every WINDOW words of a text.
             passages = -(-n // WINDOW)
-            first = np.repeat(at[:-1] - WINDOW * (np.cumsum(passages) - passages), passages) + WINDOW * np.arange(int(passages.sum()))
-            taken = np.flatnonzero(draw.random(len(first)) < share)
-            size = np.minimum(first[taken] + WINDOW, np.repeat(at[1:], passages)[taken]) - first[taken]
-            words = ids[np.repeat(first[taken] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(words))
-            none = pa.nulls(len(taken), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, lists], ["column", "n", "words"])
+            size = np.full(int(passages.sum()), WINDOW)
+            size[np.cumsum(passages)[n > 0] - 1] = (n - (passages - 1) * WINDOW)[n > 0]
+            total += len(size)
+            for words, sizes in _packed(ids, size):
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((None, None, words, sizes), kinds, strict=True)], names)
         row = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(df[row]), pa.nulls(len(row), pa.list_(pa.int32()))], ["column", "n", "words"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(row, -1)), pa.array(np.append(df[row], total)), *(pa.nulls(len(row) + 1, t) for t in kinds[2:])], names)
 
-    return in_batches(docs.select(F.lower("text").alias("text")), run, "column bigint, n bigint, words array<int>")
+    return in_batches(docs.select(F.lower("text").alias("text")), run, "column bigint, n bigint, words binary, sizes binary")
 
 
-def fit(docs: DataFrame, items: DataFrame, rank: int = RANK, sample_chars: int = SAMPLE_CHARS) -> Model:
-    """The latent space of ``docs`` (text) and all ``items`` (text).
+def fit(docs: DataFrame, items: DataFrame, rank: int = RANK) -> Model:
+    """The latent space of all ``docs`` (text) and all ``items`` (text).
 
-    Document frequencies are those of all documents. The space is an index: it is fitted on passages drawn
-    from anywhere in all documents, of about ``sample_chars`` characters together (all passages, where
-    there are no more), and on every item.
+    Document frequencies are those of all documents, and every passage of every document is a row of the matrix, as every item's are.
     """
     spark = docs.sparkSession
-    size = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text").cast("double")).alias("chars")).first()
-    n_docs, share = size["n"], min(1.0, sample_chars / max(1.0, size["chars"] or 0.0))
     known = _known(items)
     columns = len(known) + (1 << BUCKET_BITS)
     vocabulary = spark.sparkContext.broadcast(known)
-    stored = Cut(_statistics(docs, vocabulary, share), "passages")
+    stored = Cut(_statistics(docs, vocabulary), "passages")
     df = np.zeros(columns)
     counted = stored.df.filter("column IS NOT NULL").groupBy("column").agg(F.sum("n").alias("n")).toArrow()
-    df[counted["column"].to_numpy()] = counted["n"].to_numpy()
-    idf = np.log((1 + n_docs) / (1 + df)) + 0.05
+    column, n = counted["column"].to_numpy(), counted["n"].to_numpy()
+    df[column[column >= 0]] = n[column >= 0]
+    n_passages = int(n[column < 0].sum())
+    idf = np.log((1 + docs.count()) / (1 + df)) + 0.05
 
     look = Lookup(known)
     windows = [look(w[s:e]) for w in (words_of(r["text"]) for r in items.select("text").collect()) for s, e in _windows(len(w))]
-    own = spark.createDataFrame([(w.tolist(),) for w in windows], "words array<int>").withColumn("weight", F.lit(1.0))
-    passages = stored.df.filter("words IS NOT NULL").select("words", F.lit(BACKGROUND).alias("weight")).unionAll(own).repartition(SUMS)
+    packed = _packed(np.concatenate([np.zeros(0, np.int32), *windows]), np.array([len(w) for w in windows], np.int64))
+    own = spark.createDataFrame(list(packed), "words binary, sizes binary").withColumn("weight", F.lit(1.0)).coalesce(1)
+    weight = BACKGROUND * math.sqrt(min(1.0, BACKGROUND_ROWS / max(1, n_passages)))
+    # A task for each core: its sums have the size columns x rank, however many passages it reads.
+    passages = stored.df.filter("words IS NOT NULL").select("words", "sizes", F.lit(weight).alias("weight")).coalesce(spark.sparkContext.defaultParallelism).unionAll(own)
 
     width = rank + EXTRA
     shared = spark.sparkContext.broadcast(idf)
 
-    def matrix(batches):
-        for b in batches:
-            h, size = b.column(0), b.column(0).value_lengths().to_numpy()
-            yield Rows(h.flatten().to_numpy(), np.cumsum(size) - size, size, b.column(1).to_numpy(), shared.value)
-
     # Subspace iteration on A' A: each step is one pass that sums A' (A right), then a QR of a small matrix.
     right = np.linalg.qr(np.random.default_rng(7).standard_normal((columns, width)))[0]
     for _ in range(STEPS):
@@ -249,11 +236,13 @@ def fit(docs: DataFrame, items: DataFrame, rank: int = RANK, sample_chars: int =
             import pyarrow as pa
 
             out = np.zeros((columns, width))
-            for a in matrix(batches):
-                a.add_back(a.times(held.value), out)
+            for b in batches:
+                for words, sizes, weight in zip(*b.columns, strict=True):
+                    add_image(np.frombuffer(words.as_buffer(), np.int32), np.frombuffer(sizes.as_buffer(), np.int32), weight.as_py(), shared.value, held.value, out)
             rows = np.flatnonzero(np.abs(out).sum(axis=1))
-            flat = pa.array(np.ascontiguousarray(out[rows]).ravel().astype(np.float32))
-            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.FixedSizeListArray.from_arrays(flat, width).cast(pa.list_(pa.float32()))], ["row", "v"])
+            for some in np.array_split(rows, -(-len(rows) // 2048) or 1):
+                flat = pa.array(np.ascontiguousarray(out[some]).ravel().astype(np.float32))
+                yield pa.RecordBatch.from_arrays([pa.array(some), pa.FixedSizeListArray.from_arrays(flat, width).cast(pa.list_(pa.float32()))], ["row", "v"])
 
         found = _gather(in_batches(passages, step, "row bigint, v array<float>"), width)
         image = np.zeros((columns, width))

@@ -3,6 +3,9 @@
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+
 from cueflow.llm import decontaminate as dc
 
 
@@ -42,3 +45,29 @@ def test_short_items_amid_rare_words(spark):
     assert not want - set(found)
     for (d, i), r in found.items():
         assert abs(r.common - _common(items[i], texts[d][r.from_word : r.to_word]) / len(items[i])) < 1e-9
+
+
+def test_the_space_is_fitted_on_every_passage(spark):
+    """The image of a matrix with a row for each passage of each text, against plain products; before, passages were drawn."""
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(60)}" for _ in range(n)) for n in (0, 1, 47, 48, 49, 96, 700, 3000)] + [None]
+    known = np.unique(dc.words_of(" ".join(f"w{i}" for i in range(40))))
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    rows = dc._statistics(docs, spark.sparkContext.broadcast(known)).collect()
+    want = [w[s : s + dc.WINDOW].tolist() for t in texts for w in [dc.word_ids(pa.array([t or ""]))[0]] for s in range(0, len(w), dc.WINDOW)]
+    look, columns = dc.Lookup(known), len(known) + (1 << dc.BUCKET_BITS)
+    want = sorted(look(np.array(w, np.uint64)).tolist() for w in want)
+    got, out = [], np.zeros((columns, 5))
+    idf, right = np.linspace(0.1, 2, columns), np.random.default_rng(1).standard_normal((columns, 5)).astype(np.float32)
+    for r in rows:
+        if r.words is not None:
+            ids, size = np.frombuffer(r.words, np.int32), np.frombuffer(r.sizes, np.int32)
+            got += [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])]
+            dc.add_image(ids, size, 0.5, idf, right, out)
+    assert sorted(got) == want and sum(r.n for r in rows if r.column == -1) == len(want)
+    plain = np.zeros_like(out)
+    for w in want:
+        a = np.bincount(w, minlength=columns) * idf
+        a *= 0.5 / np.linalg.norm(a)
+        plain += np.outer(a, a @ right)
+    assert np.allclose(out, plain, atol=1e-4)
