@@ -71,3 +71,37 @@ def test_the_space_is_fitted_on_every_passage(spark):
         a *= 0.5 / np.linalg.norm(a)
         plain += np.outer(a, a @ right)
     assert np.allclose(out, plain, atol=1e-4)
+
+
+def test_sums_of_rows_are_plain_products_of_runs_of_any_length():
+    """Before, every 64 passages were a dense matrix of all columns that they have."""
+    rng = np.random.default_rng(5)
+    size = np.array([1, 2, 3, 48, dc.TERMS, dc.TERMS + 1, 1000, 7])
+    index, weight = rng.integers(0, 50, size.sum()), rng.random(size.sum()).astype(np.float32)
+    dense = rng.random((50, 6)).astype(np.float32)
+    ends = np.cumsum(size)
+    want = [weight[e - n : e] @ dense[index[e - n : e]] for n, e in zip(size, ends, strict=True)]
+    assert np.allclose(dc.sums_of(index, weight, size, dense), want, rtol=1e-4)
+
+
+def test_columns_of_hashes_that_begin_alike():
+    rng = np.random.default_rng(6)
+    known = np.unique(np.concatenate([rng.integers(0, 1 << 63, 500, np.uint64) * np.uint64(2), (np.uint64(7) << np.uint64(50)) + np.arange(40, dtype=np.uint64)]))
+    rng.shuffle(known)
+    look = dc.Lookup(known)
+    assert look(known).tolist() == list(range(len(known)))
+    others = np.setdiff1d(np.append(known + np.uint64(1), rng.integers(0, 1 << 63, 500, np.uint64)), known)
+    assert (look(others) == len(known) + (others >> np.uint64(64 - dc.BUCKET_BITS)).astype(int)).all()
+    assert (dc.Lookup(known[:0])(others) == (others >> np.uint64(64 - dc.BUCKET_BITS)).astype(int)).all()
+
+
+def test_search_reads_the_words_that_the_space_was_fitted_on(spark):
+    """Leaks are found in the stored columns; before, every text was read and hashed a second time."""
+    docs = spark.createDataFrame([(1, "one two three four five six seven"), (None, "One, two; three four five six SEVEN"), (2, ""), (3, None), (4, "none of it")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(9, "one two three four five six seven")], "item_id bigint, text string")
+    stored = [r for r in dc._statistics(docs, spark.sparkContext.broadcast(dc._known(items))).collect() if r.words is not None]
+    kept = {(d, int(n)) for r in stored for d, n in zip(r.docs, np.frombuffer(r.lengths, np.int32), strict=True)}
+    assert {(1, 7), (None, 7), (4, 3)} <= kept
+    found = dc.leaks(docs, items)
+    assert {(r.doc_id, r.item_id, r.common) for r in found.collect()} == {(1, 9, 1.0), (None, 9, 1.0)}
+    assert "text" not in found._jdf.queryExecution().optimizedPlan().toString()
