@@ -10,6 +10,8 @@ _SPACES = r" \t\x0B\f\r\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u
 WS = rf"[{_SPACES}\n]"
 #: White space within a line.
 HS = rf"[{_SPACES}]"
+# The same as characters.
+_TRIMMED = " \t\x0b\f\r\u0085\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff\n"
 
 # Override commands that mark a brace block as one of ASS.
 ASS_COMMANDS = (
@@ -37,7 +39,7 @@ def let(value: Column, use) -> Column:
 
 def trim_ws(c: Column) -> Column:
     """Without Unicode white space and byte order marks at both ends."""
-    return F.regexp_replace(c, rf"\A{WS}+|{WS}+\z", "")
+    return F.trim(c, F.lit(_TRIMMED))
 
 
 def is_blank(c: Column) -> Column:

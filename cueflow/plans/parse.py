@@ -213,7 +213,7 @@ def parse_lrc(df: DataFrame, fallback_ms: int = FALLBACK_MS) -> DataFrame:
     df = df.withColumn("__tags", F.flatten(F.transform(lines, tags)))
     stamp = lambda t: F.coalesce(parse_ms(t, 2), parse_ms(F.concat(t, F.lit(".0")), 2))
     starts = F.transform(F.filter("__tags", lambda t: t["tag"].rlike(_LRC_TIME)), lambda t, i: F.struct(stamp(t["tag"]).alias("s"), i.alias("i"), t["rest"].alias("rest")))
-    df = df.withColumn("__starts", F.array_sort(F.filter(starts, lambda s: s["s"].isNotNull())))
+    df = df.withColumn("__starts", F.sort_array(F.filter(starts, lambda s: s["s"].isNotNull())))
     s = F.col("__starts")
     metas = F.filter("__tags", lambda t: (~t["tag"].rlike(_LRC_TIME)) & t["tag"].rlike(_LRC_META))
     df = df.withColumn("__metas", F.transform(metas, lambda t: pair(F.regexp_extract(t["tag"], _LRC_META, 1), F.regexp_extract(t["tag"], _LRC_META, 2))))
@@ -259,13 +259,22 @@ def by_format(df: DataFrame, fmt: str, step: Callable[[str, DataFrame], DataFram
     return reduce(DataFrame.unionByName, [step(f, df.filter(F.col(fmt) == f)) for f in formats or list(PARSERS)])
 
 
+def _elements(documents: DataFrame, array: str, at: str, one: str, *keys: str) -> DataFrame:
+    """A row for each element of an array.
+
+    Over the plain form the optimizer first filters by the array's size, and so makes the whole array twice.
+    """
+    each = documents.select(*keys, F.posexplode_outer(array).alias(at, one))
+    return each.filter(F.col(at).isNotNull()).select(*keys, at, f"{one}.*")
+
+
 def cues_of(documents: DataFrame, *keys: str) -> DataFrame:
     """One row per cue: the keys, cue_seq (from 0) and the cue's columns."""
-    return documents.select(*keys, F.posexplode("cues").alias("cue_seq", "cue")).select(*keys, "cue_seq", "cue.*")
+    return _elements(documents, "cues", "cue_seq", "cue", *keys)
 
 
 def styles_of(documents: DataFrame, *keys: str) -> DataFrame:
-    return documents.select(*keys, F.posexplode("styles").alias("style_seq", "style")).select(*keys, "style_seq", "style.*")
+    return _elements(documents, "styles", "style_seq", "style", *keys)
 
 
 def documents_from_cues(cues: DataFrame, *keys: str, fmt: str = "srt") -> DataFrame:

@@ -25,8 +25,10 @@ def _r(pattern: str) -> str:
 
 _PARTS = f"split(regexp_replace(raw, {_r(CLOCK)}, '$1:$2:$3:$4'), ':')"
 _N = [f"try_cast(get({_PARTS}, {k}) AS BIGINT)" for k in range(3)]
+# A cast that fails throws within, so the field that may be missing is told by its text.
+_N[2] = f"CASE WHEN get({_PARTS}, 2) <> '' THEN {_N[2]} END"
 _MS = f"try_cast(rpad(get({_PARTS}, 3), 3, '0') AS BIGINT)"
-_CLOCK_MS = f"""CASE WHEN raw RLIKE {_r(CLOCK)} THEN coalesce(({_N[0]} * 3600 + {_N[1]} * 60 + {_N[2]}) * 1000 + {_MS},
+_CLOCK_MS = f"""CASE WHEN raw RLIKE {_r(CLOCK)} THEN coalesce(({_N[0]} * 3600 + {_N[1]} * 60 + ({_N[2]})) * 1000 + {_MS},
     CASE WHEN fields < 3 AND {_N[0]} <= 59 THEN ({_N[0]} * 60 + {_N[1]}) * 1000 + {_MS} END) END"""
 _PLAIN = f"regexp_replace(regexp_replace(regexp_replace(raw, {_r(OVERRIDE_BLOCK)}, ''), {_r(OVERRIDE_TO_LINE_END)}, ''), {_r(TAG)}, '')"
 _BLOCKS = f"""filter(split(regexp_replace(regexp_replace(regexp_replace(content, {_r(chr(92) + "A" + chr(92) + "uFEFF")}, ''), r'\\r\\n?', '\\n'), {_r(rf'\A(?:{HS}*\n)+|(?:\n{HS}*)+\z')}, ''), {_r(rf'\n(?:{HS}*\n)+')}), b -> b RLIKE {_r(_VISIBLE)})"""
