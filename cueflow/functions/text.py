@@ -51,22 +51,27 @@ def has_visible_text(c: Column) -> Column:
 
 
 def fold_newlines(c: Column) -> Column:
-    return F.regexp_replace(c, r"\r\n?", "\n")
+    return F.replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
 
 def normalize(c: Column) -> Column:
     """Without a leading byte order mark, and with LF line ends."""
-    return fold_newlines(F.regexp_replace(c, r"\A\uFEFF", ""))
+    return let(c, lambda t: fold_newlines(F.when(F.startswith(t, F.lit("\ufeff")), F.substr(t, F.lit(2))).otherwise(t)))
+
+
+def _where(c: Column, mark: str, use) -> Column:
+    """``use`` of texts that hold ``mark``, without which its patterns match nothing; looking for it takes no pattern."""
+    return let(c, lambda t: F.when(F.contains(t, F.lit(mark)), use(t)).otherwise(t))
 
 
 def strip_tags(c: Column) -> Column:
     """The text without well-formed tags, newlines folded."""
-    return fold_newlines(F.regexp_replace(c, TAG, ""))
+    return fold_newlines(_where(c, "<", lambda t: F.regexp_replace(t, TAG, "")))
 
 
 def strip_overrides(c: Column) -> Column:
     """Without ASS override blocks, closed or cut off at the end of a line."""
-    return F.regexp_replace(F.regexp_replace(c, OVERRIDE_BLOCK, ""), OVERRIDE_TO_LINE_END, "")
+    return _where(c, "{", lambda t: F.regexp_replace(F.regexp_replace(t, OVERRIDE_BLOCK, ""), OVERRIDE_TO_LINE_END, ""))
 
 
 def escape_entities(c: Column) -> Column:

@@ -612,9 +612,10 @@ def convert_matrix(spark, sf_dir):
     docs = documents_from_cues(_within_hour(spark, sf_dir), "doc_id")
     for fmt in _FORMATS:
         docs = write(docs, fmt).withColumnRenamed("content", f"as_{fmt}")
-    each = F.explode(F.array(*[F.struct(F.lit(f).alias("source"), F.col(f"as_{f}").alias("text")) for f in _FORMATS]))
-    texts = staged(docs.select("doc_id", each.alias("one")).select("doc_id", "one.*"), "texts")
-    parsed = staged(by_format(texts, "source", lambda f, mine: parse(mine, f)), "parsed")
+    # A column for each format, so that a branch reads no other's texts.
+    texts = staged(docs.select("doc_id", *[f"as_{f}" for f in _FORMATS]), "texts")
+    source = lambda f: parse(texts.select("doc_id", F.lit(f).alias("source"), F.col(f"as_{f}").alias("text")), f)
+    parsed = staged(reduce(DataFrame.unionByName, map(source, _FORMATS)), "parsed")
     target = lambda f: cv.converted_documents(parsed, F.col("source"), f).select("doc_id", "source", F.lit(f).alias("target"), F.col("content").alias("text"), F.col("error").alias("before"))
     done = staged(reduce(DataFrame.unionByName, map(target, _FORMATS)), "converted")
     again = by_format(done, "target", lambda f, mine: parse(mine, f))

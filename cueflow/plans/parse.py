@@ -60,8 +60,8 @@ def raw_cue(start: Column, end: Column, raw: Column, style_ref: Column | None =
 
 def blocks(text: Column) -> Column:
     """Maximal runs of non-blank lines."""
-    inner = F.regexp_replace(text, rf"\A(?:{HS}*\n)+|(?:\n{HS}*)+\z", "")
-    return F.filter(F.split(inner, rf"\n(?:{HS}*\n)+"), has_visible_text)
+    # With blank lines at both ends one pattern cuts there too.
+    return F.filter(F.split(F.concat(F.lit("\n\n"), text, F.lit("\n\n")), rf"\n(?:{HS}*+\n)++"), has_visible_text)
 
 
 def syntax_error(detail: Column) -> Column:
@@ -77,9 +77,10 @@ def _whole_file(cues: Column, label: str, what: str, empty_detail: str | None) -
 
 def _finish(df: DataFrame, scan: str) -> DataFrame:
     """Turns ``raw_cues`` into ``cues``. Only files with markup are sent to the scanner."""
-    mark = r"[{\\]" if scan == "ass" else r"[<&{\r]" if scan == "html_entities" else r"[<{\r]"
+    marks = "{\\" if scan == "ass" else "<{\r&" if scan == "html_entities" else "<{\r"
+    holds = lambda r: reduce(lambda a, b: a | b, [F.contains(r, F.lit(m)) for m in marks])
     strip = (lambda r: r) if scan == "ass" else strip_overrides
-    marked = F.exists("raw_cues", lambda c: c["raw"].rlike(mark)) & F.col("error").isNull()
+    marked = F.exists("raw_cues", lambda c: holds(c["raw"])) & F.col("error").isNull()
     df = df.withColumn("__texts", F.when(marked, F.transform("raw_cues", lambda c: strip(c["raw"]))))
     # Override blocks hold nested parentheses, which take a scanner in Python.
     scanned = markup.scanner(scan)(F.col("__texts")) if scan == "ass" else F.transform("__texts", lambda t: scanned_html(t, scan == "html_entities"))
@@ -116,16 +117,32 @@ def _after(line: Column, mark: str) -> Column:
     return F.when(F.instr(line, mark) > 0, F.substr(line, F.instr(line, mark) + len(mark)))
 
 
+def _first_line(block: Column) -> Column:
+    return F.substring_index(block, "\n", 1)
+
+
+def _below(block: Column) -> Column:
+    """What stands below the first line; empty if there is nothing."""
+    return F.when(F.instr(block, "\n") > 0, F.substr(block, F.instr(block, "\n") + 1)).otherwise("")
+
+
+# Patterns look at a block's first lines only; the text below is cut off by position.
+
+
 @recorded
 def parse_srt(df: DataFrame) -> DataFrame:
     def cue(b: Column) -> Column:
-        number = F.regexp_replace(F.regexp_extract(b, _SRT_BLOCK, 1), r"\A0+(?=\d)", "")
-        meta = let(number, lambda n: F.when(n != "", F.array(pair(F.lit("srt.index"), n))).otherwise(empty(PAIR)))
-        return let(F.regexp_extract(b, _SRT_BLOCK, 2), lambda line: raw_cue(
-            F.when(F.instr(line, "-->") > 0, parse_ms(trim_ws(_before(line, "-->")))),
-            parse_ms(F.regexp_extract(_after(line, "-->"), _TOKEN_TIME, 0)),
-            F.regexp_extract(b, _SRT_BLOCK, 3), metadata=meta,
-        ))
+        number = F.when(F.instr(b, "\n") > 0, F.regexp_extract(_first_line(b), rf"\A{HS}*(\d+){HS}*\z", 1)).otherwise("")
+
+        def timed(n: Column, body: Column) -> Column:
+            meta = F.when(n != "", F.array(pair(F.lit("srt.index"), F.regexp_replace(n, r"\A0+(?=\d)", "")))).otherwise(empty(PAIR))
+            return let(_first_line(body), lambda line: raw_cue(
+                F.when(F.instr(line, "-->") > 0, parse_ms(trim_ws(_before(line, "-->")))),
+                parse_ms(F.regexp_extract(_after(line, "-->"), _TOKEN_TIME, 0)),
+                _below(body), metadata=meta,
+            ))
+
+        return let(number, lambda n: let(F.when(n != "", _below(b)).otherwise(b), lambda body: timed(n, body)))
 
     df = df.withColumn("__blocks", blocks(normalize(F.col("text"))))
     df = df.withColumn("__cues", F.transform("__blocks", cue))
@@ -136,9 +153,8 @@ def parse_srt(df: DataFrame) -> DataFrame:
 @recorded
 def parse_sbv(df: DataFrame) -> DataFrame:
     def cue(b: Column) -> Column:
-        raw = F.when(F.instr(b, "\n") > 0, F.substr(b, F.instr(b, "\n") + 1)).otherwise("")
-        text = strip_tags(strip_overrides(raw))
-        return let(F.substring_index(b, "\n", 1), lambda line: raw_cue(F.when(F.instr(line, ",") > 0, parse_ms(trim_ws(_before(line, ",")))), parse_ms(trim_ws(_after(line, ","))), text))
+        text = strip_tags(strip_overrides(_below(b)))
+        return let(_first_line(b), lambda line: raw_cue(F.when(F.instr(line, ",") > 0, parse_ms(trim_ws(_before(line, ",")))), parse_ms(trim_ws(_after(line, ","))), text))
 
     df = df.withColumn("__blocks", blocks(normalize(F.col("text"))))
     df = df.withColumn("__cues", F.transform("__blocks", cue))
@@ -154,7 +170,6 @@ def _unmarked(df: DataFrame) -> DataFrame:
 
 
 _VTT_HEADER = rf"\A(?:{HS}*\n)*{HS}*WEBVTT[^\n]*(?:\n((?:(?!{HS}*(?:\n|\z))(?:(?!-->)[^\n])*+(?:\n|\z))*+))?"
-_VTT_CUE = r"\A(?:((?:(?!-->)[^\n])*)\n)?((?:(?!-->)[^\n])*-->[^\n]*)(?:\n([\s\S]*))?\z"
 
 
 @recorded
@@ -180,12 +195,17 @@ def parse_vtt(df: DataFrame) -> DataFrame:
         settings = lambda after: trim_ws(F.regexp_replace(after, rf"\A{WS}*{_NOT_WS}+", ""))
         known = lambda k, value: let(value, lambda v: F.when(F.coalesce(v, F.lit("")) != "", F.array(pair(F.lit(k), v))).otherwise(empty(PAIR)))
 
-        def of(line: Column, after: Column) -> Column:
-            meta = F.concat(known("vtt.identifier", F.regexp_extract(b, _VTT_CUE, 1)), known("vtt.settings", settings(after)))
-            start = F.when(line != "", parse_ms(trim_ws(_before(line, "-->")), 2))
-            return raw_cue(start, parse_ms(F.regexp_extract(after, rf"{_NOT_WS}+", 0), 2), F.regexp_extract(b, _VTT_CUE, 3), metadata=meta)
+        def of(identifier: Column, line: Column, after: Column, text: Column) -> Column:
+            meta = F.concat(known("vtt.identifier", identifier), known("vtt.settings", settings(after)))
+            start = F.when(line.isNotNull(), parse_ms(trim_ws(_before(line, "-->")), 2))
+            return raw_cue(start, parse_ms(F.regexp_extract(after, rf"{_NOT_WS}+", 0), 2), F.when(line.isNotNull(), text).otherwise(""), metadata=meta)
+
+        def timed(identifier: Column, body: Column) -> Column:
+            line = F.when(F.instr(_first_line(body), "-->") > 0, _first_line(body))
+            return let(line, lambda x: of(F.when(x.isNotNull(), identifier), x, _after(x, "-->"), _below(body)))
 
-        return let(F.regexp_extract(b, _VTT_CUE, 2), lambda line: let(_after(line, "-->"), lambda after: of(line, after)))
+        # A first line without an arrow is an identifier.
+        return let(F.when(F.instr(_first_line(b), "-->") > 0, "").otherwise(_first_line(b)), lambda n: let(F.when(n != "", _below(b)).otherwise(b), lambda body: timed(n, body)))
 
     df = df.withColumn("__cues", F.transform(F.filter("__blocks", kept), cue))
     error = F.when(~is_vtt, syntax_error(F.lit("Not a WebVTT file: the first line must start with WEBVTT."))).otherwise(_whole_file(F.col("__cues"), "WebVTT", "timing line", None))
